@@ -1,12 +1,27 @@
-"""From raw documents to packed sequences."""
+"""From raw documents to packed sequences: five stages, each written as Parquet and read by the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldlog.llm.common import table, written
+from fieldlog.llm import language_id
+from fieldlog.llm.common import small_batches, table, written
 from fieldlog.llm.exact_dedup import drop_exact_copies
+from fieldlog.llm.near_dedup import drop_near_copies
 from fieldlog.llm.packing import pack
+from fieldlog.llm.pii import redact
+
+#: Documents whose language the network gives a mean probability below this are rejected, as are those without a letter.
+LEAST_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the network knows."""
+    small_batches(spark)
+    predict = language_id.predictor(language_id.learn(docs, ~language_id.held_out()))
+    found = docs.withColumn("__language", predict(F.col("text")))
+    return found.where((F.col("__language.lang_pred") != language_id.UNKNOWN) & (F.col("__language.score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,12 +29,22 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return drop_exact_copies(docs, keep="min")
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays: the one with the smallest id."""
+    return drop_near_copies(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return redact(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of 4096."""
+    """Token sequences of 4096: one row for each piece of a document, with its place."""
     return pack(docs)
 
 
-STAGES = [("exact dedup", exact_copies), ("packing", packing)]
+STAGES = [("language ID", language), ("exact dedup", exact_copies), ("near dedup", near_copies), ("PII", personal_data), ("packing", packing)]
 
 #: A trained model, a random estimate and a tokenizer aren't expressible in SQL; tests compare with brute force instead.
 ORACLE_SQL = None

@@ -154,7 +154,7 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
     chopped = written(rows.mapInArrow(chop, "doc_id long, n_tokens long, root binary, chunks array<binary>, new array<struct<chunk:binary,n:long,wide:boolean,ids:binary>>"), "chopped")
     # A chunk comes once from each task at most, however many documents hold it.
     sent = chopped.select(F.explode("new").alias("x")).select("x.*")
-    sent.groupBy("chunk").agg(F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("ids").alias("ids")).write.parquet(f"{folder}/chunks")
+    sent.groupBy("chunk").agg(F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{folder}/chunks")
 
     # Where each document starts: sums within ranges of ids, then one sum a range.
     ranged = chopped.select("doc_id", "n_tokens", "root", "chunks", F.xxhash64("chunks").alias("tie")).repartitionByRange(partitions(spark), "doc_id", "tie")

@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -25,6 +31,36 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
+def op5_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents")).drop("body_hash")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .id_store import stored_digests
 
@@ -32,12 +68,8 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {
-        "op2_best_fit_packing": op2_best_fit_packing,
-        "op3_exact_dedup": op3_exact_dedup,
-        "op4_bpe": op4_bpe,
-        "op10_id_store": op10_id_store,
-    }
+    found = (op1_pii, op2_best_fit_packing, op3_exact_dedup, op4_bpe, op5_probminhash_dedup, op6_language_id, op7_hnsw, op8_lm_scoring, op9_url_filter, op10_id_store)
+    return {f.__name__: f for f in found}
 
 
 ORACLE_SQL = {
