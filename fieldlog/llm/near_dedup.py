@@ -7,8 +7,9 @@ J = sum over shared d of 1 / sum_i max(a_i/a_d, b_i/b_d), their probability Jacc
 
 Documents with equal shingles and weights are one node from the start, so copies never meet. Nodes that agree in all
 components of a band share a bucket. A bucket's members are compared with its smallest member only; connected components of those
-links follow; then, where a bucket holds several components, members of different components are compared (those that meet in two
-buckets at least), which is all that could still join components. A link needs an exact probability Jaccard of THRESHOLD.
+links follow. Where a bucket still holds several components, its members are compared with a few drawn ones of other components, and again;
+at last members of different components are compared in full (those that meet in two buckets at least), which is all that could still
+join components. So a large group costs a few comparisons a member, and no link between components is lost. A link needs an exact probability Jaccard of THRESHOLD.
 
 BANDS bands of ROWS components find a pair at 0.8 with a chance of 99.9 %, and more above.
 
@@ -31,6 +32,10 @@ from .common import small_batches, text_of, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
+#: Buckets with more members are first compared with LEADERS drawn members, TURNS times at most.
+WIDE, LEADERS, TURNS = 16, 2, 3
+#: Members of a bucket that a task compares with as many others.
+BLOCK = 256
 #: Word hashes, and digests of documents, that a worker remembers.
 REMEMBERED = 500_000
 
@@ -188,6 +193,43 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
 
 
+def split_buckets(members: DataFrame, joined: DataFrame, turn: int) -> DataFrame:
+    """The members of buckets that hold several components: band, node, component, members (their number), leaders (drawn ones)."""
+    placed = written(members.select("band", "node").join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "placed")
+    drawn = [F.min(F.struct(F.xxhash64("node", "band", F.lit(turn * LEADERS + k)), F.col("node").alias("leader"), F.col("component").alias("leader_in"))) for k in range(LEADERS)]
+    leaders = F.array(*[F.struct(F.col(f"d{k}.leader").alias("leader"), F.col(f"d{k}.leader_in").alias("leader_in")) for k in range(LEADERS)])
+    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"), *[d.alias(f"d{k}") for k, d in enumerate(drawn)]).where("low < high")
+    return placed.join(split.select("band", "members", leaders.alias("leaders")), "band")
+
+
+def compared_in_full(held: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between members of different components of a bucket, which share a second bucket too. Buckets are cut into blocks; a task
+    compares two blocks, and a pair is compared in the first bucket that it shares, so no pair is a row unless it is a link."""
+
+    def run(t):
+        import pyarrow as pa
+
+        node, part, home = t.column("node").to_numpy(), t.column("component").to_numpy(), t.column("block").to_numpy()
+        low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
+        keys, own = np.array(t.column("bands").combine_chunks().flatten()).reshape(len(node), -1), t.column("band")[0].as_py()
+        held, out = t.column("shingles").to_pylist(), ([], [])
+        here = int(np.flatnonzero(keys[0] == own)[0])
+        rows, columns = np.flatnonzero(home == low), np.flatnonzero(home == high)
+        for i in rows.tolist():
+            same = keys[columns] == keys[i]
+            ok = (same.sum(axis=1) >= 2) & (same.argmax(axis=1) == here) & (part[columns] != part[i])
+            for j in columns[ok & ((node[columns] > node[i]) if low == high else True)].tolist():
+                if probability_jaccard(held[i], held[j]) >= threshold:
+                    out[0].append(min(node[i], node[j])), out[1].append(max(node[i], node[j]))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rows = held.select("band", "node", "component", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("band", "node", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(sets, "node")
+    return rows.groupBy("band", "low", "high").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row: doc_id, class_id, class_size, kept, body_hash."""
     rows = written(sketched(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
@@ -199,18 +241,23 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     shared = buckets.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("band", "leader")
     members = written(buckets.join(shared, "band"), "members")
     met = members.select("node").distinct().select(F.col("node").alias("row"))
-    sets = written(rows.where(F.col("shingles").isNotNull()).select("row", "shingles").join(met, "row", "left_semi").select(F.col("row").alias("node"), "shingles"), "sets")
+    sets = written(rows.where(F.col("shingles").isNotNull()).select("row", "shingles", "bands").join(met, "row", "left_semi").select(F.col("row").alias("node"), "shingles", "bands"), "sets")
 
     tried = written(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "tried")
     links = written(verified(tried, sets, threshold), "links")
     joined = written(components(links), "joined")
 
-    placed = written(members.select("band", "node").join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "placed")
-    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    split = placed.join(split, "band", "left_semi")
-    one, other = (split.select("band", F.col("node").alias(x), F.col("component").alias(f"{x}_in")) for x in "ab")
-    open_ = one.join(other, "band").where("a < b AND a_in <> b_in").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).where("times >= 2").select("a", "b")
-    more = written(verified(open_.join(tried, ["a", "b"], "left_anti"), sets, threshold), "more-links")
+    for turn in range(TURNS):
+        held = split_buckets(members, joined, turn)
+        drawn = held.where(F.col("members") > WIDE).select("node", "component", F.explode("leaders").alias("x")).select("node", "component", "x.*").where("component <> leader_in")
+        drawn = drawn.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        drawn = written(drawn.join(tried, ["a", "b"], "left_anti"), "drawn")
+        more = written(verified(drawn, sets, threshold), "more-links")
+        if more.isEmpty():
+            break
+        links, tried = links.unionByName(more), tried.unionByName(drawn)
+        joined = written(components(links), "joined")
+    more = written(compared_in_full(split_buckets(members, joined, 0), sets, threshold), "more-links")
     if not more.isEmpty():
         joined = written(components(links.unionByName(more)), "joined")
 
