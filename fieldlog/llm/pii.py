@@ -209,7 +209,10 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the number of base spans by kind, base_sha256, spans (base and added), n_added."""
     base = F.filter("found", lambda x: x["base"])
-    counts = [F.size(F.filter(base, lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    def of_kind(k: int):
+        return lambda x: x["k"] == k
+
+    counts = [F.size(F.filter(base, of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return detect(df, id_col, text_col).select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), F.size(F.filter("found", lambda x: ~x["base"])).cast("long").alias("n_added"))
 
 
