@@ -28,9 +28,9 @@ def add(name: str, query: Query, sql: str) -> None:
     QUERIES[name], SQL[name] = query, sql
 
 
-def search(name: str, s: Search, where: str) -> None:
-    """A search's keys against the plays that a condition picks."""
-    add(name, lambda spark, d: s.matches(tables(spark, d)).select(*KEYS), f"{WITH} {PICK} WHERE {where}")
+def search(name: str, s: Callable[[], Search], where: str) -> None:
+    """A search's keys against the plays that a condition picks. Columns need a session, so the search is made when it is asked for."""
+    add(name, lambda spark, d: s().matches(tables(spark, d)).select(*KEYS), f"{WITH} {PICK} WHERE {where}")
 
 
 def on_table(name: str, table: str, query: Callable[[DataFrame], DataFrame], sql: str) -> None:
@@ -42,31 +42,31 @@ def on_view(name: str, source: str, query: Callable[[DataFrame], DataFrame], sql
 
 
 S = Search()
-search("P01_outs", S.outs(2), "outs_before = 2")
-search("P03_bases", S.bases("101"), "bases_before = '101'")
-search("P04_bases_loaded", S.bases_loaded(), "bases_before = '111'")
-search("P05_runner_on", S.runner_on(3), "substr(bases_before, 3, 1) = '1'")
-search("P06_scoring_position", S.scoring_position(), "substr(bases_before, 2, 1) = '1' OR substr(bases_before, 3, 1) = '1'")
-search("P07_inning", S.inning_at_least(20), "inning >= 20")
-search("P08_half", S.half("top"), "half = 'top'")
-search("P10_score_diff", S.score_diff(-1, 1), "score_diff BETWEEN -1 AND 1")
-search("P11_seasons", S.seasons(2001, 2003), "game_key IN (SELECT game_key FROM games WHERE season BETWEEN 2001 AND 2003)")
-search("P12_league", S.league("L1"), "game_key IN (SELECT game_key FROM games WHERE league = 'L1')")
-search("P13_team", S.team("T2"), "game_key IN (SELECT game_key FROM games WHERE home = 'T2' OR away = 'T2')")
-search("P20_fielder_interval", S.holder("P1"), "EXISTS (SELECT 1 FROM (SELECT game_key, player, seq, lead(seq) OVER (PARTITION BY game_key ORDER BY seq) AS to_seq FROM entries) e WHERE e.game_key = p.game_key AND e.player = 'P1' AND p.seq > e.seq AND (e.to_seq IS NULL OR p.seq <= e.to_seq))")
-search("P22_tag", S.tag("purchase"), "play_id IN (SELECT play_id FROM play_tags WHERE tag = 'purchase' AND confidence = 'certain')")
-search("P26_force_play", S.force_play("2"), "play_id IN (SELECT play_id FROM advances WHERE is_out AND is_force AND dest = '2')")
-search("P27_out_at", S.out_at("3"), "play_id IN (SELECT play_id FROM advances WHERE is_out AND dest = '3')")
-search("P28_tag_out", S.tag_out(), "play_id IN (SELECT play_id FROM advances WHERE is_out AND NOT is_force)")
-search("P29_error", S.error("4"), "play_id IN (SELECT play_id FROM credits WHERE credit = 'error' AND fielder = '4')")
-search("P33_putout_sequence", S.putout_sequence("64"), "play_id IN (SELECT play_id FROM sequences WHERE seq_text = '64')")
-search("P34_contains_sequence", S.contains_sequence("6"), "play_id IN (SELECT play_id FROM sequences WHERE seq_text LIKE '%6%')")
-search("P35_putout_by", S.putout_by("3", "2"), "EXISTS (SELECT 1 FROM credits c WHERE c.play_id = p.play_id AND credit = 'putout' AND fielder = '3') AND EXISTS (SELECT 1 FROM credits c WHERE c.play_id = p.play_id AND credit = 'assist' AND fielder = '2')")
-search("P36_any_of", S.any_of(S.tag("click").outs(0), S.out_at("1")), "(outs_before = 0 AND play_id IN (SELECT play_id FROM play_tags WHERE tag = 'click' AND confidence = 'certain')) OR play_id IN (SELECT play_id FROM advances WHERE is_out AND dest = '1')")
-search("P37_none_of", S.none_of(S.where(F.col("location") == 2), S.outs(1)), "NOT (location = 2 OR outs_before = 1)")
-search("P38_statuses", S.include("state_untrusted").outs(1), "outs_before = 1 AND parse_status IN ('ok', 'state_untrusted')")
-search("P39_exclude_curated", S.exclude_curated().outs(0), "outs_before = 0 AND play_id NOT IN (SELECT play_id FROM play_tags WHERE source = 'curated')")
-search("P48_params", search_from_params({"outs": "1", "half": "bottom", "tag": "view", "league": ""}), "outs_before = 1 AND half = 'bottom' AND play_id IN (SELECT play_id FROM play_tags WHERE tag = 'view' AND confidence = 'certain')")
+search("P01_outs", lambda: S.outs(2), "outs_before = 2")
+search("P03_bases", lambda: S.bases("101"), "bases_before = '101'")
+search("P04_bases_loaded", lambda: S.bases_loaded(), "bases_before = '111'")
+search("P05_runner_on", lambda: S.runner_on(3), "substr(bases_before, 3, 1) = '1'")
+search("P06_scoring_position", lambda: S.scoring_position(), "substr(bases_before, 2, 1) = '1' OR substr(bases_before, 3, 1) = '1'")
+search("P07_inning", lambda: S.inning_at_least(20), "inning >= 20")
+search("P08_half", lambda: S.half("top"), "half = 'top'")
+search("P10_score_diff", lambda: S.score_diff(-1, 1), "score_diff BETWEEN -1 AND 1")
+search("P11_seasons", lambda: S.seasons(2001, 2003), "game_key IN (SELECT game_key FROM games WHERE season BETWEEN 2001 AND 2003)")
+search("P12_league", lambda: S.league("L1"), "game_key IN (SELECT game_key FROM games WHERE league = 'L1')")
+search("P13_team", lambda: S.team("T2"), "game_key IN (SELECT game_key FROM games WHERE home = 'T2' OR away = 'T2')")
+search("P20_fielder_interval", lambda: S.holder("P1"), "EXISTS (SELECT 1 FROM (SELECT game_key, player, seq, lead(seq) OVER (PARTITION BY game_key ORDER BY seq) AS to_seq FROM entries) e WHERE e.game_key = p.game_key AND e.player = 'P1' AND p.seq > e.seq AND (e.to_seq IS NULL OR p.seq <= e.to_seq))")
+search("P22_tag", lambda: S.tag("purchase"), "play_id IN (SELECT play_id FROM play_tags WHERE tag = 'purchase' AND confidence = 'certain')")
+search("P26_force_play", lambda: S.force_play("2"), "play_id IN (SELECT play_id FROM advances WHERE is_out AND is_force AND dest = '2')")
+search("P27_out_at", lambda: S.out_at("3"), "play_id IN (SELECT play_id FROM advances WHERE is_out AND dest = '3')")
+search("P28_tag_out", lambda: S.tag_out(), "play_id IN (SELECT play_id FROM advances WHERE is_out AND NOT is_force)")
+search("P29_error", lambda: S.error("4"), "play_id IN (SELECT play_id FROM credits WHERE credit = 'error' AND fielder = '4')")
+search("P33_putout_sequence", lambda: S.putout_sequence("64"), "play_id IN (SELECT play_id FROM sequences WHERE seq_text = '64')")
+search("P34_contains_sequence", lambda: S.contains_sequence("6"), "play_id IN (SELECT play_id FROM sequences WHERE seq_text LIKE '%6%')")
+search("P35_putout_by", lambda: S.putout_by("3", "2"), "EXISTS (SELECT 1 FROM credits c WHERE c.play_id = p.play_id AND credit = 'putout' AND fielder = '3') AND EXISTS (SELECT 1 FROM credits c WHERE c.play_id = p.play_id AND credit = 'assist' AND fielder = '2')")
+search("P36_any_of", lambda: S.any_of(S.tag("click").outs(0), S.out_at("1")), "(outs_before = 0 AND play_id IN (SELECT play_id FROM play_tags WHERE tag = 'click' AND confidence = 'certain')) OR play_id IN (SELECT play_id FROM advances WHERE is_out AND dest = '1')")
+search("P37_none_of", lambda: S.none_of(S.where(F.col("location") == 2), S.outs(1)), "NOT (location = 2 OR outs_before = 1)")
+search("P38_statuses", lambda: S.include("state_untrusted").outs(1), "outs_before = 1 AND parse_status IN ('ok', 'state_untrusted')")
+search("P39_exclude_curated", lambda: S.exclude_curated().outs(0), "outs_before = 0 AND play_id NOT IN (SELECT play_id FROM play_tags WHERE source = 'curated')")
+search("P48_params", lambda: search_from_params({"outs": "1", "half": "bottom", "tag": "view", "league": ""}), "outs_before = 1 AND half = 'bottom' AND play_id IN (SELECT play_id FROM play_tags WHERE tag = 'view' AND confidence = 'certain')")
 add("P41_total_order_limit", lambda s, d: S.outs(2).limit(25, offset=10).run(tables(s, d)).select(*KEYS), f"{WITH} {PICK} WHERE outs_before = 2 ORDER BY game_key, seq LIMIT 25 OFFSET 10")
 add("P43_count", lambda s, d: S.outs(2).tag("purchase").count(tables(s, d)), f"{WITH} SELECT count(*) AS total FROM plays WHERE outs_before = 2 AND play_id IN (SELECT play_id FROM play_tags WHERE tag = 'purchase' AND confidence = 'certain')")
 
@@ -133,15 +133,24 @@ on_view("B12_seasons", GAMES, lambda g: g.groupBy("season").agg(F.array_join(F.a
 on_view("A19_most_common", PLAYS, lambda p: p.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tag").limit(3), "SELECT tag, count(*) AS n FROM plays GROUP BY tag ORDER BY n DESC, tag LIMIT 3")
 
 # Windows.
-game = W.partitionBy("game_key").orderBy("seq")
-before = game.rowsBetween(W.unboundedPreceding, -1)
+def game():
+    return W.partitionBy("game_key").orderBy("seq")
+
+
+def before():
+    return game().rowsBetween(W.unboundedPreceding, -1)
+
+
+def half():
+    return W.partitionBy("game_key", "inning", "half").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+
+
 on_view("W2_continuity", PLAYS, lambda p: p.withColumn("prev", F.lag("outs_before").over(W.partitionBy("game_key", "inning", "half").orderBy("seq"))).where("prev IS NOT NULL AND outs_before <> (prev + 1) % 3").select("play_id"), "SELECT play_id FROM (SELECT play_id, outs_before, lag(outs_before) OVER (PARTITION BY game_key, inning, half ORDER BY seq) AS prev FROM plays) WHERE prev IS NOT NULL AND outs_before <> (prev + 1) % 3")
-on_view("W3_running_score", PLAYS, lambda p: p.select("play_id", F.coalesce(F.sum("runs").over(before), F.lit(0)).alias("score_before")), "SELECT play_id, CAST(coalesce(sum(runs) OVER (PARTITION BY game_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS score_before FROM plays")
-on_view("W4_holder", PLAYS, lambda p: p.select("play_id", F.last(F.when(F.col("tag") == "signup", F.col("play_id")), ignorenulls=True).over(before).alias("entry")), "SELECT play_id, last_value(CASE WHEN tag = 'signup' THEN play_id END IGNORE NULLS) OVER (PARTITION BY game_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS entry FROM plays")
-on_view("W5_neighbours", PLAYS, lambda p: p.select("play_id", F.lag("play_id").over(game).alias("prev"), F.lead("play_id").over(game).alias("next")), 'SELECT play_id, lag(play_id) OVER w AS prev, lead(play_id) OVER w AS "next" FROM plays WINDOW w AS (PARTITION BY game_key ORDER BY seq)')
+on_view("W3_running_score", PLAYS, lambda p: p.select("play_id", F.coalesce(F.sum("runs").over(before()), F.lit(0)).alias("score_before")), "SELECT play_id, CAST(coalesce(sum(runs) OVER (PARTITION BY game_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS score_before FROM plays")
+on_view("W4_holder", PLAYS, lambda p: p.select("play_id", F.last(F.when(F.col("tag") == "signup", F.col("play_id")), ignorenulls=True).over(before()).alias("entry")), "SELECT play_id, last_value(CASE WHEN tag = 'signup' THEN play_id END IGNORE NULLS) OVER (PARTITION BY game_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS entry FROM plays")
+on_view("W5_neighbours", PLAYS, lambda p: p.select("play_id", F.lag("play_id").over(game()).alias("prev"), F.lead("play_id").over(game()).alias("next")), 'SELECT play_id, lag(play_id) OVER w AS prev, lead(play_id) OVER w AS "next" FROM plays WINDOW w AS (PARTITION BY game_key ORDER BY seq)')
 on_view("R11_final_play", PLAYS, lambda p: p.where("parse_status <> 'unparsed'").withColumn("k", F.row_number().over(W.partitionBy("game_key").orderBy(F.desc("seq")))).where("k = 1").select("game_key", "play_id"), "SELECT game_key, arg_max(play_id, seq) AS play_id FROM plays WHERE parse_status <> 'unparsed' GROUP BY game_key")
-half = W.partitionBy("game_key", "inning", "half").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-on_view("R13_contamination", PLAYS, lambda p: p.select("play_id", F.when((F.col("parse_status") == "ok") & F.coalesce(F.max((F.col("parse_status") == "unparsed").cast("int")).over(half) == 1, F.lit(False)), "state_untrusted").otherwise(F.col("parse_status")).alias("status")), "SELECT play_id, CASE WHEN parse_status = 'ok' AND coalesce(max(CAST(parse_status = 'unparsed' AS INT)) OVER (PARTITION BY game_key, inning, half ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'state_untrusted' ELSE parse_status END AS status FROM plays")
+on_view("R13_contamination", PLAYS, lambda p: p.select("play_id", F.when((F.col("parse_status") == "ok") & F.coalesce(F.max((F.col("parse_status") == "unparsed").cast("int")).over(half()) == 1, F.lit(False)), "state_untrusted").otherwise(F.col("parse_status")).alias("status")), "SELECT play_id, CASE WHEN parse_status = 'ok' AND coalesce(max(CAST(parse_status = 'unparsed' AS INT)) OVER (PARTITION BY game_key, inning, half ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'state_untrusted' ELSE parse_status END AS status FROM plays")
 add("J7_interval_counts", lambda s, d: holders(tables(s, d).plays, tables(s, d).entries).groupBy("player").agg(F.count(F.lit(1)).alias("plays")), f"{WITH} SELECT player, count(*) AS plays FROM plays p JOIN (SELECT game_key, player, seq AS from_seq, lead(seq) OVER (PARTITION BY game_key ORDER BY seq) AS to_seq FROM entries) e ON e.game_key = p.game_key AND p.seq > from_seq AND (to_seq IS NULL OR p.seq <= to_seq) GROUP BY player")
 
 # Lines of files, provenance, incremental maintenance.
