@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from fieldlog.operators.search import Search, search_from_params
@@ -20,7 +21,7 @@ def duck():
 
 def rows(frame):
     def plain(x):
-        return None if x is None or x != x else int(x) if isinstance(x, float) and x.is_integer() else x
+        return None if pd.isna(x) else int(x) if isinstance(x, float) and x.is_integer() else x
 
     frame = frame[sorted(frame.columns)]
     return sorted(tuple(str(plain(x)) for x in r) for r in frame.itertuples(index=False))
