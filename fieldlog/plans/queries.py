@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldlog.functions import events as E
+from fieldlog.functions.moves import move_columns
 from fieldlog.functions.tags import BATTING, CONTEXT, OTHERS, RUNNING, tag_array
+from fieldlog.operators.fold import replayed, scored, short_halves
 from fieldlog.operators.search import Search, holders, search_from_params
 
 from . import roles
@@ -290,6 +292,50 @@ add("T_event_tags", lambda s, d: counted(facts(catalogue(s, d)).withColumn("tags
 on_view("T_context_tags", PLAYS, lambda p: p.select(F.explode(tag_array(CONTEXT)).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")), " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM plays WHERE {c}" for n, c in (("BasesLoaded", "bases_before = '111'"), ("BasesEmpty", "bases_before = '000'"), ("RunnerOnThird", "bases_before LIKE '__1'"), ("ScoringPosition", "bases_before LIKE '_1_' OR bases_before LIKE '__1'"), ("NoOuts", "outs_before = 0"), ("OneOut", "outs_before = 1"), ("TwoOuts", "outs_before = 2"))))
 on_view("G7_tag_census", PLAY_TAGS, lambda t: t.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") == "uncertain").alias("uncertain"), F.min("play_id").alias("first_seen")), "SELECT tag, count(*) AS n, count(*) FILTER (WHERE confidence = 'uncertain') AS uncertain, min(play_id) AS first_seen FROM play_tags GROUP BY tag")
 
+# The ordered fold: each play of the log view gets an event of the catalogue; SQL has the moves written out by hand, and recursion for the order.
+MOVES = dict(zip([row[0] for row in CATALOGUE], "1... 2H.. 23H. HHH. X... X... XX.. 1... 12.. 1... 1... X... X..H XX.. X... X2.. 1... 1..X .2.. .23. .X.. .2.. .X.. .X.. ..3. .2.. 13H. 1X.. .... ....".split()))
+DEALT = f"SELECT p.game_key, p.seq, p.play_id, p.inning, p.half, concat('P', CAST(p.play_id % 40 AS STRING)) AS batter, CAST(p.play_id % {len(CATALOGUE)} AS INT) AS pick FROM ({PLAYS}) p"
+
+
+def dealt(spark: SparkSession, d: str) -> DataFrame:
+    events = F.array(*[F.lit(row[0]) for row in CATALOGUE])
+    plays = view(spark, d, DEALT).withColumn("event", F.element_at(events, F.col("pick") + 1)).drop("pick")
+    return plays.withColumns(move_columns(F.col("event")))
+
+
+def moves_text() -> Column:
+    return F.concat(*[F.coalesce(F.col(f"move_{p}"), F.lit(".")) for p in ("b", "1", "2", "3")])
+
+
+MOVES_SQL = ", ".join(f"({i}, '{m}')" for i, m in enumerate(MOVES.values()))
+SENT = lambda place, base: f"substr(m.moves, {place}, 1) = '{base}'"
+STAYS = lambda place, base: f"s.b{place} IS NOT NULL AND substr(m.moves, {place + 1}, 1) IN ('{base}'{', ' + repr('.') if str(place) == base else ''})"
+ON = lambda base: f"CASE WHEN {SENT(1, base)} THEN m.batter {' '.join(f'WHEN {STAYS(p, base)} THEN s.b{p}' for p in (1, 2, 3))} END"
+TIMES = lambda dest: f"CAST(length(moves) - length(replace(moves, '{dest}', '')) AS INT)"
+FOLD_SQL = f"""
+WITH RECURSIVE dealt AS (SELECT p.*, moves, {TIMES("X")} AS outs, {TIMES("H")} AS runs FROM ({DEALT}) p JOIN (VALUES {MOVES_SQL}) v(i, moves) ON i = pick),
+changes AS (SELECT *, CASE WHEN lag(inning) OVER w IS NULL OR lag(inning) OVER w <> inning OR lag(half) OVER w <> half THEN 1 ELSE 0 END AS changed FROM dealt WINDOW w AS (PARTITION BY game_key ORDER BY seq)),
+islands AS (SELECT *, sum(changed) OVER (PARTITION BY game_key ORDER BY seq) AS island FROM changes),
+m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY game_key, island ORDER BY seq) AS k FROM islands),
+states(game_key, island, k, b1, b2, b3, outs_before) AS (
+  SELECT game_key, island, k, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0 FROM m WHERE k = 1
+  UNION ALL SELECT s.game_key, s.island, s.k + 1, {ON("1")}, {ON("2")}, {ON("3")}, s.outs_before + m.outs
+  FROM states s JOIN m ON m.game_key = s.game_key AND m.island = s.island AND m.k = s.k),
+folded AS (SELECT m.game_key, m.seq, m.play_id, m.half, m.island, m.moves, m.outs, m.runs, b1, b2, b3, outs_before, outs_before + m.outs AS outs_after FROM states s JOIN m ON m.game_key = s.game_key AND m.island = s.island AND m.k = s.k)
+"""
+
+
+def fold(spark: SparkSession, d: str) -> DataFrame:
+    return replayed(dealt(spark, d))
+
+
+add("R1_moves", lambda s, d: dealt(s, d).groupBy("event", moves_text().alias("moves")).agg(F.count(F.lit(1)).alias("n")), f"SELECT event, moves, count(*) AS n FROM ({DEALT}) p JOIN (VALUES {', '.join(f'({i}, {chr(39)}{e}{chr(39)}, {chr(39)}{m}{chr(39)})' for i, (e, m) in enumerate(MOVES.items()))}) v(i, event, moves) ON i = pick GROUP BY event, moves")
+add("R3_forced", lambda s, d: fold(s, d).groupBy("forced", "force_outs").agg(F.count(F.lit(1)).alias("n")), f"{FOLD_SQL}, f AS (SELECT *, CASE WHEN b1 IS NULL THEN '' WHEN b2 IS NULL THEN '1' WHEN b3 IS NULL THEN '12' ELSE '123' END AS forced FROM folded) SELECT forced, CASE WHEN substr(moves, 1, 1) IN ('1', '2', '3') THEN concat(CASE WHEN substr(moves, 2, 1) = 'X' AND contains(forced, '1') THEN '1' ELSE '' END, CASE WHEN substr(moves, 3, 1) = 'X' AND contains(forced, '2') THEN '2' ELSE '' END, CASE WHEN substr(moves, 4, 1) = 'X' AND contains(forced, '3') THEN '3' ELSE '' END) ELSE '' END AS force_outs, count(*) AS n FROM f GROUP BY ALL")
+add("R7_fold_bases", lambda s, d: fold(s, d).select("game_key", "seq", "play_id", "b1", "b2", "b3", "bases_before", "outs_before", "outs", "runs", "outs_after"), f"{FOLD_SQL} SELECT game_key, seq, play_id, b1, b2, b3, concat(CASE WHEN b1 IS NULL THEN '0' ELSE '1' END, CASE WHEN b2 IS NULL THEN '0' ELSE '1' END, CASE WHEN b3 IS NULL THEN '0' ELSE '1' END) AS bases_before, outs_before, outs, runs, outs_after FROM folded")
+add("R8_flags", lambda s, d: fold(s, d).select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n")), f"{FOLD_SQL} SELECT flag, count(*) AS n FROM (SELECT 'advance_from_empty_base' AS flag FROM folded WHERE (substr(moves, 2, 1) <> '.' AND b1 IS NULL) OR (substr(moves, 3, 1) <> '.' AND b2 IS NULL) OR (substr(moves, 4, 1) <> '.' AND b3 IS NULL) UNION ALL SELECT 'more_than_three_outs' FROM folded WHERE outs_after > 3) GROUP BY flag")
+add("R9_score", lambda s, d: scored(fold(s, d)).select("play_id", "own_before", "other_before", "go_ahead"), f"{FOLD_SQL}, s AS (SELECT *, CAST(coalesce(sum(runs) OVER (PARTITION BY game_key, half ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS own_before, CAST(coalesce(sum(runs) OVER (PARTITION BY game_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS all_before FROM folded) SELECT play_id, own_before, all_before - own_before AS other_before, own_before <= all_before - own_before AND own_before + runs > all_before - own_before AS go_ahead FROM s")
+add("R12_short_halves", lambda s, d: short_halves(fold(s, d)).groupBy("outs_at_close").agg(F.count(F.lit(1)).alias("halves")), f"{FOLD_SQL}, e AS (SELECT game_key, island, arg_max(outs_after, seq) AS outs_at_close FROM folded GROUP BY game_key, island) SELECT outs_at_close, count(*) AS halves FROM (SELECT *, max(island) OVER (PARTITION BY game_key) AS last FROM e) WHERE island < last AND outs_at_close <> 3 GROUP BY outs_at_close")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
