@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,6 +36,8 @@ BANDS, ROWS = 24, 5
 WIDE, LEADERS, TURNS = 16, 2, 3
 #: Members of a bucket that a task compares with as many others.
 BLOCK = 256
+#: What rounding may take from a bound.
+SLACK = 1e-6
 #: Word hashes, and digests of documents, that a worker remembers.
 REMEMBERED = 500_000
 
@@ -120,15 +122,28 @@ def loaded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return x[1 : k + 1], 1 + np.log(n)
 
 
-def probability_jaccard(a: bytes, b: bytes) -> float:
+def shared(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in x and in y of the hashes that both have; both are in order. Equal upper halves within a document are rare; the first counts."""
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    found = x[at] == y
+    found[1:] &= y[1:] != y[:-1]
+    j = np.flatnonzero(found)
+    return at[j], j
+
+
+def probability_jaccard(a: bytes, b: bytes, least: float = 0.0) -> float:
+    """Exact where it can reach `least`; else an upper bound below it."""
     (x, u), (y, v) = loaded(a), loaded(b)
-    # Equal upper halves within a document are rare; the first counts.
-    _, i, j = np.intersect1d(x, y, return_indices=True)
-    if not len(i):
-        return 0.0
-    pairs, times = np.unique(np.stack([u[i], v[j]]), axis=1, return_counts=True)
-    only_a, only_b = u.sum() - u[i].sum(), v.sum() - v[j].sum()
-    s = [only_a / p + only_b / q + (times * np.maximum(pairs[0] / p, pairs[1] / q)).sum() for p, q in pairs.T]
+    i, j = shared(x, y)
+    all_a, all_b = u.sum(), v.sum()
+    # sum_i max(a_i/a_d, b_i/b_d) is no less than the sum of either side alone.
+    bound = float(np.minimum(u[i] / all_a, v[j] / all_b).sum())
+    if not len(i) or bound < least - SLACK:
+        return bound
+    pairs, times = np.unique(u[i] + 1j * v[j], return_counts=True)
+    p, q = pairs.real, pairs.imag
+    only_a, only_b = all_a - u[i].sum(), all_b - v[j].sum()
+    s = [only_a / m + only_b / n + (times * np.maximum(p / m, q / n)).sum() for m, n in zip(p, q)]
     return float((times / np.array(s)).sum())
 
 
@@ -167,7 +182,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            ok = [probability_jaccard(x, y) >= threshold for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            ok = [probability_jaccard(x, y, threshold) >= threshold for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -202,6 +217,29 @@ def split_buckets(members: DataFrame, joined: DataFrame, turn: int) -> DataFrame
     return placed.join(split.select("band", "members", leaders.alias("leaders")), "band")
 
 
+def upper_bounds(held: list[bytes], columns: np.ndarray) -> Callable[[int], np.ndarray]:
+    """For a document, what its probability Jaccard with each of the columns can't exceed: the sum over shared shingles of the
+    lesser share of the weight. The shingles of all documents are numbered, so a document costs one look-up for all columns together."""
+    docs = [loaded(x) for x in held]
+    number = np.unique(np.concatenate([x for x, _ in docs]), return_inverse=True)[1].astype(np.int32)
+    share = np.concatenate([(w / w.sum()).astype(np.float32) for _, w in docs])
+    ends = np.cumsum([len(x) for x, _ in docs]).tolist()
+    parts = [slice(end - len(x), end) for end, (x, _) in zip(ends, docs)]
+    numbers, shares = (np.concatenate([of[parts[j]] for j in columns]) for of in (number, share))
+    starts = np.cumsum([0, *[len(docs[j][0]) for j in columns[:-1]]])
+    own = np.zeros(int(number.max()) + 1, dtype=np.float32)
+
+    def bounds(i: int) -> np.ndarray:
+        # Backwards, so that of equal hashes the first counts.
+        mine = number[parts[i]][::-1]
+        own[mine] = share[parts[i]][::-1]
+        out = np.add.reduceat(np.minimum(own[numbers], shares), starts, dtype=np.float64)
+        own[mine] = 0
+        return out
+
+    return bounds
+
+
 def compared_in_full(held: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links between members of different components of a bucket, which share a second bucket too. Buckets are cut into blocks; a task
     compares two blocks, and a pair is compared in the first bucket that it shares, so no pair is a row unless it is a link."""
@@ -215,11 +253,17 @@ def compared_in_full(held: DataFrame, sets: DataFrame, threshold: float) -> Data
         held, out = t.column("shingles").to_pylist(), ([], [])
         here = int(np.flatnonzero(keys[0] == own)[0])
         rows, columns = np.flatnonzero(home == low), np.flatnonzero(home == high)
-        for i in rows.tolist():
+        if len(rows) and len(columns):
+            bounds = upper_bounds(held, columns)
+        for i in rows.tolist() if len(columns) else []:
             same = keys[columns] == keys[i]
             ok = (same.sum(axis=1) >= 2) & (same.argmax(axis=1) == here) & (part[columns] != part[i])
-            for j in columns[ok & ((node[columns] > node[i]) if low == high else True)].tolist():
-                if probability_jaccard(held[i], held[j]) >= threshold:
+            if low == high:
+                ok &= node[columns] > node[i]
+            if not ok.any():
+                continue
+            for j in columns[ok & (bounds(i) >= threshold - SLACK)].tolist():
+                if probability_jaccard(held[i], held[j], threshold) >= threshold:
                     out[0].append(min(node[i], node[j])), out[1].append(max(node[i], node[j]))
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
