@@ -337,6 +337,36 @@ add("R9_score", lambda s, d: scored(fold(s, d)).select("play_id", "own_before",
 add("R12_short_halves", lambda s, d: short_halves(fold(s, d)).groupBy("outs_at_close").agg(F.count(F.lit(1)).alias("halves")), f"{FOLD_SQL}, e AS (SELECT game_key, island, arg_max(outs_after, seq) AS outs_at_close FROM folded GROUP BY game_key, island) SELECT outs_at_close, count(*) AS halves FROM (SELECT *, max(island) OVER (PARTITION BY game_key) AS last FROM e) WHERE island < last AND outs_at_close <> 3 GROUP BY outs_at_close")
 
 
+# Curated tags, spans, appearances, parks, layout of a file.
+MERGED = f"SELECT play_id, tag, 'certain' AS confidence, 'curated' AS source, 0 AS rank FROM ({PLAYS}) p WHERE play_id % 29 = 0 UNION ALL SELECT play_id, 'HiddenBallTrick', 'certain', 'curated', 0 FROM ({PLAYS}) q WHERE play_id % 31 = 0 UNION ALL SELECT play_id, tag, confidence, 'derived', 1 FROM ({PLAY_TAGS}) t"
+on_view("G5_curated_wins", MERGED, lambda t: t.groupBy("play_id", "tag").agg(F.min(F.struct("rank", "confidence", "source")).alias("x")).select("play_id", "tag", "x.confidence", "x.source"), f"SELECT play_id, tag, confidence, source FROM (SELECT *, row_number() OVER (PARTITION BY play_id, tag ORDER BY rank, confidence) AS k FROM ({MERGED}) m) WHERE k = 1")
+
+
+def tiling(df: DataFrame) -> DataFrame:
+    """Overlaps and gaps of ordered spans, from the furthest end so far."""
+    spans = df.select("l_orderkey", F.col("l_linenumber").cast("long").alias("lo"), (F.col("l_linenumber") + F.col("l_suppkey") % 3).alias("hi"))
+    so_far = F.max("hi").over(W.partitionBy("l_orderkey").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1))
+    return spans.withColumn("reached", so_far).groupBy("l_orderkey").agg(F.count_if(F.col("lo") <= F.col("reached")).alias("overlaps"), F.count_if(F.col("lo") > F.col("reached") + 1).alias("gaps"))
+
+
+on_table("W7_tiling", "lineitem", tiling, "SELECT l_orderkey, count(*) FILTER (WHERE lo <= reached) AS overlaps, count(*) FILTER (WHERE lo > reached + 1) AS gaps FROM (SELECT l_orderkey, lo, max(hi) OVER (PARTITION BY l_orderkey ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM (SELECT l_orderkey, l_linenumber AS lo, l_linenumber + l_suppkey % 3 AS hi FROM lineitem)) GROUP BY l_orderkey")
+add("A12_games_of_players", lambda s, d: tables(s, d).entries.join(tables(s, d).games, "game_key").groupBy("player", "season", "home").agg(F.countDistinct("game_key").alias("games")), f"{WITH} SELECT player, season, home, count(DISTINCT e.game_key) AS games FROM entries e JOIN games g ON g.game_key = e.game_key GROUP BY player, season, home")
+on_view("B9_park_seasons", GAMES, lambda g: g.groupBy("home").agg(F.count(F.lit(1)).alias("games"), F.min("season").alias("first_season"), F.max("season").alias("last_season")), "SELECT home, count(*) AS games, min(season) AS first_season, max(season) AS last_season FROM games GROUP BY home")
+
+#: Shapes of a layout; each may fail for TOLERATED of the rows.
+LAYOUT, TOLERATED = {"flag": "l_returnflag IN ('A', 'N', 'R')", "discount": "l_discount <= 0.05", "line_number": "l_linenumber <= 6"}, 0.2
+
+
+def layout(df: DataFrame) -> DataFrame:
+    """Each shape's failures, all counted in one pass."""
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(~F.coalesce(F.expr(rule), F.lit(False))).alias(name) for name, rule in LAYOUT.items()])
+    each = one.select("rows", F.expr(f"stack({len(LAYOUT)}, {', '.join(f'{chr(39)}{n}{chr(39)}, {n}' for n in LAYOUT)}) AS (shape, failures)"))
+    return each.select("shape", "failures", (F.col("failures") <= F.col("rows") * TOLERATED).alias("holds"))
+
+
+on_table("S26_layout", "lineitem", layout, " UNION ALL ".join(f"SELECT '{n}' AS shape, count(*) FILTER (WHERE NOT coalesce({r}, false)) AS failures, count(*) FILTER (WHERE NOT coalesce({r}, false)) <= count(*) * {TOLERATED} AS holds FROM lineitem" for n, r in LAYOUT.items()))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
     return S.outs(2).tag("purchase").run(t).select(*KEYS, "inning", "half", "bases_before")
