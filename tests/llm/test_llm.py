@@ -152,3 +152,30 @@ def test_urls(spark):
     assert got[0] == ("www.example.org", "/es/1", "example.org/es/") and got[1][2] == "example.org/en/1"
     assert got[2] == got[3] == ("", "", None) and got[4] == ("a.org", "", None) and got[5][2] == "org/"
     assert got[6][2] == "com/fr/" and got[7] == ("b.com", "/de/x", "com/de/") and got[8] == ("c.net", "/q", None)
+
+
+def test_bounds_hold():
+    """No pair's probability Jaccard is above its bound, and the short cut decides as the whole sum does."""
+    import random
+
+    import numpy as np
+
+    from fieldlog.llm import near_dedup as N
+
+    draw = random.Random(3)
+    texts = []
+    for _ in range(12):
+        words = [f"w{draw.randrange(90)}" for _ in range(draw.choice([1, 5, 40, 120]))] * draw.choice([1, 2])
+        for changes in (0, 1, 6):
+            copy = list(words)
+            for _ in range(changes):
+                copy[draw.randrange(len(copy))] = "other"
+            texts.append(" ".join(copy))
+    held = [N.stored(*N.shingles(t)) for t in texts]
+    bounds = N.upper_bounds(held, np.arange(len(held)))
+    for i, a in enumerate(held):
+        above = bounds(i)
+        for j, b in enumerate(held):
+            exact = N.probability_jaccard(a, b)
+            assert exact <= above[j] + N.SLACK
+            assert (exact >= 0.8) == (N.probability_jaccard(a, b, 0.8) >= 0.8)
