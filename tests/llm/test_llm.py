@@ -156,12 +156,6 @@ def test_urls(spark):
 
 def test_bounds_hold():
     """No pair's probability Jaccard is above its bound, and the short cut decides as the whole sum does."""
-    import random
-
-    import numpy as np
-
-    from fieldlog.llm import near_dedup as N
-
     draw = random.Random(3)
     texts = []
     for _ in range(12):
@@ -171,11 +165,11 @@ def test_bounds_hold():
             for _ in range(changes):
                 copy[draw.randrange(len(copy))] = "other"
             texts.append(" ".join(copy))
-    held = [N.stored(*N.shingles(t)) for t in texts]
-    bounds = N.upper_bounds(held, np.arange(len(held)))
+    held = [near_dedup.stored(*near_dedup.shingles(t)) for t in texts]
+    bounds = near_dedup.upper_bounds(held, np.arange(len(held)))
     for i, a in enumerate(held):
         above = bounds(i)
         for j, b in enumerate(held):
-            exact = N.probability_jaccard(a, b)
-            assert exact <= above[j] + N.SLACK
-            assert (exact >= 0.8) == (N.probability_jaccard(a, b, 0.8) >= 0.8)
+            exact = near_dedup.probability_jaccard(a, b)
+            assert exact <= above[j] + near_dedup.SLACK
+            assert (exact >= 0.8) == (near_dedup.probability_jaccard(a, b, 0.8) >= 0.8)
