@@ -173,3 +173,46 @@ def test_bounds_hold():
             exact = near_dedup.probability_jaccard(a, b)
             assert exact <= above[j] + near_dedup.SLACK
             assert (exact >= 0.8) == (near_dedup.probability_jaccard(a, b, 0.8) >= 0.8)
+
+
+def two_languages(spark):
+    """Texts in words of one language each: frequent ones and 1500 others; and triples whose last word follows from the first alone."""
+    draw, texts = random.Random(7), []
+    for k in range(600):
+        language = "ab"[k % 2]
+        texts.append(" ".join(f"{language}often{draw.randrange(20)}" if draw.random() < 0.5 else f"{language}{draw.randrange(1500)}" for _ in range(30)))
+    texts += ["p1 f q1", "p2 f q2"] * 60
+    seen = {}
+    for t in " ".join(texts).split():
+        seen[t] = seen.get(t, 0) + 1
+    rare = {x: sorted((t for t in seen if t[0] == x and seen[t] <= 2), key=lambda t: (seen[t], t))[:40] for x in "ab"}
+    mixed = [rare["ab"[i % 2]][i] for i in range(40)], [rare["ba"[i % 2]][i] for i in range(40)]
+    asked = [" ".join(rare["a"]), " ".join(rare["b"]), *map(" ".join, mixed), "p1 f q1", "p1 f q2", "unseen here a1"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10_000 + i, t) for i, t in enumerate(asked)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def scored(df):
+    return [r for r in sorted(lm_scoring.score(df, held=F.col("doc_id") >= 10_000).collect(), key=lambda r: r.doc_id) if r.doc_id >= 10_000]
+
+
+def test_lm_sees_rare_tokens_and_two_before(spark, monkeypatch):
+    df = two_languages(spark)
+    whole = scored(df)
+    a, b, ab, ba, right, wrong, _ = [r.score for r in whole]
+    # The same rare tokens, in texts of one language and mixed.
+    assert a + b > ab + ba + 2
+    assert right > wrong + 0.2
+    # Tokens that meet their counts and classes in a join.
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 700)
+    joined = scored(df)
+    assert [(r.n_tokens, r.n_known) for r in joined] == [(r.n_tokens, r.n_known) for r in whole]
+    assert np.allclose([r.base_score for r in joined], [r.base_score for r in whole])
+    assert sum(r.score for r in joined[:2]) > sum(r.score for r in joined[2:4]) + 2
+
+
+def test_lm_shares_sum_to_one():
+    table = 10 ** lm_scoring.trained(np.arange(25.0).reshape(5, 5)).log10_table()
+    unseen, average = np.array([0.25, 0.5]), np.array([0.4, 0.6])
+    chances = lm_scoring.with_unseen(table, slice(2, 4), unseen, average)
+    assert np.allclose(chances[:, :5] @ np.array([1, 1, 0.75, 0.5, 1]) + chances[:, 5], 1)
