@@ -8,10 +8,10 @@ J = sum over shared d of 1 / sum_i max(a_i/a_d, b_i/b_d), their probability Jacc
 Documents with equal shingles and weights are one node from the start, so copies never meet. Nodes that agree in all
 components of a band share a bucket. A bucket's members are compared with its smallest member only; connected components of those
 links follow. Where a bucket still holds several components, its members are compared with a few drawn ones of other components, and again;
-at last members of different components are compared in full (those that meet in two buckets at least), which is all that could still
-join components. So a large group costs a few comparisons a member, and no link between components is lost. A link needs an exact probability Jaccard of THRESHOLD.
+at last members of different components are compared in full, which is all that could still join components. So a large group costs
+a few comparisons a member, and no link between members of a bucket that would join components is lost. A link needs an exact probability Jaccard of THRESHOLD.
 
-BANDS bands of ROWS components find a pair at 0.8 with a chance of 99.9 %, and more above.
+BANDS bands of ROWS components bring a pair at 0.8 into a common bucket with a chance of 99.99 %, and more above.
 
 Defined cases: words are runs of letters, digits and underscores in lower case. A text of one to four words is one shingle. Texts without words
 (null, empty) are alone, each its own class. A class's id is its smallest doc_id; rows that repeat an id are one document. Rows with a null id
@@ -241,7 +241,7 @@ def upper_bounds(held: list[bytes], columns: np.ndarray) -> Callable[[int], np.n
 
 
 def compared_in_full(held: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links between members of different components of a bucket, which share a second bucket too. Buckets are cut into blocks; a task
+    """Links between members of different components of a bucket. Buckets are cut into blocks; a task
     compares two blocks, and a pair is compared in the first bucket that it shares, so no pair is a row unless it is a link."""
 
     def run(t):
@@ -257,7 +257,7 @@ def compared_in_full(held: DataFrame, sets: DataFrame, threshold: float) -> Data
             bounds = upper_bounds(held, columns)
         for i in rows.tolist() if len(columns) else []:
             same = keys[columns] == keys[i]
-            ok = (same.sum(axis=1) >= 2) & (same.argmax(axis=1) == here) & (part[columns] != part[i])
+            ok = same[:, here] & (same.argmax(axis=1) == here) & (part[columns] != part[i])
             if low == high:
                 ok &= node[columns] > node[i]
             if not ok.any():

@@ -216,3 +216,12 @@ def test_lm_shares_sum_to_one():
     unseen, average = np.array([0.25, 0.5]), np.array([0.4, 0.6])
     chances = lm_scoring.with_unseen(table, slice(2, 4), unseen, average)
     assert np.allclose(chances[:, :5] @ np.array([1, 1, 0.75, 0.5, 1]) + chances[:, 5], 1)
+
+
+def test_pairs_of_one_band_are_compared(spark):
+    """Near copies in a mixed bucket that share no second one are linked."""
+    words = [f"w{i}" for i in range(300)]
+    texts = {1: " ".join(words), 2: " ".join(words[:290] + ["other"]), 3: "quite another text of several words"}
+    sets = spark.createDataFrame([(k, near_dedup.stored(*near_dedup.shingles(t)), [7, *range(100 * k, 100 * k + near_dedup.BANDS - 1)]) for k, t in texts.items()], "node long, shingles binary, bands array<long>")
+    held = spark.createDataFrame([(7, k, k, 3) for k in texts], "band long, node long, component long, members long")
+    assert [tuple(r) for r in near_dedup.compared_in_full(held, sets, near_dedup.THRESHOLD).collect()] == [(1, 2)]
