@@ -2,15 +2,16 @@
 
 A rolling hash over the last ids cuts each document's id stream where its low bits are zero, so that equal passages give equal
 chunks wherever they stand. A chunk's name is the digest of its ids; each is stored once. A document's recipe lists its chunks.
-Manifests hold Merkle roots: over a document's chunk names, and over the documents of each recipe file.
+Manifests hold Merkle roots: over a document's chunk names, and over the documents of each part of the recipes.
 
 Files, all Parquet, below one folder: `chunks` (chunk, n, ids as little-endian 16-bit or 32-bit integers, wide), `recipes`
-(doc_id, start, n_tokens, root, chunks) in ascending order of doc_id over the files in turn, `manifest` (part, documents,
+(doc_id, start, n_tokens, root, chunks, part) in ascending order of doc_id over the parts in turn, each whole in one file, `manifest` (part, documents,
 ids, root).
 
 Reading takes every chunk from its file once, recomputes its name and its checksum from the ids and joins those few bytes to the
 recipes; the checksum of a document is composed from those of its chunks, which is exact (a checksum of a concatenation follows from
-the parts' checksums and lengths). `documents()` rebuilds the ids themselves.
+the parts' checksums and lengths). The manifest is compared with the recipes read back: documents of a part that differs from its row, or has
+none, aren't verified, and a part of the manifest that has lost all its recipes stops the reading. `documents()` rebuilds the ids themselves.
 
 Defined cases: a null text counts as empty: its stream is the end id alone. Null ids come first, rows with the same id in any order.
 An empty table gives empty files.
@@ -165,7 +166,13 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
     first = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("part")] if before else F.lit(0).cast("long")
     within = W.partitionBy("part").orderBy("doc_id", "tie").rowsBetween(W.unboundedPreceding, -1)
     recipes = ranged.select("doc_id", (first + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("start"), "n_tokens", "root", "chunks", "part")
-    recipes.repartitionByRange(partitions(spark), "start").sortWithinPartitions("start").write.parquet(f"{folder}/recipes")
+    # The partitions are as `ranged` was written, but may be read in several tasks or together; a part is dealt to one task again.
+    recipes.repartitionByRange(partitions(spark), "part").sortWithinPartitions("part", "start").write.parquet(f"{folder}/recipes")
+    manifest(spark.read.parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
+
+
+def manifest(recipes: DataFrame) -> DataFrame:
+    """Per part of the recipes: part, documents, ids, root."""
 
     def rooted(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -173,12 +180,25 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([merkle([x["root"] for x in xs]) for xs in b.column(3).to_pylist()], pa.binary())], names=["part", "documents", "ids", "root"])
 
-    parts = spark.read.parquet(f"{folder}/recipes").groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("ids"), F.array_sort(F.collect_list(F.struct("start", "root"))).alias("roots"))
-    parts.mapInArrow(rooted, "part int, documents long, ids long, root binary").write.parquet(f"{folder}/manifest")
+    parts = recipes.groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("ids"), F.array_sort(F.collect_list(F.struct("start", "root"))).alias("roots"))
+    return parts.mapInArrow(rooted, "part int, documents long, ids long, root binary")
+
+
+def sound_parts(spark: SparkSession, folder: str) -> list[int]:
+    """The parts whose recipes, as read back, are those of the manifest. A part that is in the manifest only has lost its recipes: an error."""
+    columns = ["documents", "ids", "root"]
+    found = manifest(spark.read.parquet(f"{folder}/recipes")).select("part", F.struct(*columns).alias("found"))
+    noted = spark.read.parquet(f"{folder}/manifest").select("part", F.struct(*columns).alias("noted"))
+    # One row a part, as many as there are recipe files.
+    both = found.join(noted, "part", "full").select("part", F.col("found").isNull().alias("lost"), F.col("found").eqNullSafe(F.col("noted")).alias("same")).collect()
+    if lost := sorted(r.part for r in both if r.lost):
+        raise ValueError(f"{folder}: the recipes of parts {lost} are missing")
+    return [r.part for r in both if r.same]
 
 
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """From the files: doc_id, start, n_tokens, ids_crc32, verified (every chunk has its name's content, and the recipe its root)."""
+    """From the files: doc_id, start, n_tokens, ids_crc32, verified (every chunk has its name's content, the recipe its root,
+    and the part of the recipes what the manifest says)."""
 
     def checked(batches: Iterator) -> Iterator:
         from zlib import crc32
@@ -195,18 +215,19 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
 
         for b in batches:
             crcs, sound, counts = [], [], []
-            for root, parts in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for root, parts, part in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 crcs.append(joined_crc([(x["crc"] or 0, 4 * (x["n"] or 0)) for x in parts]))
                 counts.append(sum(x["n"] or 0 for x in parts))
-                sound.append(all(x["sound"] for x in parts) and merkle([x["chunk"] for x in parts]) == root)
+                sound.append(part in kept and all(x["sound"] for x in parts) and merkle([x["chunk"] for x in parts]) == root)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64()), pa.array(sound, pa.bool_())], names=["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
     small_batches(spark)
+    kept = set(sound_parts(spark, folder))
     chunks = spark.read.parquet(f"{folder}/chunks").select("chunk", "n", "wide", "ids").mapInArrow(checked, "chunk binary, n long, crc long, sound boolean")
     recipes = spark.read.parquet(f"{folder}/recipes")
-    parts = recipes.select("doc_id", "start", "root", F.posexplode("chunks").alias("at", "chunk")).join(chunks, "chunk", "left")
-    whole = parts.groupBy("doc_id", "start", "root").agg(F.array_sort(F.collect_list(F.struct("at", "n", "crc", F.coalesce("sound", F.lit(False)).alias("sound"), "chunk"))).alias("parts"))
-    return whole.mapInArrow(joined, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
+    parts = recipes.select("doc_id", "start", "root", "part", F.posexplode("chunks").alias("at", "chunk")).join(chunks, "chunk", "left")
+    whole = parts.groupBy("doc_id", "start", "root", "part").agg(F.array_sort(F.collect_list(F.struct("at", "n", "crc", F.coalesce("sound", F.lit(False)).alias("sound"), "chunk"))).alias("parts"))
+    return whole.select("doc_id", "start", "root", "parts", "part").mapInArrow(joined, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -225,3 +225,22 @@ def test_pairs_of_one_band_are_compared(spark):
     sets = spark.createDataFrame([(k, near_dedup.stored(*near_dedup.shingles(t)), [7, *range(100 * k, 100 * k + near_dedup.BANDS - 1)]) for k, t in texts.items()], "node long, shingles binary, bands array<long>")
     held = spark.createDataFrame([(7, k, k, 3) for k in texts], "band long, node long, component long, members long")
     assert [tuple(r) for r in near_dedup.compared_in_full(held, sets, near_dedup.THRESHOLD).collect()] == [(1, 2)]
+
+
+def test_id_store_misses_recipes(spark, tmp_path):
+    """A lost recipe makes its part unverified, a lost part is an error."""
+    rows = spark.createDataFrame([(i, f"text number {i}") for i in range(40)], "doc_id long, text string")
+    folder, less, none = (str(tmp_path / x) for x in ("store", "less", "none"))
+    assert {r.verified for r in id_store.stored_digests(rows, folder).collect()} == {True}
+    recipes = spark.read.parquet(f"{folder}/recipes")
+    files = [r.part for r in recipes.select("part", F.input_file_name()).distinct().collect()]
+    assert 1 < len(files) == len(set(files))
+    part = recipes.where("doc_id = 7").first().part
+    for copy, left in ((less, "doc_id <> 7"), (none, f"part <> {part}")):
+        for name in ("chunks", "manifest"):
+            spark.read.parquet(f"{folder}/{name}").write.parquet(f"{copy}/{name}")
+        recipes.where(left).write.parquet(f"{copy}/recipes")
+    inside = {r.doc_id for r in recipes.where(f"part = {part}").collect()} - {7}
+    assert {r.doc_id for r in id_store.read_digests(spark, less).collect() if not r.verified} == inside
+    with pytest.raises(ValueError, match="missing"):
+        id_store.read_digests(spark, none)
