@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Documents can be long, so the default of 10,000 rows would not bound a batch's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch at most (a single longer row is a batch of its own), so that long documents don't meet in a worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Rows of a few numbers each that are sent to every task at most: about 60 MB as a hash table. More meet their partners in a shuffle.
+SENT_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where the session names none (tests), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A session that names none gets a temporary one if it runs on this machine alone; else it's an error."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="fieldlog-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -31,12 +36,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds what a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bounds what a Python worker holds at once, for the session, unless its bounds are closer already."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    bound = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().rstrip("b")
+    if not bound.isdigit() or int(bound) > size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A table of written(), of a few numbers a row: with the hint to send it to every task where it has at most SENT_ROWS rows."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
 
 
 def text_of(column: str = "text") -> Column:

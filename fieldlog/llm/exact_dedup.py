@@ -7,16 +7,15 @@ ranges are joined afterwards through two rows a range.
 
 Defined cases: a null text counts as empty, so null and empty texts are one group. Null ids sort last, and a group keeps
 a null id only if it has no other. Of rows with the same text and id one stays, any of them, since they don't differ
-in what is compared. An empty table gives an empty table. Columns that aren't named in `carry` are not read.
+in what is compared; of a null and an empty text with the same id, either. An empty table gives an empty table. Other columns may have any names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import partitions, text_of, written
 
@@ -57,11 +56,9 @@ def range_of(key: Column, cuts: list[str]) -> Column:
     )
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", carry: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
-    """One row per row of df: id, keep_id, group_size, kept, text_sha256, and the columns named in carry as struct `carried`.
-
-    keep: whether the row with the smallest ("min") or largest ("max") id of equal texts stays.
-    """
+def sorted_runs(df: DataFrame, id_col: str, text_col: str, keep: str, carried: Column, ranges: int | None) -> DataFrame:
+    """Per row: id, body, digest, carried, range, run (its number in the range), first (of its run), rows (of the run), head (the id that stays, with its
+    place in the order), at_end (whether the first or last run of a range begins here)."""
     if keep not in ("min", "max"):
         raise ValueError("keep is 'min' or 'max'")
     ranges = ranges or RANGES_A_PARTITION * partitions(df.sparkSession)
@@ -69,7 +66,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = text_of(text_col)
     digest = F.sha2(text, 256)
     content = F.concat(F.hex(F.substring(F.encode(text, "utf-8"), 1, 16)), F.lit("!"), digest)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("body"), content.alias("content"), id_key(id_col, keep).alias("turn"), F.struct(*[F.col(c) for c in carry]).alias("carried") if carry else F.lit(0).alias("carried"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("body"), content.alias("content"), id_key(id_col, keep).alias("turn"), carried.alias("carried"))
     cuts = splitters(rows.select(F.concat("content", F.lit("!"), "turn")), ranges)
     dealt = rows.withColumn("range", range_of(F.concat("content", F.lit("!"), "turn"), cuts)).repartition(partitions(df.sparkSession), "range")
 
@@ -79,23 +76,40 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     run, whole = W.partitionBy("range", "run"), W.partitionBy("range")
     runs = runs.withColumn("rows", F.count(F.lit(1)).over(run)).withColumn("head", F.min(F.struct("turn", "id")).over(run)).withColumn("runs", F.max("run").over(whole))
     at_end = F.col("first") & ((F.col("run") == 1) | (F.col("run") == F.col("runs")))
-    found = written(runs.select("id", "carried", "range", "run", "first", "rows", "head", F.substring("content", -64, 64).alias("digest"), F.when(at_end, F.col("body")).alias("end_body")), "exact")
+    return runs.select("id", "body", F.substring("content", -64, 64).alias("digest"), "carried", "range", "run", "first", "rows", "head", at_end.alias("at_end"))
+
 
-    ends = found.where(F.col("end_body").isNotNull()).select("range", "run", "rows", "head", "end_body")
+def met_at_ends(ends: DataFrame) -> DataFrame:
+    """Of runs at the ends of ranges (range, run, rows, head, end_body) those that other ranges go on with: range, run, all_rows, best_id, best_range."""
     met = ends.groupBy("end_body").agg(F.sum("rows").alias("all_rows"), F.min(F.struct("head", "range")).alias("best"), F.collect_list(F.struct("range", "run")).alias("at")).where(F.size("at") > 1)
-    # Two rows a range at most, of a few numbers each: small for any number of ranges that Spark can plan.
-    met = met.select(F.explode("at").alias("at"), "all_rows", "best").select("at.range", "at.run", "all_rows", F.col("best.head.id").alias("best_id"), F.col("best.range").alias("best_range"), F.lit(True).alias("joined"))
-    out = found.join(F.broadcast(met), ["range", "run"], "left")
-    return out.select(
+    # Two rows a range at most, of about 100 bytes each: 1 MB for 5,000 ranges, whatever the rows of df.
+    return F.broadcast(met.select(F.explode("at").alias("at"), "all_rows", "best").select("at.range", "at.run", "all_rows", F.col("best.head.id").alias("best_id"), F.col("best.range").alias("best_range"), F.lit(True).alias("joined")))
+
+
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", ranges: int | None = None) -> DataFrame:
+    """One row per row of df: id, keep_id, group_size, kept, text_sha256.
+
+    keep: whether the row with the smallest ("min") or largest ("max") id of equal texts stays.
+    """
+    runs = sorted_runs(df, id_col, text_col, keep, F.lit(0), ranges)
+    found = written(runs.select("id", "range", "run", "first", "rows", "head", "digest", F.when(F.col("at_end"), F.col("body")).alias("end_body")), "exact")
+    met = met_at_ends(found.where(F.col("end_body").isNotNull()).select("range", "run", "rows", "head", "end_body"))
+    return found.join(met, ["range", "run"], "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("joined"), F.col("best_id")).otherwise(F.col("head.id")).alias("keep_id"),
         F.coalesce("all_rows", "rows").cast("long").alias("group_size"),
         (F.col("first") & (F.col("joined").isNull() | (F.col("range") == F.col("best_range")))).alias("kept"),
         F.col("digest").alias("text_sha256"),
-        *([F.col("carried")] if carry else []),
     )
 
 
-def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of df that stay, with its columns."""
-    return exact_groups(df, id_col, text_col, keep, carry=df.columns).where("kept").select("carried.*")
+def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", ranges: int | None = None) -> DataFrame:
+    """The rows of df that stay, with its columns. Only the first row of each run is written; its text travels once."""
+    rebuilt = {text_col} if df.schema[text_col].dataType == StringType() else set()
+    carried = F.struct(F.col(text_col).isNull().alias("no text"), F.struct(*[F.col(c) for c in df.columns if c not in rebuilt]).alias("columns"))
+    runs = sorted_runs(df, id_col, text_col, keep, carried, ranges)
+    found = written(runs.where("first").select("carried", "body", "range", "run", "rows", "head", "at_end"), "firsts")
+    met = met_at_ends(found.where("at_end").select("range", "run", "rows", "head", F.col("body").alias("end_body")))
+    stay = found.join(met, ["range", "run"], "left").where(F.col("joined").isNull() | (F.col("range") == F.col("best_range")))
+    text = F.when(~F.col("carried")["no text"], F.col("body"))
+    return stay.select(*[(text if c in rebuilt else F.col("carried")["columns"][c]).alias(c) for c in df.columns])

@@ -1,15 +1,18 @@
 """The corpus operators against brute force, round trips and held-out rows."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldlog.llm import bpe, exact_dedup, id_store, language_id, lm_scoring, near_dedup, nearest, packing, pii, url_filter
+from fieldlog.llm import bpe, common, exact_dedup, id_store, language_id, lm_scoring, near_dedup, nearest, packing, pii, url_filter
 from fieldlog.llm.words import default_tokenizer
 
 DATA = "/root/testdata/sf0.001"
@@ -222,8 +225,11 @@ def test_pairs_of_one_band_are_compared(spark):
     """Near copies in a mixed bucket that share no second one are linked."""
     words = [f"w{i}" for i in range(300)]
     texts = {1: " ".join(words), 2: " ".join(words[:290] + ["other"]), 3: "quite another text of several words"}
-    sets = spark.createDataFrame([(k, near_dedup.stored(*near_dedup.shingles(t)), [7, *range(100 * k, 100 * k + near_dedup.BANDS - 1)]) for k, t in texts.items()], "node long, shingles binary, bands array<long>")
+    held = {k: near_dedup.shingles(t) for k, t in texts.items()}
+    rows = [(k, near_dedup.stored(h, n), near_dedup.signature_bytes(near_dedup.signature(h, 1 + np.log(n))), [7, *range(100 * k, 100 * k + near_dedup.BANDS - 1)]) for k, (h, n) in held.items()]
+    sets = spark.createDataFrame(rows, "node long, shingles binary, sig binary, bands array<long>").withColumn("bytes", F.length("shingles").cast("long"))
     held = spark.createDataFrame([(7, k, k, 3) for k in texts], "band long, node long, component long, members long")
+    assert sorted(tuple(r) for r in near_dedup.agreeing(held, sets).collect()) == [(7, 1), (7, 2)]
     assert [tuple(r) for r in near_dedup.compared_in_full(held, sets, near_dedup.THRESHOLD).collect()] == [(1, 2)]
 
 
@@ -244,3 +250,80 @@ def test_id_store_misses_recipes(spark, tmp_path):
     assert {r.doc_id for r in id_store.read_digests(spark, less).collect() if not r.verified} == inside
     with pytest.raises(ValueError, match="missing"):
         id_store.read_digests(spark, none)
+
+
+def families(draw, many):
+    """Texts with copies of all degrees, boilerplate that many share, and a family whose members are near each other in chains."""
+    boiler = [f"b{i}" for i in range(60)]
+    texts = []
+    for f in range(many):
+        words = [f"f{f}w{draw.randrange(400)}" for _ in range(draw.choice([12, 80, 250]))] + (boiler if f % 3 else [])
+        for _ in range(draw.choice([1, 3, 6])):
+            copy = list(words)
+            for _ in range(draw.choice([0, 1, 2, 4, 9])):
+                copy[draw.randrange(len(copy))] = f"x{draw.randrange(10**6)}"
+            texts.append(" ".join(copy))
+        for k in range(6 if f % 10 == 0 else 0):
+            texts.append(" ".join([*words[3 * k :], *[f"c{f}n{i}" for i in range(3 * k)]]))
+    return texts
+
+
+def brute_classes(texts):
+    """Whole probability Jaccard of all pairs, straight from its definition over shingles as words; classes of the links."""
+    def weights(t):
+        words = re.findall(r"\w+", t.lower())
+        size = min(5, len(words))
+        counts = Counter(tuple(words[i : i + size]) for i in range(len(words) - size + 1)) if size else {}
+        return {k: 1 + math.log(n) for k, n in counts.items()}
+
+    sets, root = [weights(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            both = a.keys() & b.keys()
+            if a and b and 3 * len(both) > len(a) and sum(1 / sum(max(a.get(k, 0) / a[d], b.get(k, 0) / b[d]) for k in a.keys() | b.keys()) for d in both) >= 0.8:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("wide", [16, 2])
+def test_near_groups_are_those_of_all_pairs(spark, monkeypatch, wide):
+    """Also with small blocks, and with drawn leaders in nearly all buckets."""
+    monkeypatch.setattr(near_dedup, "WIDE", wide)
+    if wide == 2:
+        monkeypatch.setattr(near_dedup, "BLOCK", 3)
+        monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 4000)
+    texts = families(random.Random(wide), 40)
+    want = brute_classes(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in near_dedup.near_groups(rows).collect()}
+    assert [got[i].class_id for i in range(len(texts))] == want
+    sizes = Counter(want)
+    assert all(r.class_size == sizes[r.class_id] and r.kept == (r.doc_id == r.class_id) for r in got.values())
+    assert len(sizes) < len(texts)
+
+
+def test_near_copies_go_either_way(spark, docs, monkeypatch):
+    """The same rows stay where the dropped ones are too many to be sent to every task."""
+    left = sorted(r.doc_id or 0 for r in near_dedup.drop_near_copies(docs).collect())
+    monkeypatch.setattr(common, "SENT_ROWS", 0)
+    assert sorted(r.doc_id or 0 for r in near_dedup.drop_near_copies(docs).collect()) == left
+
+
+def test_copies_dropped_over_ranges(spark):
+    """Texts that span ranges; other columns of any name and the difference of null and empty stay."""
+    rows = [(i, None if i == 0 else "" if i % 3 == 1 else f"t{i % 50}", "c", 1.5, [i]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, body string, first double, carried array<int>")
+    left = sorted(tuple(r) for r in exact_dedup.drop_exact_copies(df, ranges=16).collect())
+    first = {}
+    for r in rows:
+        first.setdefault(r[1] or "", r)
+    assert left == sorted(first.values())
+    assert exact_dedup.drop_exact_copies(df.limit(0)).count() == 0
