@@ -24,9 +24,13 @@ from .common import crc_of_id, small_batches, text_of
 
 UNKNOWN = "und"
 HIDDEN = 10
-WINDOW = 64
+#: Bytes that the network goes through at once: STRIDE of their own, with LAP on either side, so that no position is judged from a state that has just begun.
+STRIDE, LAP = 48, 8
+WINDOW = STRIDE + 2 * LAP
 #: Rows of each language and code points of each row to learn from. Bounds what the driver holds: languages x SAMPLE x EXCERPT.
 SAMPLE, EXCERPT = 150, 1500
+#: Labels to learn, the most frequent ones. More would be a dirty column.
+LABELS = 200
 STEPS, BATCH, RATE = 260, 192, 0.02
 #: Windows that advance together.
 TOGETHER = 4096
@@ -146,9 +150,11 @@ def gradients(net: Network, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> l
     return [*inputs, *gates, *candidates, to_out, z.sum(axis=(0, 1))]
 
 
-def windows(data: bytes, size: int = WINDOW) -> np.ndarray:
-    rows = max(1, -(-len(data) // size))
-    return np.frombuffer(data.ljust(rows * size, b"\0"), np.uint8).reshape(rows, size)
+def windows(data: bytes) -> np.ndarray:
+    """(window, byte): each STRIDE bytes with their surroundings. 0 is padding; where a text has such a byte it counts as a space."""
+    rows = max(1, -(-len(data) // STRIDE))
+    padded = (b"\0" * LAP + data.replace(b"\0", b" ")).ljust(rows * STRIDE + 2 * LAP, b"\0")
+    return np.lib.stride_tricks.sliding_window_view(np.frombuffer(padded, np.uint8), WINDOW)[::STRIDE]
 
 
 def trained(rows: list[tuple[str, str]], hidden: int = HIDDEN, steps: int = STEPS) -> Network:
@@ -177,11 +183,12 @@ def pooled(net: Network, texts: list[str]) -> np.ndarray:
     """Mean probability over each text's positions: (text, language)."""
     data = [t.encode("utf-8", "replace") for t in texts]
     x = np.concatenate([windows(d) for d in data])
-    rows = np.array([max(1, -(-len(d) // WINDOW)) for d in data])
+    rows = np.array([max(1, -(-len(d) // STRIDE)) for d in data])
+    own = slice(LAP, LAP + STRIDE)
     sums = np.empty((len(x), len(net.languages)), np.float64)
     for k in range(0, len(x), TOGETHER):
         part = x[k : k + TOGETHER]
-        sums[k : k + TOGETHER] = np.einsum("twl,wt->wl", positions(net, part), (part > 0).astype(np.float32))
+        sums[k : k + TOGETHER] = np.einsum("twl,wt->wl", positions(net, part)[own], (part[:, own] > 0).astype(np.float32))
     first = np.concatenate([[0], np.cumsum(rows)[:-1]])
     totals = np.add.reduceat(sums, first, axis=0)
     return totals / np.maximum(totals.sum(axis=1, keepdims=True), 1e-12)
@@ -190,15 +197,17 @@ def pooled(net: Network, texts: list[str]) -> np.ndarray:
 def training_rows(df: DataFrame, may_learn: Column, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> list[tuple[str, str]]:
     """About `sample` excerpts a language, by a hash of the id; first a count of the labels, then one read of the picked rows."""
     labelled = df.where(may_learn & F.col(lang_col).isNotNull() & text_of(text_col).rlike(r"\p{L}"))
-    counts = {r[0]: r["n"] for r in df.where(may_learn & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col)).agg(F.count(F.lit(1)).alias("n")).collect()}
+    labels = df.where(may_learn & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    counts = {r.lang: r.n for r in labels.orderBy(F.desc("n"), "lang").limit(LABELS).collect()}
     if not counts:
         return []
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("lang")), F.lit(1_000_000)) / 1_000_000
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])[F.col(lang_col)]
     text = text_of(text_col)
     start = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.greatest(F.length(text) - EXCERPT, F.lit(1))).cast("int")
-    picked = labelled.where(draw < share).select(F.substring(text, start + 1, F.lit(EXCERPT)).alias("excerpt"), F.col(lang_col).alias("lang"))
-    return sorted((r.excerpt, r.lang) for r in picked.limit(2 * sample * len(counts)).collect())
+    picked = labelled.where(draw < share).select(F.substring(text, start + 1, F.lit(EXCERPT)).alias("excerpt"), F.col(lang_col).alias("lang"), draw.alias("draw"))
+    # By the same draw, should rows repeat ids and so come in bunches.
+    return sorted((r.excerpt, r.lang) for r in picked.orderBy("draw", "lang", "excerpt").limit(2 * sample * len(counts)).collect())
 
 
 def learn(df: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:

@@ -159,6 +159,8 @@ class Graph:
         return g
 
 
+#: Partitions in which graphs are built at most; a partition with several shards builds one after the other.
+MOST_PARTITIONS = 20_000
 INDEX = "dim int, shard int, n long, ids binary, node_of binary, vectors binary, levels binary, start int, top int, links array<binary>, sizes array<binary>"
 
 
@@ -191,6 +193,8 @@ def build(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         return pa.table({c: pa.array([x], kinds.get(c, pa.binary())) for c, x in row.items()})
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), shards).cast("int"))
+    # A graph takes long for its few bytes, so shards are dealt out by number, not by size: two partitions a shard keep most apart.
+    dealt = dealt.repartition(max(1, min(MOST_PARTITIONS, 2 * sum(-(-n // shard_rows) for n in sizes.values()))), "dim", "shard")
     return dealt.groupBy("dim", "shard").applyInArrow(make, INDEX)
 
 

@@ -1,9 +1,9 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
-The lengths of all pieces make a histogram. The configuration linear program over it (how often to use each way of filling one
-sequence, so that every length is served) is solved by multiplicative weights: the price of a length rises while it is
-under-served, and a knapsack dynamic program finds the filling of greatest price. The fractional counts are rounded
-down; what is left over goes to the open sequence with the least sufficient room, longest first. The program's size depends on the
+The lengths of all pieces make a histogram. Neighbouring lengths share a class, which counts as its longest. The configuration linear program over the classes (how
+often to use each way of filling one sequence, so that every class is served) is solved by multiplicative weights: the price of a class falls while it is
+served, and a knapsack dynamic program finds the filling of greatest price, until the total is within GAP of the dual bound. The fractional counts are
+rounded to whole ones that add up to the same; short pieces, and what is left over, go to the open sequence with the least sufficient room, longest first. The program's size depends on the
 number of distinct lengths, at most the capacity, never on the number of documents. Its outcome, the plan, says which
 ranks of a length go to which sequences. Pieces are ranked within their length by a range sort, so that a length that very many
 pieces share is spread over tasks.
@@ -24,10 +24,11 @@ from .common import partitions, small_batches, text_of, written
 from .words import END_ID, default_tokenizer, library_coder
 
 CAPACITY = 4096
-#: Rounds of multiplicative weights: each adds one configuration, so the plan has at most so many.
-ROUNDS = 150
-#: How much a round changes the prices.
-RATE = 0.5
+#: Pieces of at most a SHORT-th of the capacity aren't in the program. The others are in CLASSES of neighbouring lengths, and fillings are priced in UNITS of room.
+#: Few lengths are priced in tokens.
+SHORT, CLASSES, UNITS, FEW = 16, 128, 1024, 16
+#: The program ends within GAP of its lower bound, or after so many rounds; how much a round changes the prices.
+GAP, ROUNDS, RATE = 1.02, 800, 0.02
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
@@ -55,64 +56,120 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col)).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_filling(price: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack by dynamic programming over the room: lengths, each with its number, of the greatest price. price[l - 1]: of length l."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=int)
-    for room in range(1, capacity + 1):
-        worth = best[room - 1 :: -1] + price[:room]
-        k = int(worth.argmax())
-        best[room] = best[room - 1]
-        if worth[k] > best[room]:
-            best[room], last[room] = worth[k], k + 1
-    found: dict[int, int] = {}
-    room = capacity
-    while room > 0:
-        if length := int(last[room]):
-            found[length] = found.get(length, 0) + 1
-        room -= length or 1
-    return found
-
-
-def configurations(counts: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[dict[int, int], float]]:
-    """Fillings and how often to use each: the fractional covering program by multiplicative weights.
-
-    Each round prices the lengths by the weights, takes the best filling as often as its scarcest length allows and lowers the
-    weights of what it serves in proportion to the share of the demand that is served."""
-    demand = np.zeros(capacity)
-    for length, n in counts.items():
-        demand[length - 1] = n
-    open_, served = demand > 0, np.zeros(capacity)
-    weight = np.where(open_, 1.0, 0.0)
-    lengths = np.arange(1, capacity + 1)
-    out: list[tuple[dict[int, int], float]] = []
-    for _ in range(rounds):
-        if not open_.any():
-            break
-        # Price of serving one more piece; the length itself breaks near-ties towards full sequences.
-        price = np.where(open_, weight * lengths * (1 + 1e-9 * lengths), -1.0)
-        filling = best_filling(price, capacity)
-        at = np.array(sorted(filling)) - 1
-        number = np.array([filling[i + 1] for i in at])
-        times = float(max(1.0, min((demand[at] - served[at]) / number)))
-        out.append((filling, times))
-        served[at] += times * number
-        share = np.clip(times * number / demand[at], 0, 1)
-        weight[at] *= np.exp(-rate * share)
-        open_[at] &= demand[at] - served[at] > 1e-9
+def classes_of(counts: dict[int, int], classes: int) -> list[list[int]]:
+    """Neighbouring lengths, longest first, in so many classes of about as many pieces each."""
+    each, out, held = sum(counts.values()) / classes, [[]], 0
+    for length in sorted(counts, reverse=True):
+        if held >= each:
+            out.append([])
+            held = 0
+        out[-1].append(length)
+        held += counts[length]
     return out
 
 
+def best_filling(price: np.ndarray, size: np.ndarray, room: int) -> tuple[float, np.ndarray]:
+    """The dearest way to fill a room with classes of these sizes (smallest first), by dynamic programming: its price, and the number of each class."""
+    best, last = np.zeros(room + 1), np.full(room + 1, -1)
+    upto = np.searchsorted(size, np.arange(room + 1), side="right")
+    for r in range(1, room + 1):
+        best[r] = best[r - 1]
+        if k := upto[r]:
+            worth = best[r - size[:k]] + price[:k]
+            j = int(worth.argmax())
+            if worth[j] > best[r]:
+                best[r], last[r] = worth[j], j
+    number, r = np.zeros(len(size)), room
+    while r > 0:
+        if last[r] >= 0:
+            number[last[r]] += 1
+            r -= size[last[r]]
+        else:
+            r -= 1
+    return float(best[room]), number
+
+
+def configurations(size: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP, rounds: int = ROUNDS, rate: float = RATE) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """The covering program by multiplicative weights: fillings with how often to use each, so that every class is served, and a lower bound of any such total.
+
+    A round prices a piece of each class by the class's weight, takes the dearest filling as often as its scarcest class asks for, and lowers the
+    weights of what it serves. The weights make a dual solution, whose value bounds the total from below; the rounds end when the total is
+    within `gap` of the bound. Weights start at the classes' sizes, which is a dual solution already."""
+    weight, cover = size * demand / room, np.zeros(len(size))
+    used: dict[tuple, float] = {}
+    total = bound = 0.0
+    for k in range(rounds):
+        value, number = best_filling(weight / demand, size, room)
+        bound = max(bound, weight.sum() / value)
+        some = number > 0
+        times = float((demand[some] / number[some]).min())
+        key = tuple(number.astype(int).tolist())
+        used[key] = used.get(key, 0.0) + times
+        total += times
+        cover += times * number / demand
+        weight = weight * np.exp(-rate * times * number / demand)
+        if k % 10 == 9 and cover.min() > 0 and total <= gap * bound * cover.min():
+            break
+    least = cover.min()
+    if least <= 0:
+        # Rounds that end early leave classes out; each then has fillings of its own.
+        for t in np.flatnonzero(cover <= 0):
+            number = np.zeros(len(size))
+            number[t] = room // size[t]
+            used[tuple(number.astype(int).tolist())] = float(demand[t] / number[t])
+        least = min(1.0, cover[cover > 0].min()) if (cover > 0).any() else 1.0
+    return [(np.array(f), x / least) for f, x in used.items()], bound
+
+
+def programmed(counts: dict[int, int], left: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """What the program places, as (how many sequences, filling); takes it from `left`. Short pieces aren't in it: they go to the room that is left."""
+    large = {length: n for length, n in counts.items() if length > capacity // SHORT}
+    if not large:
+        return []
+    classes = classes_of(large, CLASSES)[::-1]
+    grid = 1 if len(large) <= FEW else max(1, capacity // UNITS)
+    size = np.array([-(-max(c) // grid) for c in classes])
+    fillings, _ = configurations(size, np.array([float(sum(large[x] for x in c)) for c in classes]), capacity // grid)
+    # The pieces of a class in order, longest first: how many of each length are taken already.
+    queues = [[(length, large[length]) for length in sorted(c, reverse=True)] for c in classes]
+    ends = [np.cumsum([n for _, n in q]) for q in queues]
+    taken = np.zeros(len(classes), dtype=np.int64)
+    bins, part = [], 0.0
+    for number, times in sorted(fillings, key=lambda x: (-x[1], tuple(x[0]))):
+        # Fractions add up: a filling is used once more whenever they reach a whole.
+        part += times
+        # The last place of a filling stays open, for the piece that fits it best.
+        if number.sum() > 1:
+            number = number.copy()
+            number[np.flatnonzero(number)[0]] -= 1
+        some = np.flatnonzero(number)
+        whole = min([int(part + 1e-9), *((ends[t][-1] - taken[t]) // number[t] for t in some)])
+        part -= int(part + 1e-9)
+        if whole <= 0:
+            continue
+        slots = [(t, taken[t] + j * whole) for t in some for j in range(int(number[t]))]
+        taken[some] += whole * number[some].astype(np.int64)
+        # Where a slot's pieces pass on to the next length the filling changes.
+        cuts = {0, whole}
+        for t, first in slots:
+            cuts.update(int(e - first) for e in ends[t][np.searchsorted(ends[t], first, side="right") :] if e < first + whole)
+        cuts = sorted(cuts)
+        for a, b in zip(cuts, cuts[1:]):
+            filling: dict[int, int] = {}
+            for t, first in slots:
+                length = queues[t][int(np.searchsorted(ends[t], first + a, side="right"))][0]
+                filling[length] = filling.get(length, 0) + 1
+            bins.append((b - a, filling))
+            for length, n in filling.items():
+                left[length] -= (b - a) * n
+    return bins
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int, int]]:
     """Rows (length, first_rank, ranks, a_sequence, first_sequence, offset, step): rank r of the length, counted from first_rank, goes to
     sequence first_sequence + r // a_sequence at offset + step * (r % a_sequence)."""
     left = dict(counts)
-    bins: list[tuple[int, dict[int, int]]] = []  # how many sequences of which filling
-    for filling, times in sorted(configurations(counts, capacity), key=lambda x: -sum(length * n for length, n in x[0].items())):
-        whole = min([int(times), *(left.get(length, 0) // n for length, n in filling.items())])
-        if whole > 0:
-            bins.append((whole, dict(filling)))
-            for length, n in filling.items():
-                left[length] -= whole * n
+    bins = programmed(counts, left, capacity)
     # Best fit, longest first: by room a list of groups of equal sequences that have that much room.
     room_of: dict[int, list[int]] = {}
     for k, (_, filling) in enumerate(bins):

@@ -1,13 +1,14 @@
 """Personal data by weak supervision, in DataFrame functions alone.
 
 Candidate spans come from strict patterns (email, ip, card, phone) and from looser ones (written-out emails, addresses of version 6,
-digit groups, national phone numbers). Four labelers vote on each candidate: the strict pattern with its check (regex), lists of
-endings, prefixes and codes (gazetteer), trigger words before it (context), and its neighbours (edges). Expectation maximisation
+national phone numbers). Four labelers vote on each candidate: the strict pattern with its check (regex), lists of
+endings, prefixes and codes (gazetteer), words before it that speak for or against its kind (context), and its neighbours (edges). Expectation maximisation
 over the counts of vote patterns estimates how reliable each labeler is, by kind; a logistic classifier is then trained on the resulting
-probabilities with the votes and the span's shape as features, and decides which candidates are spans. Spans that the strict patterns
-find and check stay in any case: the classifier only adds.
+probabilities with the votes and the span's shape as features, and decides which of the looser candidates are spans. Spans that the strict patterns
+find and check stay in any case, and what fails its check (a card number by Luhn, an address by its parts) is no span, whatever the others
+say: the classifier adds looser ones only.
 
-Counts of vote patterns are at most 4 x 3 x 2 x 3 x 2 x 2 rows, whatever the input; fitting them is plain arithmetic on the driver,
+Counts of vote patterns are at most 4 x 3 x 2 x 3 x 2 x 2 = 288 rows, whatever the input; fitting them is plain arithmetic on the driver,
 and all work over texts is Spark's own functions.
 
 Defined cases: a null text counts as empty and has no spans. Offsets are code points, the end exclusive. Repeated rows each get
@@ -17,6 +18,7 @@ their spans. Without candidates nothing is added.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +54,13 @@ TRIGGERS = (
     r"(?i)\b(?:card|visa|mastercard|amex|credit|payment|tarjeta|carte|karte)\b",
     r"(?i)\b(?:phone|tel|telephone|call|mobile|fax|telefon|teléfono|téléphone)\b",
 )
+#: Words that speak against: the number is some other thing's; and a sign of assignment just before.
+OTHERWISE = (
+    r"(?i)\b(?:example|version|import|decorator)\b",
+    r"(?i)\b(?:version|release|build|section|chapter|ver|kapitel|version)\b|\bv\.?\s*$",
+    r"(?i)\b(?:order|invoice|isbn|serial|tracking|token|article|item|reference|ref|pedido|commande|bestellung|artikel)\b|[=#$]\s*[\"']?$",
+    r"(?i)\b(?:order|invoice|isbn|issn|serial|tracking|token|article|item|part|reference|ref|pedido|commande|bestellung|artikel)\b|[=#$]\s*[\"']?$",
+)
 CONTEXT = 40
 #: Labelers' assumed reliabilities before the first round of estimation: regex, gazetteer, context, edges.
 PRIOR = (0.95, 0.6, 0.7, 0.6)
@@ -89,7 +98,7 @@ def passes(kind: str, m: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Array of (s, k, e, regex, listed, context, edges, parted): votes are 0 or 1, or -1 where a labeler abstains: the strict pattern on
-    the looser candidates, the context where no word triggers it."""
+    the looser candidates, the context where no word tells."""
 
     def votes(k: int, strict: bool):
         def of(x: Column) -> Column:
@@ -100,7 +109,7 @@ def candidates(text: Column) -> Column:
                 s.alias("s"), F.lit(k).alias("k"), e.alias("e"),
                 (passes(KINDS[k], m).cast("int") if strict else F.lit(-1)).alias("regex"),
                 m.rlike(LISTED[k]).cast("int").alias("listed"),
-                F.when(before.rlike(TRIGGERS[k]), 1).otherwise(-1).alias("context"),
+                F.when(before.rlike(TRIGGERS[k]), 1).when(before.rlike(OTHERWISE[k]), 0).otherwise(-1).alias("context"),
                 (~(left.rlike(r"[\p{L}\p{N}]") | right.rlike(r"[\p{L}\p{N}]"))).cast("int").alias("edges"),
                 m.rlike(r"[ @().:-]").cast("int").alias("parted"),
             )
@@ -186,9 +195,9 @@ def train(found_in: DataFrame) -> SpanModel:
 
 
 def spans(candidates_: Column, model: SpanModel) -> Column:
-    """Checked strict matches, and what the classifier adds beside them: array of (s, k, e, base) by start, then kind."""
+    """Checked strict matches, and of the looser candidates those that the classifier adds: array of (s, k, e, base) by start, then kind."""
     base = F.transform(F.filter(candidates_, lambda c: c["regex"] == 1), lambda c: F.struct(c["s"], c["k"], c["e"], F.lit(True).alias("base")))
-    more = F.filter(candidates_, lambda c: (c["regex"] < 1) & (model.score(c) >= 0.5))
+    more = F.filter(candidates_, lambda c: (c["regex"] < 0) & (model.score(c) >= 0.5))
     # An added span that overlaps a base one would tell nothing new.
     more = F.filter(more, lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
     return F.array_sort(F.array_distinct(F.concat(base, F.transform(more, lambda c: F.struct(c["s"], c["k"], c["e"], F.lit(False).alias("base"))))))
@@ -230,8 +239,11 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
         mark = F.when(x["e"] > acc["at"], F.element_at(names, x["k"] + 1)).otherwise("")
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
 
-    cleared = F.aggregate(F.col("__spans"), start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    out = df.withColumn("__spans", spans(candidates(body), model))
-    out = out.withColumn("__text", F.when(F.size("__spans") > 0, cleared).otherwise(F.col(text_col)))
-    columns = [F.col("__text").alias(c) if c == text_col else F.when(F.size("__spans") > 0, F.length("__text")).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in df.columns]
+    # Names of our own, so that no column of df can clash with them.
+    held, text = (f"{x} {uuid.uuid4().hex}" for x in ("spans", "text"))
+    cleared = F.aggregate(F.col(held), start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
+    out = df.withColumn(held, spans(candidates(body), model))
+    some = F.size(held) > 0
+    out = out.withColumn(text, F.when(some, cleared).otherwise(F.col(text_col)))
+    columns = [F.col(text).alias(c) if c == text_col else F.when(some, F.length(text)).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in df.columns]
     return out.select(*columns)

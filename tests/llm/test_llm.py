@@ -195,11 +195,11 @@ def two_languages(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-def scored(df):
-    return [r for r in sorted(lm_scoring.score(df, held=F.col("doc_id") >= 10_000).collect(), key=lambda r: r.doc_id) if r.doc_id >= 10_000]
+def scored(df, **more):
+    return [r for r in sorted(lm_scoring.score(df, held=F.col("doc_id") >= 10_000, **more).collect(), key=lambda r: r.doc_id) if r.doc_id >= 10_000]
 
 
-def test_lm_sees_rare_tokens_and_two_before(spark, monkeypatch):
+def test_lm_sees_rare_tokens_and_two_before(spark):
     df = two_languages(spark)
     whole = scored(df)
     a, b, ab, ba, right, wrong, _ = [r.score for r in whole]
@@ -207,13 +207,32 @@ def test_lm_sees_rare_tokens_and_two_before(spark, monkeypatch):
     assert a + b > ab + ba + 2
     assert right > wrong + 0.2
     # Tokens that meet their counts and classes in a join.
-    monkeypatch.setattr(lm_scoring, "FREQUENT", 700)
-    joined = scored(df)
+    joined = scored(df, frequent=700)
     assert [(r.n_tokens, r.n_known) for r in joined] == [(r.n_tokens, r.n_known) for r in whole]
     assert np.allclose([r.base_score for r in joined], [r.base_score for r in whole])
     assert sum(r.score for r in joined[:2]) > sum(r.score for r in joined[2:4]) + 2
 
 
+@pytest.mark.parametrize("frequent", [lm_scoring.FREQUENT, 3])
+def test_lm_base_is_that_of_brute_force(spark, docs, frequent):
+    """Counts, known tokens and the base score of real and edge texts, also where nearly all tokens meet their counts in a join."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(120).collect()] + [(i, t) for i, t, _ in EDGES]
+    split = lambda t: re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
+    held = lambda i: zlib.crc32(str(i if i is not None else "").encode()) % 10 == 0
+    counts = Counter(t for i, text in rows if not held(i) for t in split(text))
+    n, v = sum(counts.values()), len(counts)
+    want = [(i or 0, held(i), len(split(t)), sum(counts[x] > 0 for x in split(t)), n, round(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in split(t)), 5)) for i, t in rows]
+    got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), frequent=frequent).collect()
+    assert sorted((r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == sorted(want)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+
+
+def test_lm_without_rows_to_learn_from(spark, docs):
+    assert lm_scoring.score(docs.limit(0)).count() == 0
+    got = {r.doc_id: r for r in lm_scoring.score(docs, held=F.lit(True)).collect()}
+    assert got[1].train_tokens == got[1].n_known == 0 and got[3].base_score == 0 and math.isfinite(got[3].score)
+
+
 def test_lm_shares_sum_to_one():
     table = 10 ** lm_scoring.trained(np.arange(25.0).reshape(5, 5)).log10_table()
     unseen, average = np.array([0.25, 0.5]), np.array([0.4, 0.6])
