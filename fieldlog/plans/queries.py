@@ -4,87 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldlog.functions import events as E
-from fieldlog.functions.moves import move_columns
-from fieldlog.functions.tags import BATTING, CONTEXT, OTHERS, RUNNING, tag_array
-from fieldlog.operators.fold import replayed, scored, short_halves
-from fieldlog.operators.search import Search, holders, search_from_params
+from fieldlog.operators.search import holders
 
-from . import roles
-from .roles import CHILD_ADVANCES, CHILD_CREDITS, CHILD_SEQUENCES, ENTRIES, GAMES, PLAY_TAGS, PLAYS, tables, view
+from . import plays, roles, searches
+from .registry import QUERIES, SQL, WITH, Query, add, on_table, on_view
+from .roles import GAMES, PLAY_TAGS, PLAYS, tables, view
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-KEYS = ("game_key", "seq", "play_id", "tag")
-WITH = f"WITH plays AS ({PLAYS}), games AS ({GAMES}), play_tags AS ({PLAY_TAGS}), advances AS ({CHILD_ADVANCES}), sequences AS ({CHILD_SEQUENCES}), credits AS ({CHILD_CREDITS}), entries AS ({ENTRIES})"
-PICK = "SELECT game_key, seq, play_id, tag FROM plays p"
-
-
-def add(name: str, query: Query, sql: str) -> None:
-    QUERIES[name], SQL[name] = query, sql
-
-
-def search(name: str, s: Callable[[], Search], where: str) -> None:
-    """A search's keys against the plays that a condition picks. Columns need a session, so the search is made when it is asked for."""
-    add(name, lambda spark, d: s().matches(tables(spark, d)).select(*KEYS), f"{WITH} {PICK} WHERE {where}")
-
-
-def on_table(name: str, table: str, query: Callable[[DataFrame], DataFrame], sql: str) -> None:
-    add(name, lambda spark, d: query(spark.read.parquet(f"{d}/{table}.parquet")), sql)
-
-
-def on_view(name: str, source: str, query: Callable[[DataFrame], DataFrame], sql: str) -> None:
-    add(name, lambda spark, d: query(view(spark, d, source)), f"{WITH} {sql}")
-
-
-S = Search()
-search("P01_outs", lambda: S.outs(2), "outs_before = 2")
-search("P03_bases", lambda: S.bases("101"), "bases_before = '101'")
-search("P04_bases_loaded", lambda: S.bases_loaded(), "bases_before = '111'")
-search("P05_runner_on", lambda: S.runner_on(3), "substr(bases_before, 3, 1) = '1'")
-search("P06_scoring_position", lambda: S.scoring_position(), "substr(bases_before, 2, 1) = '1' OR substr(bases_before, 3, 1) = '1'")
-search("P07_inning", lambda: S.inning_at_least(20), "inning >= 20")
-search("P08_half", lambda: S.half("top"), "half = 'top'")
-search("P10_score_diff", lambda: S.score_diff(-1, 1), "score_diff BETWEEN -1 AND 1")
-search("P11_seasons", lambda: S.seasons(2001, 2003), "game_key IN (SELECT game_key FROM games WHERE season BETWEEN 2001 AND 2003)")
-search("P12_league", lambda: S.league("L1"), "game_key IN (SELECT game_key FROM games WHERE league = 'L1')")
-search("P13_team", lambda: S.team("T2"), "game_key IN (SELECT game_key FROM games WHERE home = 'T2' OR away = 'T2')")
-search("P20_fielder_interval", lambda: S.holder("P1"), "EXISTS (SELECT 1 FROM (SELECT game_key, player, seq, lead(seq) OVER (PARTITION BY game_key ORDER BY seq) AS to_seq FROM entries) e WHERE e.game_key = p.game_key AND e.player = 'P1' AND p.seq > e.seq AND (e.to_seq IS NULL OR p.seq <= e.to_seq))")
-search("P22_tag", lambda: S.tag("purchase"), "play_id IN (SELECT play_id FROM play_tags WHERE tag = 'purchase' AND confidence = 'certain')")
-search("P26_force_play", lambda: S.force_play("2"), "play_id IN (SELECT play_id FROM advances WHERE is_out AND is_force AND dest = '2')")
-search("P27_out_at", lambda: S.out_at("3"), "play_id IN (SELECT play_id FROM advances WHERE is_out AND dest = '3')")
-search("P28_tag_out", lambda: S.tag_out(), "play_id IN (SELECT play_id FROM advances WHERE is_out AND NOT is_force)")
-search("P29_error", lambda: S.error("4"), "play_id IN (SELECT play_id FROM credits WHERE credit = 'error' AND fielder = '4')")
-search("P33_putout_sequence", lambda: S.putout_sequence("64"), "play_id IN (SELECT play_id FROM sequences WHERE seq_text = '64')")
-search("P34_contains_sequence", lambda: S.contains_sequence("6"), "play_id IN (SELECT play_id FROM sequences WHERE seq_text LIKE '%6%')")
-search("P35_putout_by", lambda: S.putout_by("3", "2"), "EXISTS (SELECT 1 FROM credits c WHERE c.play_id = p.play_id AND credit = 'putout' AND fielder = '3') AND EXISTS (SELECT 1 FROM credits c WHERE c.play_id = p.play_id AND credit = 'assist' AND fielder = '2')")
-search("P36_any_of", lambda: S.any_of(S.tag("click").outs(0), S.out_at("1")), "(outs_before = 0 AND play_id IN (SELECT play_id FROM play_tags WHERE tag = 'click' AND confidence = 'certain')) OR play_id IN (SELECT play_id FROM advances WHERE is_out AND dest = '1')")
-search("P37_none_of", lambda: S.none_of(S.where(F.col("location") == 2), S.outs(1)), "NOT (location = 2 OR outs_before = 1)")
-search("P38_statuses", lambda: S.include("state_untrusted").outs(1), "outs_before = 1 AND parse_status IN ('ok', 'state_untrusted')")
-search("P39_exclude_curated", lambda: S.exclude_curated().outs(0), "outs_before = 0 AND play_id NOT IN (SELECT play_id FROM play_tags WHERE source = 'curated')")
-search("P48_params", lambda: search_from_params({"outs": "1", "half": "bottom", "tag": "view", "league": ""}), "outs_before = 1 AND half = 'bottom' AND play_id IN (SELECT play_id FROM play_tags WHERE tag = 'view' AND confidence = 'certain')")
-add("P41_total_order_limit", lambda s, d: S.outs(2).limit(25, offset=10).run(tables(s, d)).select(*KEYS), f"{WITH} {PICK} WHERE outs_before = 2 ORDER BY game_key, seq LIMIT 25 OFFSET 10")
-add("P43_count", lambda s, d: S.outs(2).tag("purchase").count(tables(s, d)), f"{WITH} SELECT count(*) AS total FROM plays WHERE outs_before = 2 AND play_id IN (SELECT play_id FROM play_tags WHERE tag = 'purchase' AND confidence = 'certain')")
-
-
-def rows_with_tags(spark: SparkSession, d: str) -> DataFrame:
-    t = tables(spark, d)
-    tags = t.advances.where("is_out").groupBy("play_id").agg(F.array_join(F.array_sort(F.collect_set("dest")), ",").alias("outs_at"))
-    return S.outs(2).matches(t).join(tags, "play_id", "left").select(*KEYS, "outs_at")
-
-
-add("P44_run_rows", rows_with_tags, f"{WITH} SELECT game_key, seq, p.play_id, tag, outs_at FROM plays p LEFT JOIN (SELECT play_id, string_agg(DISTINCT dest, ',' ORDER BY dest) AS outs_at FROM advances WHERE is_out GROUP BY play_id) a ON a.play_id = p.play_id WHERE outs_before = 2")
-
-# Reports.
-add("A1_coverage", lambda s, d: S.league("L1").outs(1).coverage(tables(s, d)).withColumn("plays", F.col("plays").cast("long")), f"{WITH} SELECT count(*) AS games, CAST(sum(plays) AS BIGINT) AS plays, min(first_day) AS first_day, max(last_day) AS last_day, count(DISTINCT season) AS seasons, count(DISTINCT league) AS leagues FROM games WHERE league = 'L1'")
-add("A3_excluded", lambda s, d: S.outs(1).excluded(tables(s, d)), f"{WITH} SELECT parse_status, count(*) AS n FROM plays WHERE outs_before = 1 GROUP BY parse_status")
-on_table("A4_force_split", "lineitem", lambda df: df.groupBy("l_linestatus").agg(F.count_if(F.col("l_returnflag") == "R").alias("outs"), F.count(F.lit(1)).alias("n")), "SELECT l_linestatus, count(*) FILTER (WHERE l_returnflag = 'R') AS outs, count(*) AS n FROM lineitem GROUP BY l_linestatus")
 on_view("A5_coverage_table", GAMES, lambda g: g.groupBy("season", "league").agg(F.count(F.lit(1)).alias("games"), F.sum("plays").cast("long").alias("plays"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"), F.countDistinct("home").alias("homes")), "SELECT season, league, count(*) AS games, CAST(sum(plays) AS BIGINT) AS plays, min(first_day) AS first_day, max(last_day) AS last_day, count(DISTINCT home) AS homes FROM games GROUP BY season, league")
 
 
@@ -153,8 +82,6 @@ on_view("W4_holder", PLAYS, lambda p: p.select("play_id", F.last(F.when(F.col("t
 on_view("W5_neighbours", PLAYS, lambda p: p.select("play_id", F.lag("play_id").over(game()).alias("prev"), F.lead("play_id").over(game()).alias("next")), 'SELECT play_id, lag(play_id) OVER w AS prev, lead(play_id) OVER w AS "next" FROM plays WINDOW w AS (PARTITION BY game_key ORDER BY seq)')
 on_view("R11_final_play", PLAYS, lambda p: p.where("parse_status <> 'unparsed'").withColumn("k", F.row_number().over(W.partitionBy("game_key").orderBy(F.desc("seq")))).where("k = 1").select("game_key", "play_id"), "SELECT game_key, arg_max(play_id, seq) AS play_id FROM plays WHERE parse_status <> 'unparsed' GROUP BY game_key")
 on_view("R13_contamination", PLAYS, lambda p: p.select("play_id", F.when((F.col("parse_status") == "ok") & F.coalesce(F.max((F.col("parse_status") == "unparsed").cast("int")).over(half()) == 1, F.lit(False)), "state_untrusted").otherwise(F.col("parse_status")).alias("status")), "SELECT play_id, CASE WHEN parse_status = 'ok' AND coalesce(max(CAST(parse_status = 'unparsed' AS INT)) OVER (PARTITION BY game_key, inning, half ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'state_untrusted' ELSE parse_status END AS status FROM plays")
-add("J7_interval_counts", lambda s, d: holders(tables(s, d).plays, tables(s, d).entries).groupBy("player").agg(F.count(F.lit(1)).alias("plays")), f"{WITH} SELECT player, count(*) AS plays FROM plays p JOIN (SELECT game_key, player, seq AS from_seq, lead(seq) OVER (PARTITION BY game_key ORDER BY seq) AS to_seq FROM entries) e ON e.game_key = p.game_key AND p.seq > from_seq AND (to_seq IS NULL OR p.seq <= to_seq) GROUP BY player")
-
 # Lines of files, provenance, incremental maintenance.
 on_table("S2_lines", "documents", lambda df: df.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw_line")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.max(F.length("raw_line")).cast("long").alias("longest")), r"SELECT doc_id, count(*) AS lines, CAST(max(length(raw_line)) AS BIGINT) AS longest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw_line FROM documents) GROUP BY doc_id")
 on_table("S7_provenance", "documents", lambda df: df.select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("bytes")), "SELECT doc_id, sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS bytes FROM documents")
@@ -224,119 +151,8 @@ def suite(spark: SparkSession, d: str) -> DataFrame:
 
 add("V_suite", suite, f"{WITH} " + " UNION ALL ".join(f"SELECT '{n}' AS \"check\", count(*) AS n FROM ({q}) x{i}" for i, (n, q) in enumerate(CHECKS.items())))
 
-# Event strings: a catalogue with expected answers, dealt to the rows of lineitem by part number.
-CATALOGUE = [
-    # event, kind, modifiers, number of advances, advances that are out, codes, tags
-    ("S7", "S", "", 0, 0, "", "Single"),
-    ("D8/L8D.1-H", "D", "L8D", 1, 0, "L", "Double"),
-    ("DGR/F9.2-H;1-3", "DGR", "F9", 2, 0, "F", "Double,GroundRuleDouble"),
-    ("HR/F78.2-H;1-H", "HR", "F78", 2, 0, "F", "HomeRun"),
-    ("K", "K", "", 0, 0, "", "Strikeout"),
-    ("K/C", "K", "C", 0, 0, "C", "CalledThirdStrike,Strikeout"),
-    ("K/DP.1X2(26)", "K", "DP", 1, 1, "DP", "Strikeout,StrikeoutThrowOut"),
-    ("K+WP.B-1", "K", "", 1, 0, "", "Strikeout,WildPitch"),
-    ("W.1-2", "W", "", 1, 0, "", "Walk"),
-    ("IW", "W", "", 0, 0, "", "IntentionalWalk,Walk"),
-    ("HP", "HP", "", 0, 0, "", "HitByPitch"),
-    ("63/G6", "OUT", "G6", 0, 0, "G", "GroundOut"),
-    ("8/F8/SF.3-H", "OUT", "F8,SF", 1, 0, "F,SF", "FlyOut,SacrificeFly"),
-    ("64(1)3/GDP/G6", "OUT", "GDP,G6", 0, 0, "GDP,G", "GroundOut"),
-    ("4/P4/IF", "OUT", "P4,IF", 0, 0, "P,IF", "InfieldFly,PopOut"),
-    ("23/BG2/SH.1-2", "OUT", "BG2,SH", 1, 0, "BG,SH", "Bunt,GroundOut,SacrificeHit"),
-    ("E6/G6", "E", "G6", 0, 0, "G", "ReachedOnError"),
-    ("FC5/G5.3XH(52)", "FC", "G5", 1, 1, "G", "FieldersChoice"),
-    ("SB2", "SB", "", 0, 0, "", "StolenBase"),
-    ("SB3;SB2", "SB", "", 0, 0, "", "DoubleSteal,StolenBase"),
-    ("CS2(26)", "CS", "", 0, 0, "", "CaughtStealing"),
-    ("CS2(2E6)", "CS", "", 0, 0, "", "CaughtStealingSafeOnError"),
-    ("PO1(13)", "PO", "", 0, 0, "", "Pickoff"),
-    ("POCS2(1361)", "POCS", "", 0, 0, "", "PickoffCaughtStealing"),
-    ("WP.2-3", "WP", "", 1, 0, "", "WildPitch"),
-    ("BK.1-2", "BK", "", 1, 0, "", "Balk"),
-    ("S8/L8.2XH(8E2);1-3", "S", "L8", 2, 0, "L", "Single"),
-    ("S9/G34.1XH(9/TH)", "S", "G34", 1, 1, "G", "Single"),
-    ("FLE5/P5F", "FLE", "P5F", 0, 0, "P", "FoulFlyError"),
-    ("NP", "NP", "", 0, 0, "", ""),
-]
-
-
-def catalogue(spark: SparkSession, d: str) -> DataFrame:
-    """Each row of lineitem with the event that its part number picks."""
-    events = F.array(*[F.lit(row[0]) for row in CATALOGUE])
-    return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", F.element_at(events, (F.col("l_partkey") % len(CATALOGUE) + 1).cast("int")).alias("event"))
-
-
-def counted(df: DataFrame, *columns: str) -> DataFrame:
-    return df.groupBy("event", *columns).agg(F.count(F.lit(1)).alias("n"))
-
-
-def expected(columns: str, *places: int) -> str:
-    quoted = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    values = ", ".join(f"({i}, {', '.join(quoted(row[p]) for p in (0, *places))})" for i, row in enumerate(CATALOGUE))
-    return f"SELECT event, {columns}, count(*) AS n FROM lineitem JOIN (VALUES {values}) c(i, event, {columns}) ON l_partkey % {len(CATALOGUE)} = i GROUP BY event, {columns}"
-
-
-def facts(df: DataFrame) -> DataFrame:
-    e = F.col("event")
-    advs = F.transform(E.advances(e), lambda a: F.struct(a["origin"].alias("origin"), a["dest"].alias("dest"), E.advance_out(a).alias("is_out")))
-    flags = F.flatten(F.transform(E.advances(e), lambda a: a["params"]))
-    return df.select("*", E.basics(e).alias("basics"), E.kind(F.get(E.basics(e), F.lit(0))).alias("kind"), E.codes(e).alias("codes"), E.trajectory(e).alias("traj"), advs.alias("advs"), flags.alias("adv_flags"))
-
-
-add("E3_parse", lambda s, d: counted(catalogue(s, d).withColumns({"kind": E.kind(F.get(E.basics(F.col("event")), F.lit(0))), "mods": F.array_join(E.modifiers(F.col("event")), ",")}), "kind", "mods"), expected("kind, mods", 1, 2))
-add("E8_advances", lambda s, d: counted(facts(catalogue(s, d)).withColumns({"moves": F.size("advs"), "outs": F.size(F.filter("advs", lambda a: a["is_out"]))}), "moves", "outs"), expected("moves, outs", 3, 4))
-add("E12_codes", lambda s, d: counted(catalogue(s, d).withColumn("codes", F.array_join(E.codes(F.col("event")), ",")), "codes"), expected("codes", 5))
-add("E14_emit", lambda s, d: counted(catalogue(s, d).withColumn("emitted", E.emitted(F.col("event"))), "emitted"), expected("emitted", 0))
-add("E16_shapes", lambda s, d: catalogue(s, d).groupBy(E.shape(F.col("event")).alias("shape")).agg(F.count(F.lit(1)).alias("n")), f"SELECT regexp_replace(event, '[0-9]', '#', 'g') AS shape, sum(n)::BIGINT AS n FROM ({expected('kind', 1)}) GROUP BY 1")
-add("T_event_tags", lambda s, d: counted(facts(catalogue(s, d)).withColumn("tags", F.array_join(tag_array(BATTING + RUNNING + OTHERS), ",")), "tags"), expected("tags", 6))
-on_view("T_context_tags", PLAYS, lambda p: p.select(F.explode(tag_array(CONTEXT)).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")), " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM plays WHERE {c}" for n, c in (("BasesLoaded", "bases_before = '111'"), ("BasesEmpty", "bases_before = '000'"), ("RunnerOnThird", "bases_before LIKE '__1'"), ("ScoringPosition", "bases_before LIKE '_1_' OR bases_before LIKE '__1'"), ("NoOuts", "outs_before = 0"), ("OneOut", "outs_before = 1"), ("TwoOuts", "outs_before = 2"))))
 on_view("G7_tag_census", PLAY_TAGS, lambda t: t.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") == "uncertain").alias("uncertain"), F.min("play_id").alias("first_seen")), "SELECT tag, count(*) AS n, count(*) FILTER (WHERE confidence = 'uncertain') AS uncertain, min(play_id) AS first_seen FROM play_tags GROUP BY tag")
 
-# The ordered fold: each play of the log view gets an event of the catalogue; SQL has the moves written out by hand, and recursion for the order.
-MOVES = dict(zip([row[0] for row in CATALOGUE], "1... 2H.. 23H. HHH. X... X... XX.. 1... 12.. 1... 1... X... X..H XX.. X... X2.. 1... 1..X .2.. .23. .X.. .2.. .X.. .X.. ..3. .2.. 13H. 1X.. .... ....".split()))
-DEALT = f"SELECT p.game_key, p.seq, p.play_id, p.inning, p.half, concat('P', CAST(p.play_id % 40 AS STRING)) AS batter, CAST(p.play_id % {len(CATALOGUE)} AS INT) AS pick FROM ({PLAYS}) p"
-
-
-def dealt(spark: SparkSession, d: str) -> DataFrame:
-    events = F.array(*[F.lit(row[0]) for row in CATALOGUE])
-    plays = view(spark, d, DEALT).withColumn("event", F.element_at(events, F.col("pick") + 1)).drop("pick")
-    return plays.withColumns(move_columns(F.col("event")))
-
-
-def moves_text() -> Column:
-    return F.concat(*[F.coalesce(F.col(f"move_{p}"), F.lit(".")) for p in ("b", "1", "2", "3")])
-
-
-MOVES_SQL = ", ".join(f"({i}, '{m}')" for i, m in enumerate(MOVES.values()))
-SENT = lambda place, base: f"substr(m.moves, {place}, 1) = '{base}'"
-STAYS = lambda place, base: f"s.b{place} IS NOT NULL AND substr(m.moves, {place + 1}, 1) IN ('{base}'{', ' + repr('.') if str(place) == base else ''})"
-ON = lambda base: f"CASE WHEN {SENT(1, base)} THEN m.batter {' '.join(f'WHEN {STAYS(p, base)} THEN s.b{p}' for p in (1, 2, 3))} END"
-TIMES = lambda dest: f"CAST(length(moves) - length(replace(moves, '{dest}', '')) AS INT)"
-FOLD_SQL = f"""
-WITH RECURSIVE dealt AS (SELECT p.*, moves, {TIMES("X")} AS outs, {TIMES("H")} AS runs FROM ({DEALT}) p JOIN (VALUES {MOVES_SQL}) v(i, moves) ON i = pick),
-changes AS (SELECT *, CASE WHEN lag(inning) OVER w IS NULL OR lag(inning) OVER w <> inning OR lag(half) OVER w <> half THEN 1 ELSE 0 END AS changed FROM dealt WINDOW w AS (PARTITION BY game_key ORDER BY seq)),
-islands AS (SELECT *, sum(changed) OVER (PARTITION BY game_key ORDER BY seq) AS island FROM changes),
-m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY game_key, island ORDER BY seq) AS k FROM islands),
-states(game_key, island, k, b1, b2, b3, outs_before) AS (
-  SELECT game_key, island, k, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0 FROM m WHERE k = 1
-  UNION ALL SELECT s.game_key, s.island, s.k + 1, {ON("1")}, {ON("2")}, {ON("3")}, s.outs_before + m.outs
-  FROM states s JOIN m ON m.game_key = s.game_key AND m.island = s.island AND m.k = s.k),
-folded AS (SELECT m.game_key, m.seq, m.play_id, m.half, m.island, m.moves, m.outs, m.runs, b1, b2, b3, outs_before, outs_before + m.outs AS outs_after FROM states s JOIN m ON m.game_key = s.game_key AND m.island = s.island AND m.k = s.k)
-"""
-
-
-def fold(spark: SparkSession, d: str) -> DataFrame:
-    return replayed(dealt(spark, d))
-
-
-add("R1_moves", lambda s, d: dealt(s, d).groupBy("event", moves_text().alias("moves")).agg(F.count(F.lit(1)).alias("n")), f"SELECT event, moves, count(*) AS n FROM ({DEALT}) p JOIN (VALUES {', '.join(f'({i}, {chr(39)}{e}{chr(39)}, {chr(39)}{m}{chr(39)})' for i, (e, m) in enumerate(MOVES.items()))}) v(i, event, moves) ON i = pick GROUP BY event, moves")
-add("R3_forced", lambda s, d: fold(s, d).groupBy("forced", "force_outs").agg(F.count(F.lit(1)).alias("n")), f"{FOLD_SQL}, f AS (SELECT *, CASE WHEN b1 IS NULL THEN '' WHEN b2 IS NULL THEN '1' WHEN b3 IS NULL THEN '12' ELSE '123' END AS forced FROM folded) SELECT forced, CASE WHEN substr(moves, 1, 1) IN ('1', '2', '3') THEN concat(CASE WHEN substr(moves, 2, 1) = 'X' AND contains(forced, '1') THEN '1' ELSE '' END, CASE WHEN substr(moves, 3, 1) = 'X' AND contains(forced, '2') THEN '2' ELSE '' END, CASE WHEN substr(moves, 4, 1) = 'X' AND contains(forced, '3') THEN '3' ELSE '' END) ELSE '' END AS force_outs, count(*) AS n FROM f GROUP BY ALL")
-add("R7_fold_bases", lambda s, d: fold(s, d).select("game_key", "seq", "play_id", "b1", "b2", "b3", "bases_before", "outs_before", "outs", "runs", "outs_after"), f"{FOLD_SQL} SELECT game_key, seq, play_id, b1, b2, b3, concat(CASE WHEN b1 IS NULL THEN '0' ELSE '1' END, CASE WHEN b2 IS NULL THEN '0' ELSE '1' END, CASE WHEN b3 IS NULL THEN '0' ELSE '1' END) AS bases_before, outs_before, outs, runs, outs_after FROM folded")
-add("R8_flags", lambda s, d: fold(s, d).select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n")), f"{FOLD_SQL} SELECT flag, count(*) AS n FROM (SELECT 'advance_from_empty_base' AS flag FROM folded WHERE (substr(moves, 2, 1) <> '.' AND b1 IS NULL) OR (substr(moves, 3, 1) <> '.' AND b2 IS NULL) OR (substr(moves, 4, 1) <> '.' AND b3 IS NULL) UNION ALL SELECT 'more_than_three_outs' FROM folded WHERE outs_after > 3) GROUP BY flag")
-add("R9_score", lambda s, d: scored(fold(s, d)).select("play_id", "own_before", "other_before", "go_ahead"), f"{FOLD_SQL}, s AS (SELECT *, CAST(coalesce(sum(runs) OVER (PARTITION BY game_key, half ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS own_before, CAST(coalesce(sum(runs) OVER (PARTITION BY game_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS all_before FROM folded) SELECT play_id, own_before, all_before - own_before AS other_before, own_before <= all_before - own_before AND own_before + runs > all_before - own_before AS go_ahead FROM s")
-add("R12_short_halves", lambda s, d: short_halves(fold(s, d)).groupBy("outs_at_close").agg(F.count(F.lit(1)).alias("halves")), f"{FOLD_SQL}, e AS (SELECT game_key, island, arg_max(outs_after, seq) AS outs_at_close FROM folded GROUP BY game_key, island) SELECT outs_at_close, count(*) AS halves FROM (SELECT *, max(island) OVER (PARTITION BY game_key) AS last FROM e) WHERE island < last AND outs_at_close <> 3 GROUP BY outs_at_close")
-
-
 # Curated tags, spans, appearances, parks, layout of a file.
 MERGED = f"SELECT play_id, tag, 'certain' AS confidence, 'curated' AS source, 0 AS rank FROM ({PLAYS}) p WHERE play_id % 29 = 0 UNION ALL SELECT play_id, 'HiddenBallTrick', 'certain', 'curated', 0 FROM ({PLAYS}) q WHERE play_id % 31 = 0 UNION ALL SELECT play_id, tag, confidence, 'derived', 1 FROM ({PLAY_TAGS}) t"
 on_view("G5_curated_wins", MERGED, lambda t: t.groupBy("play_id", "tag").agg(F.min(F.struct("rank", "confidence", "source")).alias("x")).select("play_id", "tag", "x.confidence", "x.source"), f"SELECT play_id, tag, confidence, source FROM (SELECT *, row_number() OVER (PARTITION BY play_id, tag ORDER BY rank, confidence) AS k FROM ({MERGED}) m) WHERE k = 1")
@@ -368,8 +184,7 @@ on_table("S26_layout", "lineitem", layout, " UNION ALL ".join(f"SELECT '{n}' AS
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tables(spark, sf_dir)
-    return S.outs(2).tag("purchase").run(t).select(*KEYS, "inning", "half", "bases_before")
+    return searches.S.outs(2).tag("purchase").run(tables(spark, sf_dir)).select(*searches.KEYS, "inning", "half", "bases_before")
 
 
 def queries() -> dict[str, Query]:
@@ -380,4 +195,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-__all__ = ["flagship", "oracle_sql", "queries", "roles"]
+__all__ = ["flagship", "oracle_sql", "plays", "queries", "roles", "searches"]

@@ -12,10 +12,12 @@ BY = "season"
 
 
 def archive(files: DataFrame, root: str) -> None:
-    """Appends files to the archive: provenance, and every line. The season of a file is its partition."""
+    """Adds files to the archive: every line, then provenance. A file's lines are a partition of their own, below its season, so that a run
+    that failed between the two can be repeated: it writes the same lines to the same place."""
     about = E.provenance(files)
+    lines = E.lines(files).join(about.select("path", "digest", BY), "path")
+    lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BY, "digest").parquet(f"{root}/raw_records")
     about.write.mode("append").partitionBy(BY).parquet(f"{root}/source_files")
-    E.lines(files).join(about.select("path", BY), "path").write.mode("append").partitionBy(BY).parquet(f"{root}/raw_records")
 
 
 def replace_partitions(df: DataFrame, path: str, by: str = BY) -> None:

@@ -15,14 +15,13 @@ def ingest(spark: SparkSession, source: str, root: str, checkpoint: str, pattern
     """Archives all files under source that earlier runs haven't seen, then ends. A batch that is run again after a failure leaves out the
     files that it had archived already."""
 
+    held = f"{root}/source_files"
+
     def add(batch: DataFrame, _: int) -> None:
-        found = batch
-        try:
-            found = batch.join(batch.sparkSession.read.parquet(f"{root}/source_files").select("path"), "path", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        archive(found, root)
+        session = batch.sparkSession
+        at = session._jvm.org.apache.hadoop.fs.Path(held)
+        there = at.getFileSystem(session._jsc.hadoopConfiguration()).exists(at)
+        archive(batch.join(session.read.parquet(held).select("path"), "path", "left_anti") if there else batch, root)
 
     files = spark.readStream.format("binaryFile").schema(E.FILE_SCHEMA).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(source)
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -33,7 +32,7 @@ OUT = "game_key long, seq long, bases_before string, outs_before int"
 
 
 def live_bases(plays: DataFrame) -> DataFrame:
-    """For a stream of plays (game_key, seq, inning, half, batter, move_b, move_1, move_2, move_3): bases and outs before each. A game's state
+    """For a stream of moved plays (game_key, seq, inning, half, batter, outs, may_retry, move_b, move_1, move_2, move_3): bases and outs before each. A game's state
     is six fields; plays of a game must arrive in order from batch to batch, and are put in order within one."""
 
     def run(key: tuple, frames: Iterator, state) -> Iterator:
@@ -46,9 +45,11 @@ def live_bases(plays: DataFrame) -> DataFrame:
             if (r.inning, r.half) != (inning, half):
                 inning, half, b1, b2, b3, outs = r.inning, r.half, None, None, None, 0
             out.append((key[0], r.seq, "".join("01"[b is not None] for b in (b1, b2, b3)), outs))
-            sent = [(r.move_b, r.batter), (r.move_1 or "1", b1), (r.move_2 or "2", b2), (r.move_3 or "3", b3)]
+            # A bare strikeout that would make a fourth out left the batter alive.
+            alive = bool(r.may_retry) and outs + r.outs == 4
+            sent = [("1" if alive else r.move_b, r.batter), (r.move_1 or "1", b1), (r.move_2 or "2", b2), (r.move_3 or "3", b3)]
             b1, b2, b3 = (next((who for to, who in sent if to == base and who is not None), None) for base in "123")
-            outs += [r.move_b, r.move_1, r.move_2, r.move_3].count("X")
+            outs += int(r.outs) - alive
         state.update((inning, half, b1, b2, b3, outs))
         yield pd.DataFrame(out, columns=["game_key", "seq", "bases_before", "outs_before"])
 
