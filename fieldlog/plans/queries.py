@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldlog.operators.search import holders
 
-from . import plays, roles, searches
+from . import checks, plays, roles, searches
 from .registry import QUERIES, SQL, WITH, Query, add, on_table, on_view
 from .roles import GAMES, PLAY_TAGS, PLAYS, tables, view
 
@@ -122,35 +122,6 @@ on_table("Q3_names", "customer", lambda df: df.where(F.lower(F.regexp_replace(F.
 on_table("C1_classify", "conversations", lambda df: df.select("conv_id", "turn", F.when(F.col("text").rlike("[?]"), "question").when(F.col("text").contains("\n"), "long").otherwise("text").alias("kind")), "SELECT conv_id, turn, CASE WHEN text LIKE '%?%' THEN 'question' WHEN contains(text, chr(10)) THEN 'long' ELSE 'text' END AS kind FROM conversations")
 on_table("C2_attach", "conversations", lambda df: df.select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)).alias("after_turn")), "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after_turn FROM conversations")
 
-# Integrity: every check counts rows that must not be there, over the views as they are.
-CHECKS = {
-    "V11_orphan_lines": "SELECT l_orderkey AS k FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)",
-    "V16_games_plays": "SELECT game_key AS k FROM games g WHERE plays <> (SELECT count(*) FROM plays p WHERE p.game_key = g.game_key)",
-    "V18_outs": "SELECT play_id AS k FROM plays WHERE outs_before > 2",
-    "V26_bases": "SELECT play_id AS k FROM plays WHERE length(replace(replace(bases_before, '0', ''), '1', '')) > 0 OR length(bases_before) <> 3",
-    "V45_duplicate_lines": "SELECT l_orderkey AS k FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
-}
-
-
-def suite(spark: SparkSession, d: str) -> DataFrame:
-    p, g = view(spark, d, PLAYS), view(spark, d, GAMES)
-    lines, orders = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("lineitem", "orders"))
-    found = {
-        "V11_orphan_lines": lines.join(orders, lines.l_orderkey == orders.o_orderkey, "left_anti"),
-        "V16_games_plays": g.join(p.groupBy("game_key").agg(F.count(F.lit(1)).alias("n")), "game_key").where("plays <> n"),
-        "V18_outs": p.where("outs_before > 2"),
-        "V26_bases": p.where(~F.col("bases_before").rlike("^[01]{3}$")),
-        "V45_duplicate_lines": lines.groupBy("l_orderkey", "l_linenumber").count().where("count > 1"),
-    }
-    out = None
-    for name, df in found.items():
-        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-add("V_suite", suite, f"{WITH} " + " UNION ALL ".join(f"SELECT '{n}' AS \"check\", count(*) AS n FROM ({q}) x{i}" for i, (n, q) in enumerate(CHECKS.items())))
-
 on_view("G7_tag_census", PLAY_TAGS, lambda t: t.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") == "uncertain").alias("uncertain"), F.min("play_id").alias("first_seen")), "SELECT tag, count(*) AS n, count(*) FILTER (WHERE confidence = 'uncertain') AS uncertain, min(play_id) AS first_seen FROM play_tags GROUP BY tag")
 
 # Curated tags, spans, appearances, parks, layout of a file.
@@ -195,4 +166,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-__all__ = ["flagship", "oracle_sql", "plays", "queries", "roles", "searches"]
+__all__ = ["checks", "flagship", "oracle_sql", "plays", "queries", "roles", "searches"]

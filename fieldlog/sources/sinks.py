@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import event_files as E
@@ -11,6 +14,18 @@ from . import event_files as E
 BY = "season"
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share. Only a session on one machine may go without it."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="fieldlog-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 def archive(files: DataFrame, root: str) -> None:
     """Adds files to the archive: every line, then provenance. A file's lines are a partition of their own, below its season, so that a run
     that failed between the two can be repeated: it writes the same lines to the same place."""
