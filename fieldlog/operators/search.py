@@ -22,7 +22,7 @@ from fieldlog.functions.tags import ALIASES
 #: Games that count unless a search says otherwise, and those after the season. A game without a type is a regular one.
 DEFAULT_GAME_TYPES = ("regular", "playoff", "worldseries", "lcs", "divisionseries", "wildcard", "championship")
 POSTSEASON = ("worldseries", "lcs", "divisionseries", "wildcard", "championship")
-POSITIONS = ("P", "C", "1B", "2B", "3B", "SS", "LF", "CF", "RF", "OF", "DH", "IF", "PH", "PR", "UT")
+POSITIONS = ("P", "C", "1B", "2B", "3B", "SS", "LF", "CF", "RF", "OF", "DH", "PH", "PR", "?")
 BASES = ("1", "2", "3", "H")
 ORDERS = {"chronological": ("date", "game_id", "game_key", "seq"), "reverse": ("-date", "-game_id", "-game_key", "-seq")}
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldlog.operators.search import holders
 
-from . import checks, plays, roles, searches
+from . import checks, lines, plays, roles, searches
 from .registry import QUERIES, SQL, WITH, Query, add, on_table, on_view
 from .roles import GAMES, PLAY_TAGS, PLAYS, tables, view
 
@@ -119,8 +119,6 @@ def prioritised(spark: SparkSession, d: str) -> DataFrame:
 
 add("Q1_people_priority", prioritised, f"SELECT id, name, CAST(rank AS BIGINT) AS source FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank, name) AS k FROM ({SOURCES})) WHERE k = 1")
 on_table("Q3_names", "customer", lambda df: df.where(F.lower(F.regexp_replace(F.trim("c_name"), r"\s+", " ")).startswith("customer#00000001")).select("c_custkey", "c_name"), r"SELECT c_custkey, c_name FROM customer WHERE lower(regexp_replace(trim(c_name), '\s+', ' ', 'g')) LIKE 'customer#00000001%'")
-on_table("C1_classify", "conversations", lambda df: df.select("conv_id", "turn", F.when(F.col("text").rlike("[?]"), "question").when(F.col("text").contains("\n"), "long").otherwise("text").alias("kind")), "SELECT conv_id, turn, CASE WHEN text LIKE '%?%' THEN 'question' WHEN contains(text, chr(10)) THEN 'long' ELSE 'text' END AS kind FROM conversations")
-on_table("C2_attach", "conversations", lambda df: df.select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)).alias("after_turn")), "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after_turn FROM conversations")
 
 on_view("G7_tag_census", PLAY_TAGS, lambda t: t.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") == "uncertain").alias("uncertain"), F.min("play_id").alias("first_seen")), "SELECT tag, count(*) AS n, count(*) FILTER (WHERE confidence = 'uncertain') AS uncertain, min(play_id) AS first_seen FROM play_tags GROUP BY tag")
 
@@ -166,4 +164,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-__all__ = ["checks", "flagship", "oracle_sql", "plays", "queries", "roles", "searches"]
+__all__ = ["checks", "flagship", "lines", "oracle_sql", "plays", "queries", "roles", "searches"]
