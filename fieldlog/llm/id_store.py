@@ -5,8 +5,8 @@ chunks wherever they stand. A chunk's name is the digest of its ids; each is sto
 Manifests hold Merkle roots: over a document's chunk names, and over the documents of each part of the recipes.
 
 Files, all Parquet, below one folder: `chunks` (chunk, n, ids as little-endian 16-bit or 32-bit integers, wide), `recipes`
-(doc_id, start, n_tokens, root, chunks, part) in ascending order of doc_id over the parts in turn, each whole in one file, `manifest` (part, documents,
-ids, root).
+(doc_id, n_tokens, root, chunks, part, rank, within: its number and first id in its part) in ascending order of doc_id over the parts in turn, each whole in one file,
+`manifest` (part, documents, ids, root, first: the ids of all parts before it).
 
 Reading takes every chunk from its file once, recomputes its name and its checksum from the ids and joins those few bytes to the
 recipes; the checksum of a document is composed from those of its chunks, which is exact (a checksum of a concatenation follows from
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, small_batches, text_of, written
+from .common import discard, partitions, shared_dir, small_batches, text_of, written
 from .words import END_ID, default_tokenizer, library_coder
 
 #: Ids that the rolling hash sees.
@@ -38,6 +38,8 @@ WINDOW = 16
 AVERAGE, LEAST, MOST = 512, 128, 4096
 #: Names that a task remembers so as not to send a chunk's ids again; a repeated chunk beyond that is dropped after the shuffle.
 SENT = 500_000
+#: Leaves of a node of a part's Merkle tree.
+LEAVES = 1024
 
 
 def mixed(ids: np.ndarray) -> np.ndarray:
@@ -157,31 +159,48 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
     sent = chopped.select(F.explode("new").alias("x")).select("x.*")
     sent.groupBy("chunk").agg(F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{folder}/chunks")
 
-    # Where each document starts: sums within ranges of ids, then one sum a range.
+    # Documents in order of their ids, cut into parts; each partition is a part and a file. Within its part a document has a rank and a place; the parts'
+    # first ids are in the manifest.
     ranged = chopped.select("doc_id", "n_tokens", "root", "chunks", F.xxhash64("chunks").alias("tie")).repartitionByRange(partitions(spark), "doc_id", "tie")
-    ranged = written(ranged.sortWithinPartitions("doc_id", "tie").withColumn("part", F.spark_partition_id()), "ranged")
-    before, total = {}, 0
-    for r in ranged.groupBy("part").agg(F.sum("n_tokens").alias("ids")).orderBy("part").collect():
-        before[r.part], total = total, total + r.ids
-    first = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("part")] if before else F.lit(0).cast("long")
-    within = W.partitionBy("part").orderBy("doc_id", "tie").rowsBetween(W.unboundedPreceding, -1)
-    recipes = ranged.select("doc_id", (first + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("start"), "n_tokens", "root", "chunks", "part")
-    # The partitions are as `ranged` was written, but may be read in several tasks or together; a part is dealt to one task again.
-    recipes.repartitionByRange(partitions(spark), "part").sortWithinPartitions("part", "start").write.parquet(f"{folder}/recipes")
-    manifest(spark.read.parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
+    ranged = ranged.sortWithinPartitions("doc_id", "tie").select("doc_id", "n_tokens", "root", "chunks", F.spark_partition_id().alias("part"))
 
+    def placed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def manifest(recipes: DataFrame) -> DataFrame:
-    """Per part of the recipes: part, documents, ids, root."""
+        rank = within = 0
+        for b in batches:
+            n = b.column(1).to_numpy()
+            ends = within + np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(rank, rank + len(n))), pa.array(ends - n)], names=["doc_id", "n_tokens", "root", "chunks", "part", "rank", "within"])
+            rank, within = rank + len(n), int(ends[-1]) if len(n) else within
+
+    ranged.mapInArrow(placed, "doc_id long, n_tokens long, root binary, chunks array<binary>, part int, rank long, within long").write.parquet(f"{folder}/recipes")
+    discard(chopped)
+    noted = manifest(spark.read.parquet(f"{folder}/recipes"))
+    # One row a part: as many as there are shuffle partitions.
+    noted.withColumn("first", F.coalesce(F.sum("ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).write.parquet(f"{folder}/manifest")
+
+
+def rooted(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Per keys: documents, ids, and the root over the roots in order."""
+    found = df.groupBy(*keys).agg(F.sum("documents").alias("documents"), F.sum("ids").alias("ids"), F.array_sort(F.collect_list(F.struct(order, "root"))).alias("roots"))
 
-    def rooted(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([merkle([x["root"] for x in xs]) for xs in b.column(3).to_pylist()], pa.binary())], names=["part", "documents", "ids", "root"])
+            roots = [merkle([x["root"] for x in xs]) for xs in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(roots, pa.binary())], names=[*keys, "documents", "ids", "root"])
 
-    parts = recipes.groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("ids"), F.array_sort(F.collect_list(F.struct("start", "root"))).alias("roots"))
-    return parts.mapInArrow(rooted, "part int, documents long, ids long, root binary")
+    return found.mapInArrow(run, ", ".join([*(f"{k} {found.schema[k].dataType.simpleString()}" for k in keys), "documents long, ids long, root binary"]))
+
+
+def manifest(recipes: DataFrame) -> DataFrame:
+    """Per part of the recipes: part, documents, ids, root. The tree goes by levels: LEAVES documents, then so many of those, then the part."""
+    level = recipes.select("part", F.floor(F.col("rank") / LEAVES).alias("block"), "rank", F.lit(1).cast("long").alias("documents"), F.col("n_tokens").alias("ids"), "root")
+    level = rooted(level, ["part", "block"], "rank")
+    level = rooted(level.withColumn("high", F.floor(F.col("block") / LEAVES)), ["part", "high"], "block")
+    return rooted(level, ["part"], "high")
 
 
 def sound_parts(spark: SparkSession, folder: str) -> list[int]:
@@ -196,6 +215,14 @@ def sound_parts(spark: SparkSession, folder: str) -> list[int]:
     return [r.part for r in both if r.same]
 
 
+def recipes_of(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, root, part, chunks: from the recipes and the parts' first ids."""
+    first = spark.read.parquet(f"{folder}/manifest").select("part", "first")
+    # One row a part.
+    recipes = spark.read.parquet(f"{folder}/recipes").join(F.broadcast(first), "part", "left")
+    return recipes.select("doc_id", (F.col("first") + F.col("within")).alias("start"), "root", "part", "chunks")
+
+
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     """From the files: doc_id, start, n_tokens, ids_crc32, verified (every chunk has its name's content, the recipe its root,
     and the part of the recipes what the manifest says)."""
@@ -224,8 +251,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     small_batches(spark)
     kept = set(sound_parts(spark, folder))
     chunks = spark.read.parquet(f"{folder}/chunks").select("chunk", "n", "wide", "ids").mapInArrow(checked, "chunk binary, n long, crc long, sound boolean")
-    recipes = spark.read.parquet(f"{folder}/recipes")
-    parts = recipes.select("doc_id", "start", "root", "part", F.posexplode("chunks").alias("at", "chunk")).join(chunks, "chunk", "left")
+    parts = recipes_of(spark, folder).select("doc_id", "start", "root", "part", F.posexplode("chunks").alias("at", "chunk")).join(chunks, "chunk", "left")
     whole = parts.groupBy("doc_id", "start", "root", "part").agg(F.array_sort(F.collect_list(F.struct("at", "n", "crc", F.coalesce("sound", F.lit(False)).alias("sound"), "chunk"))).alias("parts"))
     return whole.select("doc_id", "start", "root", "parts", "part").mapInArrow(joined, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
 
@@ -241,7 +267,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
 
     chunks = spark.read.parquet(f"{folder}/chunks")
-    parts = spark.read.parquet(f"{folder}/recipes").select("doc_id", "start", F.posexplode("chunks").alias("at", "chunk")).join(chunks, "chunk")
+    parts = recipes_of(spark, folder).select("doc_id", "start", F.posexplode("chunks").alias("at", "chunk")).join(chunks, "chunk")
     return parts.groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("at", "ids", "wide"))).alias("parts")).mapInArrow(joined, "doc_id long, start long, ids array<long>")
 
 

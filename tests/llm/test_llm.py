@@ -86,9 +86,17 @@ def test_plan_reaches_the_bound():
 
 def test_id_store(docs, library, tmp_path):
     folder = str(tmp_path / "store")
-    got = sorted((r.doc_id or 0, r.n_tokens, r.ids_crc32, r.verified) for r in id_store.stored_digests(docs, folder).collect())
+    rows = id_store.stored_digests(docs, folder).collect()
+    got = sorted((r.doc_id or 0, r.n_tokens, r.ids_crc32, r.verified) for r in rows)
     ids = [(i or 0, np.array(ids_of(library, t) + [1], "<u4")) for i, t, _ in EDGES]
     assert got == sorted((i, len(x), zlib.crc32(x.tobytes()), True) for i, x in ids)
+    # Gapless from 0, in the order of the ids, nulls first.
+    ordered, at = sorted(rows, key=lambda r: r.start), 0
+    assert [r.doc_id or 0 for r in ordered] == sorted(i for i, _ in ids)
+    for r in ordered:
+        assert r.start == at
+        at += r.n_tokens
+    assert id_store.stored_digests(docs.limit(0), str(tmp_path / "empty")).count() == 0
     back = sorted((r.doc_id or 0, list(r.ids)) for r in id_store.documents(docs.sparkSession, folder).collect())
     assert back == sorted((i, x.tolist()) for i, x in ids)
 
@@ -252,8 +260,9 @@ def test_pairs_of_one_band_are_compared(spark):
     assert [tuple(r) for r in near_dedup.compared_in_full(held, sets, near_dedup.THRESHOLD).collect()] == [(1, 2)]
 
 
-def test_id_store_misses_recipes(spark, tmp_path):
-    """A lost recipe makes its part unverified, a lost part is an error."""
+def test_id_store_misses_recipes(spark, tmp_path, monkeypatch):
+    """A lost recipe makes its part unverified, a lost part is an error. With small nodes the tree has several levels."""
+    monkeypatch.setattr(id_store, "LEAVES", 2)
     rows = spark.createDataFrame([(i, f"text number {i}") for i in range(40)], "doc_id long, text string")
     folder, less, none = (str(tmp_path / x) for x in ("store", "less", "none"))
     assert {r.verified for r in id_store.stored_digests(rows, folder).collect()} == {True}
@@ -346,3 +355,160 @@ def test_copies_dropped_over_ranges(spark):
         first.setdefault(r[1] or "", r)
     assert left == sorted(first.values())
     assert exact_dedup.drop_exact_copies(df.limit(0)).count() == 0
+
+
+def test_packing_pieces_are_those_of_brute_force(docs, library):
+    """Piece, start, length and checksum of every piece, by the library; sequences are gapless; as few as the bound allows."""
+    got = packing.pack(docs).toPandas()
+    want = []
+    for i, text, _ in EDGES:
+        ids = np.array(ids_of(library, text) + [1], "<u4")
+        want += [(i or 0, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(ids[k : k + 4096].tobytes())) for k in range(0, len(ids), 4096)]
+    assert sorted((int(r.doc_id) if r.doc_id == r.doc_id else 0, r.piece, r.start, r.length, r.ids_crc32) for r in got.itertuples()) == sorted(want)
+    assert got.sequence_id.nunique() == -(-sum(w[3] for w in want) // 4096)
+
+
+@pytest.mark.parametrize("counts, best", [({3000: 50, 1500: 70}, 85), ({2049: 10, 2047: 10}, 10), ({4096: 3}, 3), ({1: 1}, 1), ({1366: 30}, 15), ({1365: 30, 1: 10}, 10)])
+def test_plan_of_few_lengths(counts, best):
+    rows = packing.plan(counts)
+    assert max(r[4] + -(-r[2] // r[3]) for r in rows) == best
+
+
+def test_program_meets_its_bound():
+    """The total of the fractional fillings is within the gap of the dual bound, and every class is served."""
+    rng = np.random.default_rng(5)
+    size, demand = np.sort(rng.choice(np.arange(60, 900), 40, replace=False)), rng.integers(1, 500, 40).astype(float)
+    fillings, bound = packing.configurations(size, demand, 1024)
+    assert all((number * size).sum() <= 1024 for number, _ in fillings)
+    assert (sum(number * times for number, times in fillings) >= demand * (1 - 1e-9)).all()
+    assert (size * demand).sum() / 1024 <= bound * (1 + 1e-9) <= sum(t for _, t in fillings) <= 1.05 * bound
+
+
+BRUTE = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def base_spans(text):
+    """The base spans by plain regular expressions."""
+    def luhn(d):
+        return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    def passes(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(x) <= 255 for x in m.split("."))
+        return (12 <= len(d) <= 19 and luhn(d)) if kind == "card" else 9 <= len(d) <= 15 if kind == "phone" else True
+
+    found = [(m.start(), k, m.end()) for k, (kind, p) in enumerate(BRUTE) for m in re.finditer(p, text) if passes(kind, m[0])]
+    return sorted(found)
+
+
+def test_pii_base_is_that_of_brute_force(spark, docs):
+    draw = random.Random(11)
+    signs = ["a", "@", ".", "b-c", "1", "23", "255", "4111", " ", "+", "(", ")", "-", "x_y", "%", "\n", "é", "5500005555555559", "😀"]
+    texts = {100 + k: "".join(draw.choices(signs, k=draw.randrange(40))) for k in range(1500)} | {1: None, 2: ""}
+    real = {10_000 + r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = list((texts | real).items())
+    got = {r.doc_id: r for r in pii.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        spans = base_spans(text or "")
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{BRUTE[k][0]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest(), text
+        assert [got[i][f"n_{kind}"] for kind, _ in BRUTE] == [sum(k == x for _, k, _ in spans) for x in range(4)]
+        assert got[i].spans.count(":") // 2 == len(spans) + got[i].n_added
+    assert pii.digests(docs.limit(0)).count() == 0
+
+
+def test_pii_adds_what_the_labelers_agree_on(spark):
+    """Precision and recall of added spans on texts whose answers are known; what fails its check is never added, whatever stands before it."""
+    draw = random.Random(2)
+    number = lambda first: f"{first}{draw.randrange(10)}{draw.randrange(10)}-{draw.randrange(100, 999)}-{draw.randrange(1000, 9999)}"
+    rows, true = [], {}
+    for i in range(400):
+        kind = i % 4
+        if kind == 0:
+            text = f"please call {number(draw.choice('23456789'))} today"
+        elif kind == 1:
+            text = f"write to jo{i} [at] mail{i}.com soon"
+        elif kind == 2:
+            text = f"order {number('1')} has come, part{number('0')}x too"
+        else:
+            text = f"card 4111 1111 1111 1112 and ip {draw.randrange(256, 999)}.1.2.3 for version 1.2.3"
+        true[i] = kind < 2
+        rows.append((i, text))
+    got = {r.doc_id: r for r in pii.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = [i for i in got if got[i].n_added]
+    assert sum(true[i] for i in added) >= 0.95 * len(added) and sum(true[i] for i in added) >= 0.9 * sum(true.values())
+    assert not any(got[i].n_added or got[i].n_card or got[i].n_ip for i in got if i % 4 == 3)
+
+
+def test_redacted_columns(spark):
+    df = spark.createDataFrame([(1, "mail a@b.org now", 99, "s", "t"), (2, None, None, "s", "t"), (3, "", 7, None, None)], "doc_id long, text string, n_chars long, __spans string, __text string")
+    out = pii.redact(df)
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.columns == df.columns and out.schema["n_chars"].dataType == df.schema["n_chars"].dataType
+    assert (got[1].text, got[1].n_chars) == ("mail [EMAIL] now", 16) and got[2].text is None and got[2].n_chars is None and got[3].n_chars == 7 and got[1]["__text"] == "t"
+
+
+def test_language_edges(spark, docs):
+    one = spark.createDataFrame([(i, f"word number {i}", "en") for i in range(30)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id.identify(one).collect()} == {"en"}
+    none = one.withColumn("lang", F.lit(None).cast("string"))
+    assert {(r.lang_pred, r.score) for r in language_id.identify(none).collect()} == {("und", 0.0)}
+    data = "a\0é" * 50
+    windows = language_id.windows(data.encode())
+    assert windows.shape == (-(-len(data.encode()) // language_id.STRIDE), language_id.WINDOW)
+    back = windows[:, language_id.LAP : language_id.LAP + language_id.STRIDE].tobytes().rstrip(b"\0")
+    assert back == data.replace("\0", " ").encode()
+
+
+def test_nearest_edges(spark):
+    schema = "vec_id long, embedding array<float>, query_id long, vector int"
+    assert nearest.nearest_neighbours(spark.createDataFrame([], schema)).count() == 0
+    rows = [(0, [1.0, 0.0], 1, 1), (0, [1.0, 0.0], 1, 1), (1, [1.0, 0.0], 2, 2), (2, [0.0, 1.0], 3, 3), (None, [1.0, 1.0], 4, 4)]
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in nearest.nearest_neighbours(spark.createDataFrame(rows, schema)).collect())
+    assert got[:2] == [(0, 1, 1), (0, 2, 2)]
+
+
+def test_url_verdicts(spark):
+    """Rules decide; the trees decide the others as the rules' examples do, on urls that no rule saw."""
+    draw = random.Random(4)
+    word = lambda n: "".join(draw.choice("abcdefghij") for _ in range(n))
+    good, bad = (lambda: f"https://{word(6)}.com/fr/{word(8)}"), (lambda: f"http://{word(6)}.com/de/{draw.randrange(10**9)}?{'&'.join(f'{word(2)}={draw.randrange(99)}' for _ in range(4))}")
+    urls = [(i, good() if i % 2 else bad()) for i in range(600)]
+    others = [(1000 + i, f"https://{word(6)}.net/{word(8)}" if i % 2 else f"http://{word(6)}.net/{draw.randrange(10**9)}?{'&'.join(f'{word(2)}={draw.randrange(99)}' for _ in range(4))}") for i in range(100)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(urls + others + others[:3], "page_id long, url string")).collect()}
+    assert all(got[i].verdict == ("allow" if i % 2 else "block") and got[i].score is None for i, _ in urls)
+    right = sum(got[i].verdict == ("allow" if i % 2 else "block") for i, _ in others)
+    assert right >= 95 and all(0 <= got[i].score <= 1 for i, _ in others)
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_bpe_edges(docs):
+    assert bpe.digests(docs.limit(0)).count() == 0
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    common.small_batches(spark)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    big = spark.range(12, numPartitions=1).select(F.repeat(F.lit("x"), 3_000_000).alias("t"))
+    assert max(r.n for r in big.mapInArrow(sizes, "n long").collect()) <= common.BATCH_BYTES + 4_000_000
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session())
