@@ -2,7 +2,8 @@
 
 The lengths of all pieces make a histogram. Neighbouring lengths share a class, which counts as its longest. The configuration linear program over the classes (how
 often to use each way of filling one sequence, so that every class is served) is solved by multiplicative weights: the price of a class falls while it is
-served, and a knapsack dynamic program finds the filling of greatest price, until the total is within GAP of the dual bound. The fractional counts are
+served, and a knapsack dynamic program finds the filling of greatest price, until the total is within GAP of the dual bound (or ROUNDS are over: where most pieces take
+over a third of the room the gap closes slowly). The fractional counts are
 rounded to whole ones that add up to the same; short pieces, and what is left over, go to the open sequence with the least sufficient room, longest first. The program's size depends on the
 number of distinct lengths, at most the capacity, never on the number of documents. Its outcome, the plan, says which
 ranks of a length go to which sequences. Pieces are ranked within their length by a range sort, so that a length that very many
