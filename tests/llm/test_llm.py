@@ -512,3 +512,37 @@ def test_no_folder_of_one_machine_on_a_cluster():
 
     with pytest.raises(ValueError, match="checkpoint"):
         common.shared_dir(Session())
+
+
+def test_pipeline_stages_are_those_of_brute_force(spark, tmp_path):
+    """Each stage on what the one before kept, against plain versions; other columns of any name stay until the last stage."""
+    import corpus_pipeline
+
+    texts = [None, "", "123 !!", *families(random.Random(9), 12), "mail me at a.b@c.org or 1.2.3.4 please my friend " + " ".join(f"z{i}" for i in range(40))]
+    texts += texts[5:9]
+    rows = [(i, t, "en" if i % 2 else "de", "s", len(t or ""), 1, "x") for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, range int, __spans string"
+    docs = spark.createDataFrame(rows, schema)
+    at = lambda k: str(tmp_path / f"stage{k}")
+    kept = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, DATA).write.parquet(at(k))
+        out = spark.read.parquet(at(k))
+        if k < 4:
+            assert out.columns == docs.columns
+        docs = out
+        kept.append({r.doc_id: r for r in out.collect()} if k < 4 else out.toPandas())
+    language, exact, near, private, packed = kept
+    assert set(language) <= {i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))} and len(language) > 0.9 * len(texts) - 4
+    first = {}
+    for i in sorted(language):
+        first.setdefault(texts[i], i)
+    assert set(exact) == set(first.values())
+    ids = sorted(exact)
+    assert set(near) == {ids[c] for c in set(brute_classes([texts[i] for i in ids]))}
+    assert set(private) == set(near)
+    for i, r in private.items():
+        if not base_spans(texts[i]):
+            assert r.text == texts[i]
+    assert any("[EMAIL]" in r.text and "[IP]" in r.text for r in private.values())
+    assert set(packed.doc_id) == set(private) and packed.groupby("sequence_id").length.sum().max() <= 4096
