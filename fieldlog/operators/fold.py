@@ -4,8 +4,12 @@ A play's moves, outs and runs are columns already; only the bases depend on what
 So the ordered part is one native aggregate per half, over the few plays of that half and four fields of state; everything else is
 columns on its outcome. In a log that keeps the rules three outs end a half, so collecting it is no unbounded group; a game is never collected.
 
+A log may also hold control rows, which change the state and are no plays: place_base and place_runner put a runner on a base, as records do where an inning begins with
+one. They stand in the order of the log. Before the first play of a half that counts (one that is parsed and isn't the mark of no play) such a row is of that half; later ones
+wait for the next half, and are lost if none comes. A runner who was placed remains known as such wherever he goes.
+
 Defined cases: plays without an event have null moves and leave the state as it is. A move from an empty base moves nobody, but counts
-in the play's outs and runs, and is flagged.
+in the play's outs and runs, and is flagged. A control row whose base is none of the three changes nothing.
 """
 
 from __future__ import annotations
@@ -18,16 +22,28 @@ from pyspark.sql import functions as F
 
 from fieldlog.functions.moves import AHEAD, ENTRY
 
-STATE = "struct<b1:string,b2:string,b3:string,outs:int>"
+RUNNER = "struct<id:string,placed:boolean>"
+STATE = f"struct<b1:{RUNNER},b2:{RUNNER},b3:{RUNNER},outs:int>"
 ENTRIES = f"array<{ENTRY}>"
 
 
+def is_play(df: DataFrame) -> Column:
+    return F.col("place_base").isNull() if "place_base" in df.columns else F.lit(True)
+
+
 def islands(plays: DataFrame, game: Sequence[str], half: Sequence[str], order: str) -> DataFrame:
-    """plays with island: the number of changes of half so far in its game."""
+    """plays with island: the number of changes of half so far in its game. Control rows get that of the half they are for."""
     w = W.partitionBy(*game).orderBy(order)
-    here = F.struct(*half)
-    changed = F.lag(here).over(w).isNull() | ~F.lag(here).over(w).eqNullSafe(here)
-    return plays.withColumn("changed", changed.cast("int")).withColumn("island", F.sum("changed").over(w)).drop("changed")
+    before, here, play = w.rowsBetween(W.unboundedPreceding, -1), F.struct(*half), is_play(plays)
+    if "place_base" not in plays.columns:
+        changed = F.lag(here).over(w).isNull() | ~F.lag(here).over(w).eqNullSafe(here)
+        return plays.withColumn("changed", changed.cast("int")).withColumn("island", F.sum("changed").over(w)).drop("changed")
+    last = F.last(F.when(play, here), ignorenulls=True).over(before)
+    changed = (play & (last.isNull() | ~last.eqNullSafe(here))).cast("int")
+    df = plays.withColumn("changed", changed).withColumn("island", F.sum("changed").over(w))
+    counts = play & F.col("parse_ok") & ~F.col("no_play")
+    begun = F.max(F.when(counts, F.col("island"))).over(before).eqNullSafe(F.col("island")) | (F.col("island") == 0)
+    return df.withColumn("island", F.when(~play & begun, F.col("island") + 1).otherwise(F.col("island"))).drop("changed")
 
 
 def retried(outs_before: Column, play: dict[str, Column] | Column) -> Column:
@@ -51,27 +67,40 @@ def bases_after(runner: dict[str, Column], move: dict[str, Column]) -> dict[str,
 def after(state: Column, play: Column) -> Column:
     alive = retried(state["outs"], play)
     move = {p: play[f"move_{p}"] for p in "b123"} | {"b": F.when(alive, F.lit("1")).otherwise(play["move_b"])}
-    on = bases_after({"b": play["batter"], "1": state["b1"], "2": state["b2"], "3": state["b3"]}, move)
+    batter = F.when(play["batter"].isNotNull(), F.struct(play["batter"].alias("id"), F.lit(False).alias("placed")))
+    on = bases_after({"b": batter, "1": state["b1"], "2": state["b2"], "3": state["b3"]}, move)
     return F.struct(on["1"].alias("b1"), on["2"].alias("b2"), on["3"].alias("b3"), (state["outs"] + play["outs"] - alive.cast("int")).alias("outs"))
 
 
-def step(acc: Column, play: Column) -> Column:
-    return F.struct(after(acc["now"], play).alias("now"), F.array_append(acc["before"], acc["now"]).alias("before"))
+def placed(state: Column, row: Column) -> Column:
+    """The state with the runner of a control row on his base."""
+    runner = F.struct(row["place_runner"].alias("id"), F.lit(True).alias("placed"))
+    return F.struct(*[F.when(row["place_base"] == p, runner).otherwise(state[f"b{p}"]).alias(f"b{p}") for p in "123"], state["outs"].alias("outs"))
 
 
-def replayed(plays: DataFrame, game: Sequence[str] = ("game_key",), half: Sequence[str] = ("inning", "half"), order: str = "seq") -> DataFrame:
-    """moved plays (with batter) and, for each, the state before it (b1, b2, b3: runners; outs_before) and all that `resolved` adds.
+def step(acc: Column, play: Column, control: bool) -> Column:
+    now = after(acc["now"], play)
+    if control:
+        now = F.when(play["place_base"].isNotNull(), placed(acc["now"], play)).otherwise(now)
+    return F.struct(now.alias("now"), F.array_append(acc["before"], acc["now"]).alias("before"))
+
 
-    Only what the fold reads is collected: a number, the batter, four moves and the outs of each play."""
+def replayed(plays: DataFrame, game: Sequence[str] = ("game_key",), half: Sequence[str] = ("inning", "half"), order: str = "seq") -> DataFrame:
+    """moved plays (with batter) and, for each, the state before it (b1, b2, b3: runners; outs_before; placed_before: which bases hold a placed runner, like bases_before) and all
+    that `resolved` adds. Control rows (see above) act and are left out."""
     known = islands(plays, game, half, order)
-    keys = [*game, "island"]
-    row = F.struct(F.col(order).alias("at"), "batter", *[f"move_{p}" for p in "b123"], "outs", "may_retry", F.struct(*[c for c in known.columns if c not in keys]).alias("play"))
+    keys, control = [*game, "island"], [c for c in ("place_base", "place_runner") if c in plays.columns]
+    row = F.struct(F.col(order).alias("at"), "batter", *control, *[f"move_{p}" for p in "b123"], "outs", "may_retry", F.struct(*[c for c in known.columns if c not in keys]).alias("play"))
     in_order = lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
     ordered = known.groupBy(*keys).agg(F.array_sort(F.collect_list(row), in_order).alias("rows"))
     start = F.struct(F.from_json(F.lit('{"outs": 0}'), STATE).alias("now"), F.array().cast(f"array<{STATE}>").alias("before"))
-    states = F.aggregate("rows", start, step, lambda acc: acc["before"])
+    states = F.aggregate("rows", start, lambda acc, play: step(acc, play, bool(control)), lambda acc: acc["before"])
     both = ordered.select(*keys, F.explode(F.arrays_zip(F.col("rows.play").alias("play"), states.alias("state"))).alias("x"))
-    return resolved(both.select(*keys, "x.play.*", "x.state.b1", "x.state.b2", "x.state.b3", F.col("x.state.outs").alias("outs_before")))
+    if control:
+        both = both.where("x.play.place_base IS NULL")
+    on = [F.col(f"x.state.b{p}.id").alias(f"b{p}") for p in "123"]
+    marks = F.concat(*[F.coalesce(F.col(f"x.state.b{p}.placed"), F.lit(False)).cast("int").cast("string") for p in "123"])
+    return resolved(both.select(*keys, "x.play.*", *on, F.col("x.state.outs").alias("outs_before"), marks.alias("placed_before")).drop(*control))
 
 
 #: Findings about a play, weakest first; the strongest is its status.
@@ -80,11 +109,13 @@ FINDINGS = {"reached_against_rules": "data_contradicts_rules", "runner_retired_a
 
 def resolved(df: DataFrame) -> DataFrame:
     """What follows from the state before a moved play: bases_before, bases_after, outs (recorded), outs_after, retried, batter_live, batter_ran, forced (bases whose
-    runner must leave for a batter who runs), force_outs (origins), resolved (movements, with is_force, certainty and runner), flags and parse_status.
+    runner must leave for a batter who runs), force_outs (origins), resolved (movements, with is_force, certainty, runner and was_placed), has_placed_runner, flags and parse_status.
 
     certainty is n/a for who is safe; derived where the runner couldn't be forced at all; else as sure as it is that the batter ran, and
     ambiguous where that isn't known. Plays that aren't parsed have no state."""
     held = {p: F.col(f"b{p}").isNotNull() for p in "123"}
+    if "placed_before" not in df.columns:
+        df = df.withColumn("placed_before", F.lit("000"))
     df = df.withColumn("retried", retried(F.col("outs_before"), {"outs": F.col("outs"), "may_retry": F.col("may_retry")}))
     df = df.withColumns({
         "outs": F.col("outs") - F.col("retried").cast("int"), "outs_after": F.col("outs_before") + F.col("outs") - F.col("retried").cast("int"),
@@ -102,8 +133,9 @@ def resolved(df: DataFrame) -> DataFrame:
         doubt = F.when(F.col("batter_certainty") == "unresolved", "ambiguous").otherwise(F.col("batter_certainty"))
         certainty = F.when(~e["is_out"], "n/a").when(at_first, F.col("batter_certainty")).when(F.array_contains("could_be_forced", e["origin"]), doubt).otherwise("derived")
         runner = F.when(e["origin"] == "B", F.col("batter")).when(e["origin"] == "1", F.col("b1")).when(e["origin"] == "2", F.col("b2")).when(e["origin"] == "3", F.col("b3"))
+        was_placed = F.coalesce(F.substring("placed_before", e["origin"].try_cast("int"), F.lit(1)) == "1", F.lit(False))
         dest = F.coalesce(e["dest"], F.when(force, ahead).otherwise(e["origin"]))
-        return F.struct(e["origin"].alias("origin"), dest.alias("dest"), e["is_out"].alias("is_out"), e["explicit"].alias("explicit"), e["marked_out"].alias("marked_out"), e["scored"].alias("scored"), force.alias("is_force"), certainty.alias("certainty"), runner.alias("runner"), e["raw"].alias("raw"))
+        return F.struct(e["origin"].alias("origin"), dest.alias("dest"), e["is_out"].alias("is_out"), e["explicit"].alias("explicit"), e["marked_out"].alias("marked_out"), e["scored"].alias("scored"), force.alias("is_force"), certainty.alias("certainty"), runner.alias("runner"), e["raw"].alias("raw"), was_placed.alias("was_placed"))
 
     alive = F.array(F.struct(F.lit("B").alias("origin"), F.lit("1").alias("dest"), F.lit(False).alias("is_out"), F.lit(False).alias("explicit"), F.lit(False).alias("marked_out"), F.lit(False).alias("scored"), F.lit(True).alias("placed"), F.lit("B-1").alias("raw")))
     whole = F.when(F.col("retried"), F.concat("entries", alive.cast(ENTRIES))).otherwise(F.col("entries"))
@@ -122,12 +154,15 @@ def resolved(df: DataFrame) -> DataFrame:
         "more_than_three_outs": F.col("outs_after") > 3,
     }
     empty = F.exists("resolved", lambda a: (a["origin"] != "B") & a["runner"].isNull())
-    df = df.withColumn("flags", F.array_compact(F.array(F.when(empty, "advance_from_empty_base"), *[F.when(test, name) for name, test in tests.items()])))
+    flags = F.array_compact(F.array(F.when(empty, "advance_from_empty_base"), *[F.when(test, name) for name, test in tests.items()]))
+    df = df.withColumn("flags", F.when(F.col("parse_ok"), flags).otherwise(F.array().cast("array<string>")))
     status = F.when(~F.col("parse_ok"), "unparsed")
     for name in reversed(FINDINGS):
         status = status.when(F.array_contains("flags", name), FINDINGS[name])
-    unknown = [c for c in ("b1", "b2", "b3", "outs_before", "outs_after", "bases_before", "bases_after", "outs", "runs", "forced", "force_outs")]
+    unknown = [c for c in ("b1", "b2", "b3", "outs_before", "outs_after", "bases_before", "bases_after", "outs", "runs", "forced", "force_outs", "placed_before")]
     df = df.withColumn("parse_status", status.otherwise("ok"))
+    if "has_placed_runner" not in df.columns:
+        df = df.withColumn("has_placed_runner", F.col("placed_before").contains("1"))
     return df.withColumns({c: F.when(F.col("parse_ok"), F.col(c)) for c in unknown}).drop("could_be_forced", "entries")
 
 

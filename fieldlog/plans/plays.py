@@ -270,6 +270,37 @@ states(game_key, island, k, b1, b2, b3, outs_before) AS (
 joined AS (SELECT m.*, s.b1, s.b2, s.b3, s.outs_before, m.may_retry AND s.outs_before + m.outs = 4 AS alive FROM states s JOIN m ON m.game_key = s.game_key AND m.island = s.island AND m.k = s.k),
 folded AS (SELECT * REPLACE (CASE WHEN alive THEN concat('1', substr(moves, 2)) ELSE moves END AS moves, outs - CAST(alive AS INT) AS outs), outs_before + outs - CAST(alive AS INT) AS outs_after, length(concat(coalesce(left(b1, 1), ''), coalesce(left(b2, 1), ''), coalesce(left(b3, 1), ''))) AS runners FROM joined)
 """
+
+
+def with_placed(spark: SparkSession, d: str) -> DataFrame:
+    """The log view with control rows: before every fifth play one that puts a runner on a base."""
+    plays = view(spark, d, DEALT)
+    events = F.array(*[F.lit(row[0]) for row in FOLDED])
+    own = plays.withColumns({"event": F.element_at(events, F.col("pick") + 1), "line_no": 2 * F.col("seq")})
+    nothing = F.lit(None)
+    control = plays.where("play_id % 5 = 2").select("game_key", (2 * F.col("seq") - 1).alias("line_no"), F.concat(F.lit("Z"), "play_id").alias("place_runner"), (F.col("play_id") % 3 + 1).cast("string").alias("place_base"))
+    rows = own.drop("pick").withColumns({"place_runner": nothing.cast("string"), "place_base": nothing.cast("string")}).unionByName(control, allowMissingColumns=True)
+    return replayed(moved(E.parsed(rows)), order="line_no")
+
+
+PLACED_SQL = f"""
+WITH RECURSIVE dealt AS (SELECT p.*, event, coalesce(c.moves, '....') AS moves, c.moves IS NOT NULL AS ok, may_retry FROM ({DEALT}) p JOIN {values(FOLDED, "event, moves, may_retry")} ON i = pick),
+counted AS (SELECT *, {TIMES("X")} AS outs, {TIMES("H")} AS runs FROM dealt),
+changes AS (SELECT *, CASE WHEN lag(inning) OVER w IS NULL OR lag(inning) OVER w <> inning OR lag(half) OVER w <> half THEN 1 ELSE 0 END AS changed FROM counted WINDOW w AS (PARTITION BY game_key ORDER BY seq)),
+numbered AS (SELECT *, sum(changed) OVER (PARTITION BY game_key ORDER BY seq) AS own_island FROM changes),
+mixed AS (SELECT game_key, 2 * seq AS pos, seq, play_id, batter, moves, outs, runs, may_retry, ok, CASE WHEN ok AND event <> 'NP' THEN own_island END AS counts, own_island, CAST(NULL AS VARCHAR) AS base, CAST(NULL AS VARCHAR) AS runner FROM numbered
+  UNION ALL SELECT game_key, 2 * seq - 1, NULL, NULL, NULL, '....', 0, 0, false, false, NULL, NULL, CAST(play_id % 3 + 1 AS VARCHAR), concat('Z', CAST(play_id AS VARCHAR)) FROM numbered WHERE play_id % 5 = 2),
+led AS (SELECT *, coalesce(max(own_island) OVER w, 0) AS last_island, max(counts) OVER w AS begun FROM mixed WINDOW w AS (PARTITION BY game_key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+islands AS (SELECT *, CASE WHEN base IS NULL THEN own_island WHEN last_island = 0 OR begun = last_island THEN last_island + 1 ELSE last_island END AS island FROM led),
+m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY game_key, island ORDER BY pos) AS k FROM islands),
+states(game_key, island, k, b1, b2, b3, outs_before) AS (
+  SELECT game_key, island, k, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0 FROM m WHERE k = 1
+  UNION ALL SELECT s.game_key, s.island, s.k + 1, {', '.join(f"CASE WHEN m.base = '{p}' THEN m.runner WHEN m.base IS NOT NULL THEN s.b{p} ELSE {ON(p)} END" for p in "123")}, s.outs_before + m.outs - CASE WHEN m.may_retry AND s.outs_before + m.outs = 4 THEN 1 ELSE 0 END
+  FROM states s JOIN m ON m.game_key = s.game_key AND m.island = s.island AND m.k = s.k)
+SELECT m.game_key, m.seq, m.play_id, b1, b2, b3, outs_before, coalesce(left(b1, 1) = 'Z', false) OR coalesce(left(b2, 1) = 'Z', false) OR coalesce(left(b3, 1) = 'Z', false) AS has_placed_runner
+FROM states s JOIN m ON m.game_key = s.game_key AND m.island = s.island AND m.k = s.k WHERE base IS NULL AND ok
+"""
+add("R9_placed_runners", lambda s, d: with_placed(s, d).where("parse_ok").select("game_key", "seq", "play_id", "b1", "b2", "b3", "outs_before", "has_placed_runner"), PLACED_SQL)
 BASES_SQL = "concat(CASE WHEN b1 IS NULL THEN '0' ELSE '1' END, CASE WHEN b2 IS NULL THEN '0' ELSE '1' END, CASE WHEN b3 IS NULL THEN '0' ELSE '1' END)"
 
 
