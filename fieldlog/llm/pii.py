@@ -12,7 +12,8 @@ Counts of vote patterns are at most 4 x 3 x 2 x 3 x 2 x 2 = 288 rows, whatever t
 and all work over texts is Spark's own functions.
 
 Defined cases: a null text counts as empty and has no spans. Offsets are code points, the end exclusive. Repeated rows each get
-their spans. Without candidates nothing is added.
+their spans. Without candidates nothing is added. Work grows with the length of a text and the number of its matches, not with their product, so texts may be very long and
+hold very many.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import discard, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -62,24 +63,66 @@ OTHERWISE = (
     r"(?i)\b(?:order|invoice|isbn|issn|serial|tracking|token|article|item|part|reference|ref|pedido|commande|bestellung|artikel)\b|[=#$]\s*[\"']?$",
 )
 CONTEXT = 40
+#: Items of a block of `scanned`; characters of a piece that a long text is cut into for redaction.
+BLOCK, PIECE = 128, 1024
 #: Labelers' assumed reliabilities before the first round of estimation: regex, gazetteer, context, edges. Words about the kind tell more than shapes do.
 PRIOR = (0.95, 0.7, 0.95, 0.6)
 ROUNDS, TRUST = 60, 3.0
 
 
-def found(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches in order: array of (s, e, m). Lengths of matches and of what is between give the places."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+def scanned(items: Column, zero: Column, step, emit) -> Column:
+    """For each item emit(state, item), the state being step's over the items before it. An array grows by copying, so items are taken in blocks: the state before each
+    block first, then each block by itself. Work is that of BLOCK copies an item, not of all items before it."""
+    nothing = lambda kind: F.slice(F.array(kind), 1, 0)
+    parts = lambda whole, n: F.transform(F.sequence(F.lit(0), F.greatest((F.size(whole) - 1).cast("int"), F.lit(0)), F.lit(n)), lambda at: F.slice(whole, at + 1, F.lit(n)))
+    # A slice goes through all of its array, so blocks are cut from larger ones.
+    blocks = F.flatten(F.transform(parts(items, BLOCK * BLOCK), lambda large: parts(large, BLOCK)))
+    before = F.aggregate(
+        blocks, F.struct(zero.alias("now"), nothing(zero).alias("out")),
+        lambda acc, block: F.struct(F.aggregate(block, acc["now"], step).alias("now"), F.array_append(acc["out"], acc["now"]).alias("out")), lambda acc: acc["out"],
+    )
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
+    def one(block: Column, state: Column) -> Column:
+        first = nothing(emit(state, F.get(block, F.lit(0))))
+        return F.aggregate(block, F.struct(state.alias("now"), first.alias("out")), lambda acc, x: F.struct(step(acc["now"], x).alias("now"), F.array_append(acc["out"], emit(acc["now"], x)).alias("out")), lambda acc: acc["out"])
 
-    placed = F.aggregate(F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap"))), start, step, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, placed).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
+    return F.flatten(F.zip_with(blocks, before, one))
+
+
+def last(text: Column, n: int = CONTEXT) -> Column:
+    return F.right(text, F.lit(n))
+
+
+FOUND = "array<struct<s:int,e:int,m:string,before:string,after:string>>"
+
+
+def found(df: DataFrame, text: str, patterns: dict[str, tuple[str, str]]) -> DataFrame:
+    """df with a column for each name of patterns (a sign without which there is no match, and the pattern): the leftmost non-overlapping matches in order, as
+    array of (s, e, m, before: up to CONTEXT characters before it, after: the next one). Matches and what lies between them hold all of the text, so nothing is looked up by
+    its place. Each stage is columns of its own, so that none is evaluated twice."""
+    own = uuid.uuid4().hex
+    m, g, x_ = ({n: f"{kind} {n} {own}" for n in patterns} for kind in "mgx")
+    none = F.array().cast("array<string>")
+    some = {n: F.col(text).rlike(sign) for n, (sign, _) in patterns.items()}
+    df = df.withColumns({m[n]: F.when(some[n], F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for n, (_, p) in patterns.items()})
+    df = df.withColumns({g[n]: F.when(F.size(m[n]) > 0, F.split(text, p, -1)).otherwise(none) for n, (_, p) in patterns.items()})
+
+    def items(n: str) -> Column:
+        size = F.size(m[n])
+        zipped = F.arrays_zip(F.col(m[n]).alias("m"), F.slice(g[n], 1, size).alias("gap"), F.slice(g[n], 2, size).alias("then"), F.slice(m[n], 2, size).alias("next"))
+        return F.transform(zipped, lambda x: F.struct(x["m"].alias("m"), x["gap"].alias("gap"), F.left(F.concat(x["then"], F.coalesce(x["next"], F.lit(""))), F.lit(1)).alias("after")))
+
+    def step(now: Column, x: Column) -> Column:
+        return F.struct((now["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"), last(F.concat(now["tail"], x["gap"], x["m"])).alias("tail"))
+
+    def emit(now: Column, x: Column) -> Column:
+        s = now["at"] + F.length(x["gap"])
+        return F.struct(s.alias("s"), (s + F.length(x["m"])).alias("e"), x["m"].alias("m"), last(F.concat(now["tail"], x["gap"])).alias("before"), x["after"].alias("after"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
+    df = df.withColumns({x_[n]: items(n) for n in patterns}).drop(*g.values())
+    df = df.withColumns({n: F.when(F.size(m[n]) > 0, scanned(F.col(x_[n]), zero, step, emit)).otherwise(F.array().cast(FOUND)) for n in patterns})
+    return df.drop(*m.values(), *x_.values())
 
 
 def digits(x: Column) -> Column:
@@ -96,38 +139,40 @@ def passes(kind: str, m: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def candidates(text: Column) -> Column:
-    """Array of (s, k, e, regex, listed, context, edges, parted): votes are 0 or 1, or -1 where a labeler abstains: the strict pattern on
-    the looser candidates, the context where no word tells."""
+#: Each strict pattern and each looser one: its kind, what a text without a match lacks, the pattern.
+STRICT = ((0, "@", EMAIL), (1, r"[0-9]\.[0-9]", IP), (2, "[0-9]", CARD), (3, r"\+[0-9]", PHONE))
+LOOSE = ((0, r"[\[(]at[\])]", WRITTEN_EMAIL), (1, ":[0-9A-Fa-f]{1,4}:", IP6), (3, "[0-9]{3}[ .-][0-9]{4}", NATIONAL_PHONE))
+
+
+def votes(k: int, strict: bool):
+    def of(x: Column) -> Column:
+        m, before, left, right = x["m"], x["before"], last(x["before"], 1), x["after"]
+        return F.struct(
+            x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"),
+            (passes(KINDS[k], m).cast("int") if strict else F.lit(-1)).alias("regex"),
+            m.rlike(LISTED[k]).cast("int").alias("listed"),
+            F.when(before.rlike(TRIGGERS[k]), 1).when(before.rlike(OTHERWISE[k]), 0).otherwise(-1).alias("context"),
+            (~(left.rlike(r"[\p{L}\p{N}]") | right.rlike(r"[\p{L}\p{N}]"))).cast("int").alias("edges"),
+            m.rlike(r"[ @().:-]").cast("int").alias("parted"),
+        )
 
-    def votes(k: int, strict: bool):
-        def of(x: Column) -> Column:
-            m, s, e = x["m"], x["s"], x["e"]
-            before = F.substring(text, F.greatest(s - CONTEXT + 1, F.lit(1)), F.least(s, F.lit(CONTEXT)))
-            left, right = F.when(s > 0, F.substring(text, s, F.lit(1))).otherwise(""), F.substring(text, e + 1, F.lit(1))
-            return F.struct(
-                s.alias("s"), F.lit(k).alias("k"), e.alias("e"),
-                (passes(KINDS[k], m).cast("int") if strict else F.lit(-1)).alias("regex"),
-                m.rlike(LISTED[k]).cast("int").alias("listed"),
-                F.when(before.rlike(TRIGGERS[k]), 1).when(before.rlike(OTHERWISE[k]), 0).otherwise(-1).alias("context"),
-                (~(left.rlike(r"[\p{L}\p{N}]") | right.rlike(r"[\p{L}\p{N}]"))).cast("int").alias("edges"),
-                m.rlike(r"[ @().:-]").cast("int").alias("parted"),
-            )
+    return of
 
-        return of
 
-    def plausible(k: int):
+def with_candidates(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with out: array of (s, k, e, regex, listed, context, edges, parted) of its column text. Votes are 0 or 1, or -1 where a labeler abstains: the strict pattern on the
+    looser candidates, the context where no word tells."""
+    own = uuid.uuid4().hex
+    named = {f"{'strict' if strict else 'loose'} {k} {own}": (k, strict, sign, p) for strict, some in ((True, STRICT), (False, LOOSE)) for k, sign, p in some}
+    df = found(df, text, {n: (sign, p) for n, (_, _, sign, p) in named.items()})
+
+    def plausible(n: str, k: int, strict: bool) -> Column:
         """Strict matches that fail their check are candidates only where their length is possible."""
-        if KINDS[k] in ("card", "phone"):
-            return lambda x: F.length(digits(x["m"])).between(*((12, 19) if KINDS[k] == "card" else (9, 15)))
-        return lambda x: F.lit(True)
+        if strict and KINDS[k] in ("card", "phone"):
+            return F.filter(n, lambda x: F.length(digits(x["m"])).between(*((12, 19) if KINDS[k] == "card" else (9, 15))))
+        return F.col(n)
 
-    strict = [F.transform(F.filter(found(text, p), plausible(k)), votes(k, True)) for k, p in enumerate((EMAIL, IP, CARD, PHONE))]
-    loose = [F.transform(found(text, p), votes(k, False)) for k, p in ((0, WRITTEN_EMAIL), (1, IP6), (3, NATIONAL_PHONE))]
-    # Texts without a digit or an @ or a bracket have none; most of the others lack one of the signs as well.
-    none = F.array().cast("array<struct<s:int,k:int,e:int,regex:int,listed:int,context:int,edges:int,parted:int>>")
-    some = lambda sign, x: F.when(text.rlike(sign), x).otherwise(none)
-    return F.array_sort(F.concat(some("@", strict[0]), some(r"[0-9]\.[0-9]", strict[1]), some("[0-9]", strict[2]), some(r"\+[0-9]", strict[3]), some(r"[\[(]at[\])]", loose[0]), some(":[0-9A-Fa-f]{1,4}:", loose[1]), some("[0-9]{3}[ .-][0-9]{4}", loose[2])))
+    return df.withColumn(out, F.array_sort(F.concat(*[F.transform(plausible(n, k, strict), votes(k, strict)) for n, (k, strict, _, _) in named.items()]))).drop(*named)
 
 
 @dataclass(frozen=True)
@@ -196,13 +241,21 @@ def train(found_in: DataFrame) -> SpanModel:
     return fitted([(k, (a, b, c, d), parted, n) for k, a, b, c, d, parted, n in rows])
 
 
-def spans(candidates_: Column, model: SpanModel) -> Column:
-    """Checked strict matches, and of the looser candidates those that the classifier adds: array of (s, k, e, base) by start, then kind."""
-    base = F.transform(F.filter(candidates_, lambda c: c["regex"] == 1), lambda c: F.struct(c["s"], c["k"], c["e"], F.lit(True).alias("base")))
-    more = F.filter(candidates_, lambda c: (c["regex"] < 0) & (model.score(c) >= 0.5))
-    # An added span that overlaps a base one would tell nothing new.
-    more = F.filter(more, lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    return F.array_sort(F.array_distinct(F.concat(base, F.transform(more, lambda c: F.struct(c["s"], c["k"], c["e"], F.lit(False).alias("base"))))))
+SPAN = "array<struct<s:int,k:int,e:int,base:boolean>>"
+
+
+def with_spans(df: DataFrame, candidates: str, model: SpanModel, out: str) -> DataFrame:
+    """df with out: of its column of candidates the checked strict matches, and the looser ones that the classifier adds: array of (s, k, e, base) by start, then kind. An added span
+    that overlaps a base one would tell nothing new."""
+    every, ahead, back = (f"{x} {uuid.uuid4().hex}" for x in ("every", "ahead", "back"))
+    good = F.filter(candidates, lambda c: (c["regex"] == 1) | ((c["regex"] < 0) & (model.score(c) >= 0.5)))
+    df = df.withColumn(every, F.array_sort(F.transform(good, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), (c["regex"] == 1).alias("base")))).cast(SPAN))
+    some = F.exists(every, lambda x: ~x["base"])
+    # Of the base spans that begin no later the furthest end, and of those that follow the first start, tell of an overlap.
+    df = df.withColumn(ahead, F.when(some, scanned(F.col(every), F.lit(-1), lambda now, x: F.when(x["base"], F.greatest(now, x["e"])).otherwise(now), lambda now, x: F.struct(x.alias("x"), now.alias("reached")))))
+    df = df.withColumn(ahead, F.reverse(ahead))
+    df = df.withColumn(back, F.when(some, scanned(F.col(ahead), F.lit(2**31 - 1), lambda now, y: F.when(y["x"]["base"], y["x"]["s"]).otherwise(now), lambda now, y: F.struct(y["x"].alias("x"), (y["x"]["base"] | ((y["reached"] <= y["x"]["s"]) & (now >= y["x"]["e"]))).alias("stays")))))
+    return df.withColumn(out, F.when(some, F.transform(F.filter(F.reverse(back), lambda y: y["stays"]), lambda y: y["x"])).otherwise(F.col(every))).drop(every, ahead, back)
 
 
 def joined(spans_: Column) -> Column:
@@ -213,8 +266,8 @@ def joined(spans_: Column) -> Column:
 def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, found: array of (s, k, e, base), k being the place in KINDS."""
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("body"))
-    held = written(own.select("doc_id", candidates(F.col("body")).alias("candidates")), "candidates")
-    return held.select("doc_id", spans(F.col("candidates"), train(held)).alias("found"))
+    held = written(with_candidates(own, "body", "candidates").select("doc_id", "candidates"), "candidates")
+    return with_spans(held, "candidates", train(held), "found").select("doc_id", "found")
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,23 +282,32 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """df with each span replaced by its kind in brackets; a length column follows. Null texts stay null."""
-    body = text_of(text_col)
-    # One job counts votes, the next decides: texts are read twice rather than joined to their spans.
-    model = train(df.select(candidates(body).alias("candidates")))
+    # Names of our own, so that no column of df can clash with them.
+    body, held, seen, text, cut = (f"{x} {uuid.uuid4().hex}" for x in ("body", "spans", "candidates", "text", "pieces"))
+    # One job writes votes, which are few bytes a match, the next decides: texts are read twice rather than joined to their spans.
+    seen_votes = written(with_candidates(df.select(text_of(text_col).alias(body)), body, "candidates").select("candidates"), "votes")
+    model = train(seen_votes)
+    discard(seen_votes)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # In pieces, so that a place in a long text is found without going through all before it.
+    pieces, pieces_ = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), F.col(cut)
 
-    def step(acc: Column, x: Column) -> Column:
+    def between(a: Column, b: Column) -> Column:
+        first, last_ = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+        head = F.substring(F.get(pieces_, first), a % PIECE + 1, F.least(b - a, F.lit(PIECE)))
+        rest = F.concat(F.array_join(F.slice(pieces_, first + 2, F.greatest(last_ - first - 1, F.lit(0))), ""), F.substring(F.get(pieces_, last_), F.lit(1), b - last_ * PIECE))
+        return F.when(b <= a, "").when(first == last_, head).otherwise(F.concat(head, rest))
+
+    def emit(at: Column, x: Column) -> Column:
         # Spans of different kinds can overlap: what is left of a later one is taken out too.
-        gap = F.when(x["s"] > acc["at"], F.substring(body, acc["at"] + 1, x["s"] - acc["at"])).otherwise("")
-        mark = F.when(x["e"] > acc["at"], F.element_at(names, x["k"] + 1)).otherwise("")
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
+        return F.concat(between(at, x["s"]), F.when(x["e"] > at, F.element_at(names, x["k"] + 1)).otherwise(""))
 
-    # Names of our own, so that no column of df can clash with them.
-    held, text = (f"{x} {uuid.uuid4().hex}" for x in ("spans", "text"))
-    cleared = F.aggregate(F.col(held), start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    out = df.withColumn(held, spans(candidates(body), model))
+    end = F.array_max(F.transform(F.col(held), lambda x: x["e"]))
+    parts = scanned(F.col(held), F.lit(0), lambda at, x: F.greatest(at, x["e"]), emit)
+    cleared = F.concat(F.array_join(parts, ""), between(end, F.length(body)))
+    out = with_spans(with_candidates(df.withColumn(body, text_of(text_col)), body, seen), seen, model, held)
     some = F.size(held) > 0
+    out = out.withColumn(cut, F.when(some, pieces))
     out = out.withColumn(text, F.when(some, cleared).otherwise(F.col(text_col)))
     columns = [F.col(text).alias(c) if c == text_col else F.when(some, F.length(text)).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in df.columns]
     return out.select(*columns)

@@ -546,3 +546,24 @@ def test_pipeline_stages_are_those_of_brute_force(spark, tmp_path):
             assert r.text == texts[i]
     assert any("[EMAIL]" in r.text and "[IP]" in r.text for r in private.values())
     assert set(packed.doc_id) == set(private) and packed.groupby("sequence_id").length.sum().max() <= 4096
+
+
+def test_pii_of_very_many_matches_in_one_text(spark):
+    """Work is linear in the matches: 30,000 of four kinds, in blocks of several sizes, with overlaps of kinds and letters of several bytes between."""
+    parts = [("10.0.%d.7", "ip"), ("é +49 30 12345%03d ", "phone"), ("a%d@b.org", "email"), ("4111 1111 1111 1111 ü%d", "card"), ("nothing %d", None)]
+    text = "".join(parts[i % 5][0] % (i % 250) + (";\n" if i % 3 else ", ") for i in range(30000))
+    rows = [(1, text), (2, "x"), (3, text[:500])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.digests(df).collect()}
+    for i, t in rows:
+        base = base_spans(t)
+        counts, listed = [sum(k == x for _, k, _ in base) for x in range(4)], ",".join(f"{BRUTE[k][0]}:{s}:{e}" for s, k, e in base)
+        assert ([got[i][f"n_{k}"] for k in pii.KINDS], got[i].base_sha256) == (counts, hashlib.sha256(listed.encode()).hexdigest())
+        assert set(filter(None, listed.split(","))) <= set(got[i].spans.split(","))
+    cleared = {r.doc_id: r.text for r in pii.redact(df, length_col=None).collect()}
+    for i, t in rows:
+        want, at = [], 0
+        for kind, s, e in ((k, int(s), int(e)) for k, s, e in (x.split(":") for x in got[i].spans.split(",") if x)):
+            want += [t[at:s] if s > at else "", f"[{kind.upper()}]" if e > at else ""]
+            at = max(at, e)
+        assert cleared[i] == "".join(want) + t[at:]
