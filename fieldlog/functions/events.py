@@ -34,7 +34,7 @@ BASIC = f"(?:{'|'.join(p for _, p in KINDS)})"
 ADVANCE = rf"[B123H][-X][123H](?:{PARAMETER})*"
 EVENT = rf"^({BASIC}(?:[+;]{BASIC})*)((?:/{MODIFIER})*)(?:\.({ADVANCE}(?:;{ADVANCE})*))?\z"
 RUNNING = ("POCS", "PO", "CS", "SB", "DI", "OA", "WP", "PB", "BK")
-MARK = "\u0001"
+MARK, OPERATOR = "\u0001", "\u0002"
 
 
 def none_of(kind: str) -> Column:
@@ -49,7 +49,9 @@ def marked(event: Column) -> Column:
     tail = F.regexp_extract(out, r"(?s)^[^.]*(\..*)\z", 1)
     # Of hyphens in a row the last alone can be an operator.
     tail = F.regexp_replace(tail, rf"-(?=(?:{MARK}.)*-)", f"{MARK}$0")
-    tail = F.regexp_replace(tail, rf"(?<!{MARK})(?:(?<![B123H](?:{MARK}.){{0,9}})-|-(?!(?:{MARK}[#!?])*[123H]))", f"{MARK}$0")
+    # Those that are operators hide behind a sign of their own while the others are marked.
+    tail = F.regexp_replace(tail, rf"([B123H](?:{MARK}.)*)(?<!{MARK})-(?=(?:{MARK}[#!?])*[123H])", f"$1{OPERATOR}")
+    tail = F.replace(F.regexp_replace(tail, rf"(?<!{MARK})-", f"{MARK}$0"), F.lit(OPERATOR), F.lit("-"))
     return F.concat(head, tail)
 
 
@@ -100,7 +102,7 @@ def modifier_text(m: Column) -> Column:
 
 def of_groups(m: Column, letter: str) -> Column:
     """Fielders of a coverage modifier's groups: R is a relay, U isn't explained by the notation."""
-    return F.array_join(F.transform(F.filter(F.coalesce(m["covered"], none_of("string")), lambda g: g.startswith(letter)), lambda g: F.substring(g, 2, 20)), "")
+    return F.array_join(F.transform(F.filter(F.coalesce(m["covered"], none_of("string")), lambda g: g.startswith(letter)), lambda g: F.substring(g, F.lit(2), F.length(g))), "")
 
 
 def atoms(text: Column) -> Column:
@@ -178,7 +180,7 @@ def parsed(df: DataFrame, event: str = "event") -> DataFrame:
     whole = whole.withColumns({"__basics": F.when(F.col("parse_ok"), section(1)), "__mods": F.when(F.col("parse_ok"), section(2)), "__advs": F.when(F.col("parse_ok"), section(3))})
     parts = whole.withColumns({
         "basics": F.transform(F.regexp_extract_all("__basics", F.lit("((?:^|[+;])[^+;]+)"), F.lit(1)), basic),
-        "mods": F.transform(F.when(F.col("__mods") == "", none_of("string")).otherwise(F.slice(F.split("__mods", "/"), 2, 50)), modifier),
+        "mods": F.transform(F.when(F.col("__mods") == "", none_of("string")).otherwise(F.filter(F.split("__mods", "/"), lambda _, i: i > 0)), modifier),
         "advs": F.transform(F.when(F.col("__advs") == "", none_of("string")).otherwise(F.split("__advs", ";")), advance),
     })
     return parts.drop("__basics", "__mods", "__advs")

@@ -136,7 +136,7 @@ def facts(df: DataFrame) -> DataFrame:
         return F.struct(*[of_scope[f].alias(f) for f in ("scope", "origin_seq", "seq_text", "records_out", "credits")], *[c.alias(n) for n, c in told.items()])
 
     df = df.withColumns({c: F.lit(v) for c, v in DEFAULTS.items() if c not in df.columns})
-    df = df.withColumns({"kind": E.kind(), "trailing": F.slice("basics", 2, 50), "traj": F.get(F.filter("mods", lambda m: m["kind"] == "hit"), F.lit(0))["trajectory"], "adv_flags": E.adv_flags(), "seqs": E.sequences(), "throw": E.thrown(), "relays": F.transform("mods", lambda m: E.of_groups(m, "R"))})
+    df = df.withColumns({"kind": E.kind(), "trailing": F.filter("basics", lambda _, i: i > 0), "traj": F.get(F.filter("mods", lambda m: m["kind"] == "hit"), F.lit(0))["trajectory"], "adv_flags": E.adv_flags(), "seqs": E.sequences(), "throw": E.thrown(), "relays": F.transform("mods", lambda m: E.of_groups(m, "R"))})
     df = df.withColumn("seqs", F.transform("seqs", seq))
     unknown = next(t for t in ALL if t.name == "UnknownPlay").rule
     return df.withColumn("doubtful", F.exists("trivia", lambda t: t["mark"] == "#") | F.expr(unknown))

@@ -420,10 +420,12 @@ class Search:
     def check_names(self, t: Tables) -> None:
         for p in self._all():
             if p.name:
-                # One more than can be told apart at a glance.
-                found = [tuple(r) for r in candidates(t, *p.name).limit(20).collect()]
+                # The error names the first of them, in order, and says how many there are.
+                all_ = candidates(t, *p.name)
+                found = [tuple(r) for r in all_.orderBy(*all_.columns).limit(20).collect()]
                 if len(found) != 1:
-                    raise QueryError(f"{p.name[1]!r} is {'several' if found else 'no'} {p.name[0]}{'s' if found else ''}", found)
+                    total = all_.count() if len(found) == 20 else len(found)
+                    raise QueryError(f"{p.name[1]!r} is {'several' if found else 'no'} {p.name[0]}{f's ({total})' if found else ''}", found)
 
     def unknown_tags(self, t: Tables) -> list[str]:
         asked = sorted({p.tag for p in self._all() if p.tag})

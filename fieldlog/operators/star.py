@@ -24,10 +24,15 @@ PLAYS = (
 
 def derived(log: DataFrame) -> DataFrame:
     """From a log (season, game_key, seq, play_id, inning, half, batter, event): the folded, scored and tagged frame that all tables come from."""
-    df = contaminated(scored(replayed(moved(E.parsed(log)))))
-    df = T.facts(df).withColumn("tags", F.when(F.col("parse_ok"), T.tag_rows(T.ALL)))
+    return finished(replayed(moved(E.parsed(log))))
+
+
+def finished(folded: DataFrame) -> DataFrame:
+    """A replayed log scored and tagged."""
+    df = T.facts(contaminated(scored(folded))).withColumn("tags", F.when(F.col("parse_ok"), T.tag_rows(T.ALL)))
+    team = F.col("team") if "team" in df.columns else F.when(F.col("half") == "top", 0).otherwise(1)
     return df.withColumns({
-        "batting_team": F.when(F.col("half") == "top", 0).otherwise(1), "batter_id": F.col("batter"), "hit_location": E.first_hit("location"), "score_diff": F.col("own_before") - F.col("other_before"),
+        "batting_team": team, "batter_id": F.col("batter"), "hit_location": E.first_hit("location"), "score_diff": F.col("own_before") - F.col("other_before"),
         "event_basic": F.regexp_extract("clean", "^([^/.]*)", 1), "inning_ending": F.col("outs_after") >= 3, "runner_1": F.col("b1"), "runner_2": F.col("b2"), "runner_3": F.col("b3"),
     })
 
@@ -38,7 +43,7 @@ def children(df: DataFrame) -> dict[str, DataFrame]:
     seqs = of("seqs")
     return {
         "plays": df.select(*KEYS, *PLAYS),
-        "advances": of("resolved").select(*KEYS, "at", "x.origin", "x.dest", "x.marked_out", "x.is_out", "x.explicit", "x.scored", "x.is_force", "x.certainty", F.col("x.runner").alias("runner_id"), "x.raw"),
+        "advances": of("resolved").select(*KEYS, "at", "x.origin", "x.dest", "x.marked_out", "x.is_out", "x.explicit", "x.scored", "x.is_force", "x.certainty", F.col("x.runner").alias("runner_id"), "x.raw", "x.was_placed"),
         "sequences": seqs.select(*KEYS, "at", "x.scope", "x.seq_text", "x.records_out", "x.has_error"),
         "credits": seqs.select(*KEYS, F.col("at").alias("throw"), "x.scope", F.posexplode("x.credits").alias("at", "c")).select(*KEYS, "throw", "scope", "at", F.col("c.fielder").cast("string").alias("fielder"), "c.credit"),
         "play_tags": of("tags", False).select(*KEYS, "x.tag", "x.confidence", F.lit("derived").alias("source")),
@@ -52,18 +57,32 @@ def games(plays: DataFrame) -> DataFrame:
     return plays.groupBy("season", "game_key").agg(F.count(F.lit(1)).alias("plays"), side(0), side(1), F.max("inning").alias("innings"), F.when(F.bool_or(wrong), "suspect").otherwise("ok").alias("status"))
 
 
+#: What the tables need of a derived frame: the columns of plays, and the arrays of what stands below them.
+NEEDED = (*KEYS, *PLAYS, "resolved", "seqs", "tags")
+
+
 def build(log: DataFrame, root: str) -> None:
-    """Writes all tables below root. The derived frame is written once, by (game_key, seq), and each table is a projection of it."""
+    """Writes all tables below root, of a log of plays."""
     spark = log.sparkSession
+    mode = {"mode": "overwrite", "partitionBy": "season"}
+    write(derived(log), root)
+    games(spark.read.parquet(f"{root}/plays")).write.option("partitionOverwriteMode", "dynamic").parquet(f"{root}/games", **mode)
+
+
+def write(frame: DataFrame, root: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Writes plays, what stands below them, and tags. What the tables need of the derived frame (and the columns of more) is written once, by (game_key, seq), and each table is a projection
+    of it; gives that."""
+    spark = frame.sparkSession
     whole = f"{root}/derived"
     mode = {"mode": "overwrite", "partitionBy": "season"}
-    derived(log).repartition("season", "game_key").sortWithinPartitions("game_key", "seq").write.option("partitionOverwriteMode", "dynamic").parquet(whole, **mode)
+    slim = frame.select(*NEEDED, *[c for c in more if c not in NEEDED])
+    slim.repartition("season", "game_key").sortWithinPartitions("game_key", "seq").write.option("partitionOverwriteMode", "dynamic").parquet(whole, **mode)
     frame = spark.read.parquet(whole)
     for name, df in children(frame).items():
         # A projection keeps the order of the files it is read from.
         df.write.option("partitionOverwriteMode", "dynamic").parquet(f"{root}/{name}", **mode)
-    games(spark.read.parquet(f"{root}/plays")).write.option("partitionOverwriteMode", "dynamic").parquet(f"{root}/games", **mode)
     T.tag_table(spark, T.ALL).write.mode("overwrite").parquet(f"{root}/tags")
+    return frame
 
 
 def stored(spark: SparkSession, root: str, **more: DataFrame) -> Tables:
@@ -83,7 +102,7 @@ def forget(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame
 
 #: Integrity: SQL over the tables, each of which must give no row. Those in TRUSTED look at plays of status ok alone.
 CHECKS = {
-    "V10_play_without_game": "SELECT play_id FROM {plays} WHERE game_key NOT IN (SELECT game_key FROM {games})",
+    "V10_play_without_game": "SELECT play_id FROM {plays} p LEFT ANTI JOIN {games} g ON p.game_key = g.game_key",
     "V11_advance_without_play": "SELECT a.play_id FROM {advances} a LEFT ANTI JOIN {plays} p ON a.play_id = p.play_id",
     "V12_credit_without_play": "SELECT a.play_id FROM {credits} a LEFT ANTI JOIN {plays} p ON a.play_id = p.play_id",
     "V13_sequence_without_play": "SELECT a.play_id FROM {sequences} a LEFT ANTI JOIN {plays} p ON a.play_id = p.play_id",

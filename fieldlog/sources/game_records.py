@@ -19,7 +19,7 @@ def classified(df: DataFrame, raw: str = "raw_line") -> DataFrame:
     """df with marker (whether the body begins with $), kind (ejection, replay, umpchange, suspended or text), text, and the payload's fields: person, role, umpire,
     inning, position, team, site, call, reversed, date, reason. Prose that begins like a record has neither its number of fields nor their shape."""
     df = df.withColumn("__body", body(F.col(raw))).withColumn("marker", F.col("__body").startswith("$"))
-    df = df.withColumn("text", F.when(F.col("marker"), F.substring("__body", 2, 1_000_000)).otherwise(F.col("__body"))).withColumn("__f", F.split("text", ","))
+    df = df.withColumn("text", F.when(F.col("marker"), F.substring("__body", F.lit(2), F.length("__body"))).otherwise(F.col("__body"))).withColumn("__f", F.split("text", ","))
     f = lambda i: F.get("__f", F.lit(i))
     of = lambda i: or_null(F.trim(f(i)))
     rest = lambda i: or_null(F.trim(F.array_join(F.slice("__f", i + 1, F.greatest(F.size("__f") - i, F.lit(0))), ",")))
