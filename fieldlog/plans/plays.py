@@ -296,11 +296,11 @@ m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY game_key, island OR
 states(game_key, island, k, b1, b2, b3, outs_before) AS (
   SELECT game_key, island, k, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0 FROM m WHERE k = 1
   UNION ALL SELECT s.game_key, s.island, s.k + 1, {', '.join(f"CASE WHEN m.base = '{p}' THEN m.runner WHEN m.base IS NOT NULL THEN s.b{p} ELSE {ON(p)} END" for p in "123")}, s.outs_before + m.outs - CASE WHEN m.may_retry AND s.outs_before + m.outs = 4 THEN 1 ELSE 0 END
-  FROM states s JOIN m ON m.game_key = s.game_key AND m.island = s.island AND m.k = s.k)
-SELECT m.game_key, m.seq, m.play_id, b1, b2, b3, outs_before, coalesce(left(b1, 1) = 'Z', false) OR coalesce(left(b2, 1) = 'Z', false) OR coalesce(left(b3, 1) = 'Z', false) AS has_placed_runner
-FROM states s JOIN m ON m.game_key = s.game_key AND m.island = s.island AND m.k = s.k WHERE base IS NULL AND ok
+  FROM states s JOIN m ON m.game_key = s.game_key AND m.island = s.island AND m.k = s.k),
+placed AS (SELECT m.*, b1, b2, b3, outs_before, m.may_retry AND s.outs_before + m.outs = 4 AS alive, coalesce(left(b1, 1) = 'Z', false) OR coalesce(left(b2, 1) = 'Z', false) OR coalesce(left(b3, 1) = 'Z', false) AS has_placed_runner
+  FROM states s JOIN m ON m.game_key = s.game_key AND m.island = s.island AND m.k = s.k WHERE base IS NULL)
 """
-add("R9_placed_runners", lambda s, d: with_placed(s, d).where("parse_ok").select("game_key", "seq", "play_id", "b1", "b2", "b3", "outs_before", "has_placed_runner"), PLACED_SQL)
+add("R9_placed_runners", lambda s, d: with_placed(s, d).where("parse_ok").select("game_key", "seq", "play_id", "b1", "b2", "b3", "outs_before", "has_placed_runner"), f"{PLACED_SQL} SELECT game_key, seq, play_id, b1, b2, b3, outs_before, has_placed_runner FROM placed WHERE ok")
 BASES_SQL = "concat(CASE WHEN b1 IS NULL THEN '0' ELSE '1' END, CASE WHEN b2 IS NULL THEN '0' ELSE '1' END, CASE WHEN b3 IS NULL THEN '0' ELSE '1' END)"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldlog.operators.search import holders
 
-from . import checks, earned, lines, plays, roles, searches
+from . import checks, earned, files, lines, plays, roles, searches
 from .registry import QUERIES, SQL, WITH, Query, add, on_table, on_view
 from .roles import GAMES, PLAY_TAGS, PLAYS, tables, view
 
@@ -164,4 +164,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-__all__ = ["checks", "earned", "flagship", "lines", "oracle_sql", "plays", "queries", "roles", "searches"]
+__all__ = ["checks", "earned", "files", "flagship", "lines", "oracle_sql", "plays", "queries", "roles", "searches"]

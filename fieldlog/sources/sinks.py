@@ -35,6 +35,21 @@ def archive(files: DataFrame, root: str) -> None:
     about.write.mode("append").partitionBy(BY).parquet(f"{root}/source_files")
 
 
+def write_event_files(lines: DataFrame, root: str, game: list[str], order: list[str], suffix: str = "EVA", files: int | None = None) -> None:
+    """Lines of games (season, line, the columns of game and order) as event files below root: whole games, in order, a season's games spread over files that are named after it."""
+    spark = lines.sparkSession
+    parts = [*([files] if files else []), BY, *game]
+    lines.repartition(*parts).sortWithinPartitions(BY, *game, *order).select(BY, F.col("line").alias("value")).write.partitionBy(BY).text(root)
+    # Spark names files after its tasks; sources name them after what they hold.
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.globStatus(path(f"{root}/{BY}=*")):
+        season = folder.getPath().getName().partition("=")[2]
+        found = sorted(f.getPath().toString() for f in fs.listStatus(folder.getPath()))
+        for k, name in enumerate(n for n in found if not n.rsplit("/", 1)[1].startswith(("_", "."))):
+            fs.rename(path(name), path(f"{root}/{season}T{k}.{suffix}"))
+
+
 def replace_partitions(df: DataFrame, path: str, by: str = BY) -> None:
     """Rewrites the partitions that df has rows of, and leaves the others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
