@@ -1,13 +1,13 @@
 """Event files in, all derived tables out.
 
     build(spark, files, root)     archives the files below `files` and derives
+    refresh(spark, files, root)   archives new and changed files, and derives the seasons in which a game's own lines are new, changed or gone
     derive(spark, root, seasons)  derives again from the archive, for all seasons or for some, whose folders alone are read and rewritten
 
-Below root: archive/ (raw_records, source_files) and tables/: games, game_info, plays, advances, credits, sequences, play_tags, tags, lineup_entries, comments, earned. All but tags are laid
+Below root: archive/ (see `archive`) and tables/: games, game_info, plays, advances, credits, sequences, play_tags, tags, lineup_entries, comments, earned. All but tags are laid
 out by season. The records of a game are shuffled by game once for its log; what the tables need of the folded log is written once, and each table is a projection of that.
 
-Defined cases: a root that holds an archive already gets the files whose path it lacks; files whose path it holds are left alone (see `refresh` for changed ones). Seasons without a game in the archive keep what
-tables they had unless all are derived, which rewrites everything. No file at all is an error.
+Defined cases: a root that holds an archive already gets the files that it lacks; changed files are refused by build. A season all of whose games are gone loses its rows in every table. No file at all is an error.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from fieldlog.operators import earned as N
 from fieldlog.operators import star
 from fieldlog.operators.fold import replayed, short_halves
 from fieldlog.operators.search import Tables
+from fieldlog.sources import archive as A
 from fieldlog.sources import event_files as E
 from fieldlog.sources import game_log as L
-from fieldlog.sources import game_records as G
 from fieldlog.sources import sinks
 
 TABLES = ("games", "game_info", "plays", "advances", "credits", "sequences", "play_tags", "lineup_entries", "comments", "earned")
@@ -45,6 +45,9 @@ def folded(recs: DataFrame) -> DataFrame:
 def derive(spark: SparkSession, root: str, seasons: Sequence[int] | None = None) -> None:
     """Writes the tables of the archived games."""
     recs, at = L.archived(spark, f"{root}/archive", seasons), f"{root}/tables"
+    # Tables can always be derived again, so what is rewritten goes first: a season may have no rows any more in some of them.
+    for name in (*TABLES, "derived"):
+        sinks.drop_partitions(spark, f"{at}/{name}", seasons)
     frame = star.write(folded(recs), at, MORE)
     if seasons is not None:
         frame = frame.where(F.col("season").isin(*seasons))
@@ -56,21 +59,48 @@ def derive(spark: SparkSession, root: str, seasons: Sequence[int] | None = None)
         sinks.replace_partitions(df.repartition("season", "game_key"), f"{at}/{name}")
 
 
-def held(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def build(spark: SparkSession, files: str, root: str, seasons: Sequence[int] | None = None) -> None:
     """Event files below a folder to the archive and the tables below root."""
-    found = E.event_files(spark, files)
-    archive = f"{root}/archive"
-    if held(spark, f"{archive}/source_files"):
-        found = found.join(spark.read.parquet(f"{archive}/source_files").select("path"), "path", "left_anti")
-    sinks.archive(found, archive)
+    A.publish(spark, E.event_files(spark, files), f"{root}/archive")
     derive(spark, root, seasons)
 
 
+def vintages(spark: SparkSession, root: str) -> DataFrame:
+    """season, game_key, digest (of its file now), state: of each game of the archive or of the tables. missing: not derived yet; gone: no longer archived; stale: its lines differ; reissued: its file differs, its own lines
+    don't; current."""
+    now = L.contents(L.archived(spark, f"{root}/archive"))
+    was = spark.read.parquet(f"{root}/tables/games").select("game_key", F.col("season").alias("was_season"), F.col("digest").alias("was_digest"), F.col("content").alias("was_content"))
+    both = now.join(was, "game_key", "full_outer")
+    state = F.when(F.col("was_content").isNull(), "missing").when(F.col("content").isNull(), "gone").when(F.col("content") != F.col("was_content"), "stale").when(F.col("digest") != F.col("was_digest"), "reissued").otherwise("current")
+    return both.select(F.coalesce("season", "was_season").alias("season"), "game_key", "digest", state.alias("state"))
+
+
+def adopt(spark: SparkSession, root: str, reissued: DataFrame) -> None:
+    """Games of reissued files whose own lines are the same take the new digest; nothing is derived."""
+    at = f"{root}/tables/games"
+    seasons = [r[0] for r in reissued.select("season").distinct().collect()]
+    if seasons:
+        held = spark.read.parquet(at).where(F.col("season").isin(*seasons))
+        new = held.join(reissued.select("game_key", F.col("digest").alias("new")), "game_key", "left").withColumn("digest", F.coalesce("new", "digest")).drop("new")
+        # Spark can't overwrite what it reads, so the rows are set down first.
+        sinks.replace_partitions(sinks.set_down(new.select(*held.columns), f"{root}/tables/.games"), at)
+
+
+def refresh(spark: SparkSession, files: str, root: str) -> DataFrame:
+    """Archives new and changed files and brings the tables into line with them: seasons (few numbers) with a missing, stale or gone game are derived anew, in others reissued games adopt their digests.
+    Gives the vintages as they were before."""
+    A.publish(spark, E.event_files(spark, files), f"{root}/archive", refresh=True)
+    found = sinks.set_down(vintages(spark, root), f"{root}/tables/.vintages")
+    seasons = sorted(r[0] for r in found.where("state IN ('missing', 'stale', 'gone')").select("season").distinct().collect())
+    there = {r[0] for r in found.where("state <> 'gone'").select("season").distinct().collect()}
+    if again := [s for s in seasons if s in there]:
+        derive(spark, root, again)
+    for name in TABLES + ("derived",):
+        sinks.drop_partitions(spark, f"{root}/tables/{name}", [s for s in seasons if s not in there])
+    adopt(spark, root, found.where((F.col("state") == "reissued") & ~F.col("season").isin(*seasons) if seasons else F.col("state") == "reissued"))
+    return found
+
+
 def stored(spark: SparkSession, root: str, **more: DataFrame) -> Tables:
     """The tables of a build, for searches. A table that isn't there yet is left out."""
     read = lambda n: spark.read.parquet(f"{root}/tables/{n}")
@@ -78,4 +108,4 @@ def stored(spark: SparkSession, root: str, **more: DataFrame) -> Tables:
     return Tables(plays=read("plays"), games=read("games"), play_tags=read("play_tags"), advances=read("advances"), sequences=read("sequences"), credits=read("credits"), tags=read("tags"), entries=entries, **more)
 
 
-__all__ = ["G", "TABLES", "build", "derive", "folded", "held", "stored"]
+__all__ = ["TABLES", "adopt", "build", "derive", "folded", "refresh", "stored", "vintages"]

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import archive as A
 from . import event_files as E
 from . import game_records as G
 
@@ -34,10 +35,7 @@ def archived(spark: SparkSession, root: str, seasons: Sequence[int] | None = Non
     """Records of the archive below root: of all games, of those of some seasons (other folders aren't read), or of those named in games (game_key).
 
     Adds game_key, which follows from the file's name, the game's id and which of several of that id in the file it is, so it outlives a rebuild; and the season."""
-    lines = spark.read.parquet(f"{root}/raw_records")
-    if seasons is not None:
-        lines = lines.where(F.col("season").isin(*seasons))
-    recs = E.records(lines).where("span > 0")
+    recs = E.records(A.lines(spark, root, seasons)).where("span > 0")
     nth = F.sum((F.col("record_type") == "id").cast("int")).over(W.partitionBy("path", "game_id").orderBy("line_no"))
     recs = recs.withColumn("nth", nth).withColumn("game_key", F.xxhash64(of_file(F.col("path")), "game_id", "nth"))
     recs = recs.withColumn("season", F.coalesce(F.col("season"), F.substring("game_id", 4, 4).try_cast("int")))
@@ -141,6 +139,20 @@ def iso(x: Column) -> Column:
     return F.nullif(F.when(x.rlike(r"^[0-9]{1,4}[/-][0-9]{1,2}[/-][0-9]{1,2}$"), padded).otherwise(x), F.lit(""))
 
 
+def from_first(recs: DataFrame) -> DataFrame:
+    return recs.withColumn("from_first", F.col("line_no") - F.min("line_no").over(W.partitionBy("game_key")))
+
+
+def content() -> Column:
+    """What a game's own lines are, wherever in its file they stand."""
+    return F.bit_xor(F.xxhash64("from_first", "raw_line"))
+
+
+def contents(recs: DataFrame) -> DataFrame:
+    """season, game_key, digest of its file, content of its own lines."""
+    return from_first(recs).groupBy("season", "game_key", "digest").agg(content().alias("content"))
+
+
 def games(recs: DataFrame, plays: DataFrame, short: DataFrame) -> DataFrame:
     """One row a game, of its records, its plays and its short halves (game_key): what info says, the final score of the replay, and status: suspect where a half ends without three outs, a
     play can't be read or parsed, or its state is inconsistent."""
@@ -148,7 +160,7 @@ def games(recs: DataFrame, plays: DataFrame, short: DataFrame) -> DataFrame:
     number = lambda x: F.when(x.rlike("^-*[0-9]+$"), x.try_cast("int"))
     unread = (F.col("record_type") == "play") & ~((F.size("fields") >= 7) & at(1).try_cast("int").isNotNull() & at(2).isin("0", "1"))
     keys = ("date", "number", "hometeam", "visteam", "site", "gametype", "innings", "usedh", "htbf", "pitches", "tiebreaker")
-    about = recs.groupBy("season", "game_key", "game_id", "path", "digest").agg(F.min("line_no").alias("first_line"), F.count_if(F.coalesce(unread, F.lit(True)) & (F.col("record_type") == "play")).alias("unread"), *[value(k).alias(k) for k in keys])
+    about = from_first(recs).groupBy("season", "game_key", "game_id", "path", "digest").agg(F.min("line_no").alias("first_line"), content().alias("content"), F.count_if(F.coalesce(unread, F.lit(True)) & (F.col("record_type") == "play")).alias("unread"), *[value(k).alias(k) for k in keys])
     about = about.withColumn("occurrence", F.row_number().over(W.partitionBy("game_id").orderBy("path", "first_line")))
     side = lambda k: F.coalesce(F.sum(F.when(F.col("batting_team") == k, F.col("runs"))), F.lit(0))
     scored = plays.groupBy("game_key").agg(F.count(F.lit(1)).alias("plays"), side(0).alias("final_away"), side(1).alias("final_home"), F.bool_or(F.col("parse_status").isin("unparsed", "state_inconsistent")).alias("wrong"))
@@ -163,5 +175,5 @@ def games(recs: DataFrame, plays: DataFrame, short: DataFrame) -> DataFrame:
         "season", "game_key", "game_id", "occurrence", iso(F.col("date")).alias("date"), number(F.substring("game_id", 12, 1)).alias("game_number"), F.col("hometeam").alias("home"), F.col("visteam").alias("away"),
         F.try_element_at(F.create_map(*[F.lit(x) for pair in LEAGUES.items() for x in pair]), suffix).alias("league"), F.col("site").alias("park"), F.col("gametype").alias("game_type"), number(F.col("innings")).alias("scheduled_innings"),
         true("usedh").alias("use_dh"), true("htbf").alias("home_bats_first"), F.when(detail.isin(*PITCH_DETAIL), detail).alias("pitch_detail"), number(F.col("tiebreaker")).alias("tiebreaker_base"),
-        zero("final_home"), zero("final_away"), zero("plays"), F.when(suspect, "suspect").otherwise("ok").alias("status"), "digest",
+        zero("final_home"), zero("final_away"), zero("plays"), F.when(suspect, "suspect").otherwise("ok").alias("status"), "digest", "content",
     )

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import event_files as E
-
 #: Derived tables are laid out by season, so that a season's search reads only its files.
 BY = "season"
 
@@ -26,15 +25,6 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
-def archive(files: DataFrame, root: str) -> None:
-    """Adds files to the archive: every line, then provenance. A file's lines are a partition of their own, below its season, so that a run
-    that failed between the two can be repeated: it writes the same lines to the same place."""
-    about = E.provenance(files)
-    lines = E.lines(files).join(about.select("path", "digest", BY), "path")
-    lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BY, "digest").parquet(f"{root}/raw_records")
-    about.write.mode("append").partitionBy(BY).parquet(f"{root}/source_files")
-
-
 def write_event_files(lines: DataFrame, root: str, game: list[str], order: list[str], suffix: str = "EVA", files: int | None = None) -> None:
     """Lines of games (season, line, the columns of game and order) as event files below root: whole games, in order, a season's games spread over files that are named after it."""
     spark = lines.sparkSession
@@ -55,6 +45,19 @@ def replace_partitions(df: DataFrame, path: str, by: str = BY) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def set_down(df: DataFrame, path: str) -> DataFrame:
+    """df as a table that takes the place of what was there."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def drop_partitions(spark: SparkSession, path: str, values: Sequence | None, by: str = BY) -> None:
+    """Deletes the folders of some values, where there are any; of None, the whole table."""
+    for folder in [path] if values is None else [f"{path}/{by}={v}" for v in values]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """df without the keys in gone; rows whose key is null stay."""
     return df.join(gone.select(key).distinct(), key, "left_anti")

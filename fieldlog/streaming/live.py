@@ -8,20 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldlog.sources import event_files as E
-from fieldlog.sources.sinks import archive
+from fieldlog.sources.archive import publish
 
 
 def ingest(spark: SparkSession, source: str, root: str, checkpoint: str, pattern: str = E.EVENT_FILES) -> StreamingQuery:
-    """Archives all files under source that earlier runs haven't seen, then ends. A batch that is run again after a failure leaves out the
+    """Archives all files under source that earlier runs haven't seen, each batch as a version, then ends. A batch that is run again after a failure leaves out the
     files that it had archived already."""
 
-    held = f"{root}/source_files"
-
     def add(batch: DataFrame, _: int) -> None:
-        session = batch.sparkSession
-        at = session._jvm.org.apache.hadoop.fs.Path(held)
-        there = at.getFileSystem(session._jsc.hadoopConfiguration()).exists(at)
-        archive(batch.join(session.read.parquet(held).select("path"), "path", "left_anti") if there else batch, root)
+        publish(batch.sparkSession, batch, root)
 
     files = spark.readStream.format("binaryFile").schema(E.FILE_SCHEMA).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(source)
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

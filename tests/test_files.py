@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldlog.functions.events import parsed
 from fieldlog.functions.moves import moved
 from fieldlog.operators.fold import replayed
+from fieldlog.sources import archive as A
 from fieldlog.sources import event_files as E
 from fieldlog.sources import sinks
 from fieldlog.streaming.live import ingest, live_bases
@@ -62,7 +63,8 @@ def test_archive_grows_by_new_files(spark, folder):
     run()
     (folder / "in/2002AAA.EVA").write_bytes(SECOND)
     run()
-    held = spark.read.parquet(f"file://{folder}/out/source_files")
+    held = A.manifest(spark, f"file://{folder}/out")
+    assert A.versions(spark, f"file://{folder}/out") == [1, 2]
     assert held.count() == 3 and held.select("path").distinct().count() == 3
     assert spark.read.parquet(f"file://{folder}/out/raw_records").count() == 20
 
