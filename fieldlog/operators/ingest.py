@@ -4,7 +4,7 @@
     refresh(spark, files, root)   archives new and changed files, and derives the seasons in which a game's own lines are new, changed or gone
     derive(spark, root, seasons)  derives again from the archive, for all seasons or for some, whose folders alone are read and rewritten
 
-Below root: archive/ (see `archive`) and tables/: games, game_info, plays, advances, credits, sequences, play_tags, tags, lineup_entries, comments, earned. All but tags are laid
+Below root: archive/ (see `archive`) and tables/: games, game_spans, game_info, plays, advances, credits, sequences, play_tags, tags, lineup_entries, comments, earned. All but tags are laid
 out by season. The records of a game are shuffled by game once for its log; what the tables need of the folded log is written once, and each table is a projection of that.
 
 Defined cases: a root that holds an archive already gets the files that it lacks; changed files are refused by build. A season all of whose games are gone loses its rows in every table. No file at all is an error.
@@ -28,7 +28,7 @@ from fieldlog.sources import event_files as E
 from fieldlog.sources import game_log as L
 from fieldlog.sources import sinks
 
-TABLES = ("games", "game_info", "plays", "advances", "credits", "sequences", "play_tags", "lineup_entries", "comments", "earned")
+TABLES = ("games", "game_spans", "game_info", "plays", "advances", "credits", "sequences", "play_tags", "lineup_entries", "comments", "earned")
 #: What the tables need of the folded log beside `star.NEEDED`: the facts of earned runs, and what records around the plays told.
 MORE = tuple(dict.fromkeys([*N.READ, "resolved", "pitcher", "responsible", "scheduled_innings", "after_ladj", "replay_reversed", "has_placed_runner", "count", "pitches", "line_no", "island", "placed_before"]))
 
@@ -54,7 +54,7 @@ def derive(spark: SparkSession, root: str, seasons: Sequence[int] | None = None)
     plays = spark.read.parquet(f"{at}/plays")
     plays = plays if seasons is None else plays.where(F.col("season").isin(*seasons))
     verdicts = N.adjudicated(frame).join(plays.select("season", "game_key", "seq", "play_id", "inning", "half", "batting_team"), ["game_key", "seq"])
-    made = {"games": L.games(recs, plays, short_halves(frame)), "game_info": L.game_info(recs), "lineup_entries": L.lineup_entries(recs), "comments": L.comments(recs), "earned": verdicts}
+    made = {"games": L.games(recs, plays, short_halves(frame)), "game_spans": L.game_spans(recs), "game_info": L.game_info(recs), "lineup_entries": L.lineup_entries(recs), "comments": L.comments(recs), "earned": verdicts}
     for name, df in made.items():
         sinks.replace_partitions(df.repartition("season", "game_key"), f"{at}/{name}")
 

@@ -4,11 +4,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldlog.operators import earned as N
 from fieldlog.operators import ingest as I
+from fieldlog.operators import reconcile as C
 from fieldlog.operators import star
+from fieldlog.sources import archive as A
+from fieldlog.sources import game_log as L
+from fieldlog.sources import raw_checks as V
 from fieldlog.sources.sinks import work_folder, write_event_files
 
 from .plays import DEALT, FOLDED, PLACED_SQL
@@ -38,7 +43,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     around = [
         when(p % 5 == 2, text("radj,Z", p, ",", p % 3 + 1)), when(p % 11 == 3, text("sub,X", p, ',"Sub, ', p, '",', 1 - team, ",0,1")), when(p % 13 == 1, text("presadj,R", p, ",", p % 3 + 1)), when(p % 17 == 2, text("ladj,", team, ",3")),
         text("play,", F.col("inning"), ",", team, ",", F.col("batter"), ",12,CX,", F.col("event")), when((p % 19 == 4) & (F.col("event") != "NP"), text('com,"replay,', F.col("inning"), ",", F.col("batter"), ",T01,u1,T01,X,", F.when(p % 2 == 0, "Y").otherwise("N"), ',N"')),
-        when(p % 23 == 5, text("data,er,x,1")),
+        when(p % 23 == 5, text("data,er,E", p % 3, ",", F.when((key % 6 == 0) & (p % 2 == 0), "(unknown)").otherwise((p % 4).cast("string")))),
     ]
     return first.unionByName(plays.select("season", "game_key", "seq", F.posexplode(F.array(*around)).alias("place", "line"))).where("line IS NOT NULL")
 
@@ -85,7 +90,7 @@ def plays(spark: SparkSession, d: str) -> DataFrame:
 
 add("K1_from_files_plays", plays, f"""{TOLD} SELECT game_key AS "user", seq, inning, half, team AS batting_team, batter AS batter_id, b1, b2, b3, outs_before, outs_made AS outs, runs, has_placed_runner, after_ladj, reversed AS replay_reversed, pitcher,
   CASE WHEN play_id % 13 = 1 AND seq > 1 THEN concat(CAST(play_id % 3 + 1 AS VARCHAR), ':R', CAST(play_id AS VARCHAR)) ELSE '' END AS responsible, innings AS scheduled_innings FROM t WHERE ok""")
-add("K3_from_files_games", lambda s, d: table(s, d, "games").drop("game_key", "digest", "park"), f"""{TOLD}, c AS (SELECT game_key, island, arg_max(outs_after, seq) FILTER (WHERE ok) AS close, max(island) OVER (PARTITION BY game_key) AS last FROM t GROUP BY game_key, island),
+add("K3_from_files_games", lambda s, d: table(s, d, "games").drop("game_key", "digest", "content", "park"), f"""{TOLD}, c AS (SELECT game_key, island, arg_max(outs_after, seq) FILTER (WHERE ok) AS close, max(island) OVER (PARTITION BY game_key) AS last FROM t GROUP BY game_key, island),
   g AS (SELECT game_key, count(*) AS plays, CAST(coalesce(sum(CASE WHEN ok AND team = 0 THEN runs END), 0) AS BIGINT) AS final_away, CAST(coalesce(sum(CASE WHEN ok AND team = 1 THEN runs END), 0) AS BIGINT) AS final_home, bool_or(NOT ok OR outs_after > 3 OR runs > 1 + runners) AS wrong FROM t GROUP BY game_key),
   h AS (SELECT game_key, bool_or(close <> 3 AND island < last) AS cut FROM c GROUP BY game_key), i AS ({HEAD})
   SELECT i.game_key AS "user", CAST(season AS INT) AS season, game_id, CAST(row_number() OVER (PARTITION BY game_id ORDER BY i.game_key) AS INT) AS occurrence, concat(CAST(season AS VARCHAR), '-04-', substr(game_id, 10, 2)) AS date, 0 AS game_number, left(game_id, 3) AS home, 'V01' AS away, 'AL' AS league,
@@ -123,3 +128,58 @@ def integrity(spark: SparkSession, d: str) -> DataFrame:
 
 CLEAN = [n for n in star.CHECKS if n[:3] in ("V10", "V11", "V12", "V13", "V14", "V15", "V16", "V17", "V20", "V23", "V26", "V27", "V28", "V29", "V30", "V46")] + list(N.CHECKS)
 add("V_from_files", integrity, " UNION ALL ".join(f"SELECT '{n}' AS \"check\", 0 AS n" for n in CLEAN))
+
+# Published logs of these games: every ninth isn't listed, every fifth has another score, some are forfeits or were completed later, every fourth is listed by a special series too;
+# and games that aren't held, of earlier, special and other kinds.
+LISTED = """SELECT game_id, date, home_league, series, away_score, home_score, forfeit, completion, away_er, home_er, away_er_team, home_er_team FROM (
+  SELECT game_id, date, CASE WHEN "user" % 2 = 0 THEN 'AL' ELSE 'NL' END AS home_league, 'regular' AS series, final_away + CASE WHEN "user" % 5 = 0 THEN 1 ELSE 0 END AS away_score, final_home AS home_score,
+    CASE WHEN "user" % 11 = 3 THEN 'V' ELSE ' ' END AS forfeit, CASE WHEN "user" % 13 = 4 THEN 'later' ELSE '' END AS completion, er AS away_er, 0 AS home_er, er + CASE WHEN "user" % 3 = 0 THEN 1 ELSE 0 END AS away_er_team, 0 AS home_er_team, "user" FROM held WHERE "user" % 9 <> 1
+  UNION ALL SELECT game_id, date, 'AL', 'ws', final_away + CASE WHEN "user" % 5 = 0 THEN 1 ELSE 0 END, final_home, ' ', '', NULL, NULL, NULL, NULL, "user" FROM held WHERE "user" % 9 <> 1 AND "user" % 4 = 0 AND "user" % 11 <> 3 AND "user" % 13 <> 4
+  UNION ALL SELECT concat('Q', game_id), CASE WHEN "user" % 3 = 0 THEN '1901-05-05' ELSE date END, 'NL', CASE WHEN "user" % 3 = 1 THEN 'as' ELSE 'regular' END, 1, 2, ' ', '', 1, 1, 1, 1, "user" FROM held WHERE "user" % 7 = 2) x"""
+
+
+def figures(spark: SparkSession, d: str) -> DataFrame:
+    return L.archived(spark, f"{root_of(spark, d)}/archive")
+
+
+def logs(spark: SparkSession, d: str) -> DataFrame:
+    er = C.data_rows(figures(spark, d)).groupBy("game_key").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("er"))
+    held = table(spark, d, "games").join(er, "game_key", "left").withColumn("er", F.coalesce("er", F.lit(0)))
+    return spark.sql(LISTED.replace("FROM held", "FROM {held}").replace('"user"', "`user`"), held=held)
+
+
+DATA = f"""data AS (SELECT game_key, concat('E', CAST(play_id % 3 AS VARCHAR)) AS pitcher, CASE WHEN game_key % 6 = 0 AND play_id % 2 = 0 THEN NULL ELSE play_id % 4 END AS n FROM ({DEALT}) d WHERE play_id % 23 = 5)"""
+HELD = f"""{TOLD}, {DATA}, er AS (SELECT game_key, CAST(coalesce(sum(n), 0) AS BIGINT) AS er FROM data GROUP BY game_key),
+  g AS (SELECT game_key, CAST(coalesce(sum(CASE WHEN ok AND team = 0 THEN runs END), 0) AS BIGINT) AS final_away, CAST(coalesce(sum(CASE WHEN ok AND team = 1 THEN runs END), 0) AS BIGINT) AS final_home FROM t GROUP BY game_key), i AS ({HEAD}),
+  held AS (SELECT i.game_key AS "user", CAST(season AS INT) AS season, game_id, concat(CAST(season AS VARCHAR), '-04-', substr(game_id, 10, 2)) AS date, final_away, final_home, coalesce(er, 0) AS er FROM i JOIN g ON g.game_key = i.game_key LEFT JOIN er ON er.game_key = i.game_key),
+  listed AS ({LISTED}), logged AS (SELECT game_id, date, away_score, home_score, arg_min(series, CASE WHEN series = 'regular' THEN 1 ELSE 0 END) AS series, arg_min(home_league, CASE WHEN series = 'regular' THEN 1 ELSE 0 END) AS home_league, arg_min(forfeit, CASE WHEN series = 'regular' THEN 1 ELSE 0 END) AS forfeit, arg_min(completion, CASE WHEN series = 'regular' THEN 1 ELSE 0 END) AS completion FROM listed GROUP BY ALL)"""
+add("A7_scores", lambda s, d: C.by_verdict(C.reconciled(table(s, d, "games"), logs(s, d))), f"""{HELD}, v AS (SELECT coalesce(h.season, CAST(left(l.date, 4) AS INT)) AS season, l.series, CASE WHEN h.season IS NULL THEN CASE WHEN CAST(left(l.date, 4) AS INT) < (SELECT min(season) FROM held) THEN 'before' WHEN l.series <> 'regular' THEN 'special' ELSE 'gap' END
+    WHEN l.date IS NULL THEN 'held_only' WHEN trim(forfeit) <> '' THEN 'forfeit' WHEN trim(completion) <> '' THEN 'incomplete' WHEN final_away = away_score AND final_home = home_score THEN 'agree' ELSE 'differ' END AS verdict FROM held h FULL JOIN logged l ON l.game_id = h.game_id)
+  SELECT season, verdict, CASE WHEN verdict IN ('before', 'special', 'gap') THEN series END AS series, count(*) AS games FROM v GROUP BY ALL""")
+add("A6_missing_by_league", lambda s, d: C.missing_games(table(s, d, "games"), logs(s, d)), f"{HELD} SELECT CAST(left(l.date, 4) AS INT) AS season, home_league AS league, count(*) AS published, count(*) FILTER (WHERE h.game_id IS NULL) AS missing FROM (SELECT DISTINCT game_id, date, home_league FROM listed WHERE series = 'regular') l LEFT JOIN held h ON h.game_id = l.game_id WHERE CAST(left(l.date, 4) AS INT) BETWEEN (SELECT min(season) FROM held) AND (SELECT max(season) FROM held) GROUP BY ALL")
+add("A8_which_total", lambda s, d: C.which_total(table(s, d, "games"), figures(s, d), logs(s, d), sample=40), f"""{HELD}, b AS (SELECT h.*, l.away_er, l.away_er_team, row_number() OVER (ORDER BY l.date, l.game_id) - 1 AS place, count(*) OVER () AS n FROM held h JOIN listed l ON l.game_id = h.game_id WHERE l.away_er_team IS NOT NULL),
+  p AS (SELECT b.*, d.total FROM b LEFT JOIN (SELECT game_key, sum(n) AS total FROM data WHERE n IS NOT NULL GROUP BY game_key) d ON d.game_key = b."user" WHERE place % greatest(1, n // 40) = 0),
+  c AS (SELECT count(*) AS candidates, count(total) AS checked, count(*) FILTER (WHERE total = away_er AND total <> away_er_team) AS individual, count(*) FILTER (WHERE total <> away_er AND total = away_er_team) AS team, count(*) FILTER (WHERE total = away_er AND total = away_er_team) AS indistinguishable, count(*) FILTER (WHERE total <> away_er AND total <> away_er_team) AS neither FROM p)
+  SELECT *, CASE WHEN team > individual THEN 'team' WHEN individual > team THEN 'individual' END AS answer FROM c""")
+add("A11_pitcher_totals", lambda s, d: C.pitcher_totals(figures(s, d)).join(table(s, d, "games").select("game_key", "user"), "game_key").drop("game_key"), f"""WITH {DATA} SELECT game_key AS "user", pitcher, CAST(coalesce(sum(n), 0) AS BIGINT) AS published, game_key NOT IN (SELECT game_key FROM data WHERE n IS NULL) AS usable FROM data GROUP BY game_key, pitcher""")
+
+
+def raw(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of the archive as it is, and with known damage."""
+    root = root_of(spark, d)
+    lines_, held, spans = A.lines(spark, f"{root}/archive"), A.manifest(spark, f"{root}/archive"), spark.read.parquet(f"{root}/tables/game_spans")
+    whole = V.violations(V.checks(lines_, spans, held)).withColumn("archive", F.lit("whole"))
+    # In each file: its first line has changed, its last one is gone; the second game's span is that of the first as well; and every file is listed under another path.
+    last = F.max("last_record").over(W.partitionBy("path"))
+    ends = spans.withColumn("end", last)
+    hurt = lines_.join(ends.groupBy("path").agg(F.max("last_record").alias("end")), "path").where("line_no < end").withColumn("raw_line", F.when(F.col("line_no") == 1, "id,X").otherwise(F.col("raw_line"))).drop("end")
+    wide = spans.withColumn("first_record", F.when(F.row_number().over(W.partitionBy("path").orderBy("first_record")) == 2, F.col("first_record") - 1).otherwise(F.col("first_record")))
+    doubled = held.unionByName(held.withColumn("path", F.concat("path", F.lit("2"))))
+    damaged = V.violations(V.checks(hurt, spans, held) | {k: v for k, v in V.checks(lines_, wide, doubled).items() if k in ("V02_spans_overlap", "V06_same_bytes_twice")}).withColumn("archive", F.lit("damaged"))
+    files_ = held.count()
+    # Counts by file, since the number of files depends on how Spark wrote them.
+    return whole.unionByName(damaged).withColumn("by_file", F.col("n") / F.lit(files_)).select("archive", "check", F.round("by_file", 6).alias("by_file"))
+
+
+EXPECTED = {"V01_line_outside_spans": 0, "V02_spans_overlap": 1, "V03_records_of_span": 1, "V05_records_of_file": 1, "V06_same_bytes_twice": 1, "V08_lines_without_file": 0, "V09_bytes_differ": 1}
+add("V01_V09_archive", raw, " UNION ALL ".join(f"SELECT '{kind}' AS archive, '{n}' AS \"check\", CAST({v if kind == 'damaged' else 0} AS DOUBLE) AS by_file" for kind in ("whole", "damaged") for n, v in EXPECTED.items()))

@@ -132,6 +132,12 @@ def game_info(recs: DataFrame) -> DataFrame:
     return info.withColumn("seq", F.row_number().over(W.partitionBy("game_key").orderBy("line_no")) - 1).drop("line_no")
 
 
+def game_spans(recs: DataFrame) -> DataFrame:
+    """Where each game's records stand in its file, how many there are, and which of several games of its id it is."""
+    spans = recs.groupBy("season", "game_key", "path", "digest", "game_id").agg(F.min("line_no").alias("first_record"), F.max("line_no").alias("last_record"), F.count(F.lit(1)).alias("records"))
+    return spans.withColumn("occurrence", F.row_number().over(W.partitionBy("game_id").orderBy("path", "first_record")))
+
+
 def iso(x: Column) -> Column:
     """y/m/d or y-m-d as yyyy-mm-dd, parts padded; anything else as it is; empty is null."""
     parts = F.split(F.replace(x, F.lit("-"), F.lit("/")), "/")
