@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from fieldlog.functions import events as P
 from fieldlog.functions.moves import moved
+from fieldlog.operators import curated as K
 from fieldlog.operators import earned as N
 from fieldlog.operators import star
 from fieldlog.operators.fold import replayed, short_halves
@@ -42,13 +43,16 @@ def folded(recs: DataFrame) -> DataFrame:
     return N.facts(star.finished(replayed(log, order="line_no")))
 
 
-def derive(spark: SparkSession, root: str, seasons: Sequence[int] | None = None) -> None:
-    """Writes the tables of the archived games."""
+def derive(spark: SparkSession, root: str, seasons: Sequence[int] | None = None, curated: str | None = None) -> None:
+    """Writes the tables of the archived games. curated: where notes of people are (see `curated`); faults in them are an error before anything is written."""
     recs, at = L.archived(spark, f"{root}/archive", seasons), f"{root}/tables"
+    notes = None if curated is None else K.load(spark, curated)
+    ids = recs.select("game_key", "game_id").distinct()
+    add = None if notes is None else lambda frame: K.of_plays(notes, frame, ids)
     # Tables can always be derived again, so what is rewritten goes first: a season may have no rows any more in some of them.
     for name in (*TABLES, "derived"):
         sinks.drop_partitions(spark, f"{at}/{name}", seasons)
-    frame = star.write(folded(recs), at, MORE)
+    frame = star.write(folded(recs), at, MORE, add)
     if seasons is not None:
         frame = frame.where(F.col("season").isin(*seasons))
     plays = spark.read.parquet(f"{at}/plays")
@@ -59,10 +63,10 @@ def derive(spark: SparkSession, root: str, seasons: Sequence[int] | None = None)
         sinks.replace_partitions(df.repartition("season", "game_key"), f"{at}/{name}")
 
 
-def build(spark: SparkSession, files: str, root: str, seasons: Sequence[int] | None = None) -> None:
+def build(spark: SparkSession, files: str, root: str, seasons: Sequence[int] | None = None, curated: str | None = None) -> None:
     """Event files below a folder to the archive and the tables below root."""
     A.publish(spark, E.event_files(spark, files), f"{root}/archive")
-    derive(spark, root, seasons)
+    derive(spark, root, seasons, curated)
 
 
 def vintages(spark: SparkSession, root: str) -> DataFrame:
@@ -86,7 +90,7 @@ def adopt(spark: SparkSession, root: str, reissued: DataFrame) -> None:
         sinks.replace_partitions(sinks.set_down(new.select(*held.columns), f"{root}/tables/.games"), at)
 
 
-def refresh(spark: SparkSession, files: str, root: str) -> DataFrame:
+def refresh(spark: SparkSession, files: str, root: str, curated: str | None = None) -> DataFrame:
     """Archives new and changed files and brings the tables into line with them: seasons (few numbers) with a missing, stale or gone game are derived anew, in others reissued games adopt their digests.
     Gives the vintages as they were before."""
     A.publish(spark, E.event_files(spark, files), f"{root}/archive", refresh=True)
@@ -94,7 +98,7 @@ def refresh(spark: SparkSession, files: str, root: str) -> DataFrame:
     seasons = sorted(r[0] for r in found.where("state IN ('missing', 'stale', 'gone')").select("season").distinct().collect())
     there = {r[0] for r in found.where("state <> 'gone'").select("season").distinct().collect()}
     if again := [s for s in seasons if s in there]:
-        derive(spark, root, again)
+        derive(spark, root, again, curated)
     for name in TABLES + ("derived",):
         sinks.drop_partitions(spark, f"{root}/tables/{name}", [s for s in seasons if s not in there])
     adopt(spark, root, found.where((F.col("state") == "reissued") & ~F.col("season").isin(*seasons) if seasons else F.col("state") == "reissued"))

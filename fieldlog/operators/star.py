@@ -6,12 +6,15 @@ Tables are partitioned by season and sorted by (game_key, seq) within files. A r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlog.functions import events as E
 from fieldlog.functions import tags as T
 from fieldlog.functions.moves import moved
+from fieldlog.operators.curated import merged
 from fieldlog.operators.fold import contaminated, replayed, scored
 from fieldlog.operators.search import Tables
 
@@ -69,9 +72,9 @@ def build(log: DataFrame, root: str) -> None:
     games(spark.read.parquet(f"{root}/plays")).write.option("partitionOverwriteMode", "dynamic").parquet(f"{root}/games", **mode)
 
 
-def write(frame: DataFrame, root: str, more: tuple[str, ...] = ()) -> DataFrame:
+def write(frame: DataFrame, root: str, more: tuple[str, ...] = (), curated: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Writes plays, what stands below them, and tags. What the tables need of the derived frame (and the columns of more) is written once, by (game_key, seq), and each table is a projection
-    of it; gives that."""
+    of it; gives that. curated makes of it the rows that people add to play_tags."""
     spark = frame.sparkSession
     whole = f"{root}/derived"
     mode = {"mode": "overwrite", "partitionBy": "season"}
@@ -79,6 +82,8 @@ def write(frame: DataFrame, root: str, more: tuple[str, ...] = ()) -> DataFrame:
     slim.repartition("season", "game_key").sortWithinPartitions("game_key", "seq").write.option("partitionOverwriteMode", "dynamic").parquet(whole, **mode)
     frame = spark.read.parquet(whole)
     for name, df in children(frame).items():
+        if name == "play_tags" and curated is not None:
+            df = merged(df, curated(frame)).sortWithinPartitions("season", "game_key", "seq")
         # A projection keeps the order of the files it is read from.
         df.write.option("partitionOverwriteMode", "dynamic").parquet(f"{root}/{name}", **mode)
     T.tag_table(spark, T.ALL).write.mode("overwrite").parquet(f"{root}/tags")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from fieldlog.operators import earned as N
 from fieldlog.operators import ingest as I
+from fieldlog.operators import dimensions as D
 from fieldlog.operators import reconcile as C
+from fieldlog.operators import reports as B
 from fieldlog.operators import star
 from fieldlog.sources import archive as A
 from fieldlog.sources import game_log as L
@@ -48,6 +50,17 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return first.unionByName(plays.select("season", "game_key", "seq", F.posexplode(F.array(*around)).alias("place", "line"))).where("line IS NOT NULL")
 
 
+NOTED = "game_key % 10 = 3 AND seq IN (5, 7)"
+
+
+def noted(spark: SparkSession, d: str) -> DataFrame:
+    """Notes of people, as JSON: a rare tag on some plays, and one that a rule may have given too."""
+    heads = view(spark, d, HEAD).select("game_key", "game_id")
+    rows = view(spark, d, f"SELECT game_key, seq FROM ({DEALT}) d WHERE {NOTED}").join(heads, "game_key")
+    entry = F.struct("game_id", F.col("seq").alias("play_seq"), F.array(F.lit("HiddenBallTrick"), F.lit("Strikeout")).alias("tags"), F.lit("seen on film").alias("note"), F.lit("").alias("citation"))
+    return rows.groupBy((F.col("game_key") % 4).alias("k")).agg(F.to_json(F.struct(F.collect_list(entry).alias("entries"))).alias("value"))
+
+
 #: Where a session has built the tables of a folder.
 ROOTS: dict[tuple[str, str], str] = {}
 
@@ -58,7 +71,8 @@ def root_of(spark: SparkSession, d: str) -> str:
     if key not in ROOTS:
         root = work_folder(spark, "files")
         write_event_files(lines(spark, d), f"{root}/in", ["game_key"], ["seq", "place"])
-        I.build(spark, f"{root}/in", root)
+        noted(spark, d).write.partitionBy("k").text(f"{root}/notes")  # a document a file
+        I.build(spark, f"{root}/in", root, curated=f"{root}/notes")
         ROOTS[key] = root
     return ROOTS[key]
 
@@ -97,8 +111,10 @@ add("K3_from_files_games", lambda s, d: table(s, d, "games").drop("game_key", "d
     CASE WHEN i.game_key % 4 = 1 THEN 'regular' END AS game_type, CASE WHEN i.game_key % 3 = 0 THEN 7 END AS scheduled_innings, i.game_key % 2 = 0 AS use_dh, i.game_key % 7 = 0 AS home_bats_first, 'pitches' AS pitch_detail, CAST(NULL AS INT) AS tiebreaker_base,
     final_home, final_away, plays, CASE WHEN wrong OR coalesce(cut, false) THEN 'suspect' ELSE 'ok' END AS status
   FROM i JOIN g ON g.game_key = i.game_key JOIN h ON h.game_key = i.game_key""")
-FIRED = ("BattingOutOfTurn", "ExtraInnings", "PlacedRunner")
-add("T_from_files", lambda s, d: table(s, d, "play_tags").where(F.col("tag").isin(*FIRED)).groupBy("tag").agg(F.count(F.lit(1)).alias("n")), f"{TOLD} SELECT tag, count(*) AS n FROM (SELECT 'BattingOutOfTurn' AS tag FROM t WHERE ok AND after_ladj UNION ALL SELECT 'ExtraInnings' FROM t WHERE ok AND inning > innings UNION ALL SELECT 'PlacedRunner' FROM t WHERE ok AND has_placed_runner) GROUP BY tag")
+FIRED = ("BattingOutOfTurn", "ExtraInnings", "HiddenBallTrick", "PlacedRunner")
+add("T_from_files", lambda s, d: table(s, d, "play_tags").where(F.col("tag").isin(*FIRED)).groupBy("tag").agg(F.count(F.lit(1)).alias("n")), f"{TOLD} SELECT tag, count(*) AS n FROM (SELECT 'BattingOutOfTurn' AS tag FROM t WHERE ok AND after_ladj UNION ALL SELECT 'ExtraInnings' FROM t WHERE ok AND inning > innings UNION ALL SELECT 'PlacedRunner' FROM t WHERE ok AND has_placed_runner UNION ALL SELECT 'HiddenBallTrick' FROM t WHERE ok AND {NOTED}) GROUP BY tag")
+add("G5_from_files", lambda s, d: table(s, d, "play_tags").where("source = 'curated'").select("user", "seq", "tag", "confidence"), f"{TOLD} SELECT game_key AS \"user\", seq, tag, 'certain' AS confidence FROM t, (VALUES ('HiddenBallTrick'), ('Strikeout')) x(tag) WHERE ok AND {NOTED}")
+add("T_strikeouts_of_files", lambda s, d: table(s, d, "play_tags").where("tag = 'Strikeout'").groupBy("source").agg(F.count(F.lit(1)).alias("n")), f"{TOLD} SELECT source, count(*) AS n FROM (SELECT CASE WHEN {NOTED} THEN 'curated' ELSE 'derived' END AS source FROM t WHERE ok AND ({NOTED} OR pick IN ({', '.join(str(i) for i, r in enumerate(FOLDED) if r[0].startswith('K'))}))) GROUP BY source")
 
 
 def around(spark: SparkSession, d: str) -> DataFrame:
@@ -183,3 +199,57 @@ def raw(spark: SparkSession, d: str) -> DataFrame:
 
 EXPECTED = {"V01_line_outside_spans": 0, "V02_spans_overlap": 1, "V03_records_of_span": 1, "V05_records_of_file": 1, "V06_same_bytes_twice": 1, "V08_lines_without_file": 0, "V09_bytes_differ": 1}
 add("V01_V09_archive", raw, " UNION ALL ".join(f"SELECT '{kind}' AS archive, '{n}' AS \"check\", CAST({v if kind == 'damaged' else 0} AS DOUBLE) AS by_file" for kind in ("whole", "damaged") for n, v in EXPECTED.items()))
+
+# Reports on the built tables.
+INNINGS = 9
+add("B3_line_scores", lambda s, d: B.line_score(table(s, d, "plays"), table(s, d, "games"), INNINGS).join(table(s, d, "games").select("game_key", "user"), "game_key").drop("game_key"), f"""{TOLD} SELECT game_key AS "user", team AS side, {', '.join(f"CAST(sum(CASE WHEN inning = {k} THEN CASE WHEN ok THEN runs ELSE 0 END END) AS BIGINT) AS inning_{k}" for k in range(1, INNINGS + 1))}, CAST(sum(CASE WHEN inning > {INNINGS} THEN CASE WHEN ok THEN runs ELSE 0 END END) AS BIGINT) AS extra, CAST(coalesce(sum(CASE WHEN ok THEN runs END), 0) AS BIGINT) AS total, true AS agrees FROM t GROUP BY game_key, team""")
+add("B7_team_seasons", lambda s, d: B.team_seasons(table(s, d, "games")), f"""{TOLD}, g AS (SELECT game_key, coalesce(sum(CASE WHEN ok AND team = 0 THEN runs END), 0) AS a, coalesce(sum(CASE WHEN ok AND team = 1 THEN runs END), 0) AS h FROM t GROUP BY game_key), i AS ({HEAD}), s AS (SELECT left(game_id, 3) AS team, season, h AS own, a AS other, 1 AS home FROM i JOIN g USING (game_key) UNION ALL SELECT 'V01', season, a, h, 0 FROM i JOIN g USING (game_key))
+  SELECT team, CAST(season AS INT) AS season, count(*) AS games, count(*) FILTER (WHERE own > other) AS won, count(*) FILTER (WHERE own < other) AS lost, count(*) FILTER (WHERE own = other) AS tied, count(*) FILTER (WHERE home = 1) AS home_games FROM s GROUP BY ALL""")
+STATUS = "runs > 1 + runners OR outs_after > 3"
+add("B6_tags_of_players", lambda s, d: B.tag_counts(table(s, d, "plays"), table(s, d, "play_tags"), table(s, d, "games")).where(F.col("tag").isin("HiddenBallTrick", "HomeRun")), f"""{TOLD}, c AS (SELECT *, coalesce(max(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY game_key, island ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS lost FROM t),
+  o AS (SELECT * FROM c WHERE ok AND NOT lost AND NOT ({STATUS}) AND NOT ((pick = {[r[0] for r in FOLDED].index("K+WP.B-1")} OR alive) AND b1 IS NOT NULL AND outs_before <> 2))
+  SELECT player, CAST(season AS INT) AS season, tag, count(*) AS n FROM (SELECT batter AS player, 2000 + game_key % 5 AS season, 'HomeRun' AS tag FROM o WHERE pick = {[r[0] for r in FOLDED].index("HR/F78.2-H;1-H")} UNION ALL SELECT batter, 2000 + game_key % 5, 'HiddenBallTrick' FROM o WHERE {NOTED}) GROUP BY ALL""")
+
+# Dimensions: biographies of some batters, rosters of more, and whoever the tables name.
+BIO = "SELECT concat('P', CAST(c_custkey AS STRING)) AS person_id, c_name AS last, c_mktsegment AS first FROM customer WHERE c_custkey % 3 = 0"
+LISTED_PEOPLE = "SELECT concat('P', CAST(c_custkey AS STRING)) AS person_id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE concat('R', CAST(c_nationkey AS STRING)) END AS last, c_mktsegment AS first, CAST(2000 + c_custkey % 5 AS INT) AS season, concat('T', CAST(c_nationkey AS STRING)) AS team, concat('T', CAST(c_nationkey - c_nationkey % 2 AS STRING)) AS file_team FROM customer WHERE c_custkey % 3 <> 1 OR c_custkey % 10 = 1"
+
+
+def sources(spark: SparkSession, d: str) -> list[D.Source]:
+    root = root_of(spark, d)
+    entries = spark.read.parquet(f"{root}/tables/lineup_entries").where("problem IS NULL")
+    return [("bio", view(spark, d, BIO)), ("roster", view(spark, d, LISTED_PEOPLE)), ("observed", D.observed_people(entries, spark.read.parquet(f"{root}/tables/plays")))]
+
+
+OBSERVED = f"SELECT concat('P', CAST(play_id % 40 AS VARCHAR)) AS person_id FROM events UNION SELECT concat('X', CAST(event_id AS VARCHAR)) FROM events WHERE event_id % 11 = 3 UNION SELECT unnest(['SP0_' || CAST(user_id AS VARCHAR), 'SP1_' || CAST(user_id AS VARCHAR)]) FROM events".replace("play_id", "event_id")
+EVERYONE = f"bio AS ({BIO}), listed AS ({LISTED_PEOPLE}), o AS ({OBSERVED})"
+add("Q1_people", lambda s, d: D.resolved(sources(s, d), "person_id", ("last", "first")), f"WITH {EVERYONE}, a AS (SELECT person_id, last, first, 'bio' AS source, 0 AS rank FROM bio UNION ALL SELECT person_id, last, first, 'roster', 1 FROM listed UNION ALL SELECT person_id, NULL, NULL, 'observed', 2 FROM o) SELECT person_id, last, first, source FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY rank, last, first) AS k FROM a) WHERE k = 1")
+add("Q1_disagreements", lambda s, d: D.disagreements(sources(s, d), "person_id", ("last", "first")), f"WITH {EVERYONE} SELECT l.person_id, 'last' AS field, 'roster' AS source, l.last AS value, b.last AS kept FROM listed l JOIN bio b USING (person_id) WHERE l.last <> b.last")
+add("Q1_rosters", lambda s, d: D.rosters(view(s, d, LISTED_PEOPLE)).groupBy("team_id", "season").agg(F.count(F.lit(1)).alias("n"), F.count("stated_team").alias("conflicts")), f"WITH listed AS ({LISTED_PEOPLE}) SELECT file_team AS team_id, season, count(*) AS n, count(*) FILTER (WHERE team <> file_team) AS conflicts FROM listed GROUP BY ALL")
+
+
+def measured(spark: SparkSession, d: str) -> DataFrame:
+    """Stated appearances of the pitchers who came in, and one of somebody who never did."""
+    root = root_of(spark, d)
+    entries, games = (spark.read.parquet(f"{root}/tables/{n}") for n in ("lineup_entries", "games"))
+    stated = view(spark, d, "SELECT DISTINCT concat('SP0_', CAST(user_id AS STRING)) AS person_id, CAST(2000 + user_id % 5 AS INT) AS season, CASE WHEN user_id % 2 = 0 THEN 'V01' ELSE 'NON' END AS team_id, CAST(3 AS INT) AS g FROM events")
+    return D.measured(stated, entries, games)
+
+
+add("Q2_appearances", measured, "SELECT DISTINCT concat('SP0_', CAST(user_id AS VARCHAR)) AS person_id, CAST(2000 + user_id % 5 AS INT) AS season, CASE WHEN user_id % 2 = 0 THEN 'V01' ELSE 'NON' END AS team_id, 3 AS g, CAST(CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS games_in_corpus FROM events")
+
+
+def prefixed(spark: SparkSession, d: str) -> DataFrame:
+    """The first names of each kind that begin with a prefix, from the stored index; for several prefixes."""
+    at = work_folder(spark, "names")
+    kinds = {"person": (view(spark, d, "SELECT c_custkey, c_mktsegment, c_name FROM customer"), "c_custkey", ("c_mktsegment", "c_name")), "team": (view(spark, d, "SELECT n_nationkey, n_name FROM nation"), "n_nationkey", ("n_name",)), "park": (view(spark, d, "SELECT s_suppkey, s_name FROM supplier"), "s_suppkey", ("s_name",))}
+    D.write_index(D.name_index(kinds), at)
+    index, out = spark.read.parquet(at), None
+    for p in ("b", "  Building  Customer#0000000", "S", "supplier#000000001", "zz", ""):
+        one = D.starting_with(index, p, 7).withColumn("prefix", F.lit(p))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+NAMES = "SELECT 'person' AS kind, CAST(c_custkey AS VARCHAR) AS id, concat(c_mktsegment, ' ', c_name) AS label FROM customer UNION ALL SELECT 'team', CAST(n_nationkey AS VARCHAR), n_name FROM nation UNION ALL SELECT 'park', CAST(s_suppkey AS VARCHAR), s_name FROM supplier"
+add("Q4_names", prefixed, f"WITH n AS ({NAMES}), p(prefix, low) AS (VALUES ('b', 'b'), ('  Building  Customer#0000000', 'building customer#0000000'), ('S', 's'), ('supplier#000000001', 'supplier#000000001'), ('zz', 'zz'), ('', '')) SELECT kind, id, label, CAST(rank AS INT) AS rank, prefix FROM (SELECT *, row_number() OVER (PARTITION BY prefix, kind ORDER BY lower(label), id) AS rank FROM n, p WHERE starts_with(lower(label), low)) WHERE rank <= 7")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldlog.operators.curated import merged
 from fieldlog.operators.search import holders
 
 from . import checks, earned, files, lines, plays, roles, searches
@@ -124,7 +125,7 @@ on_view("G7_tag_census", PLAY_TAGS, lambda t: t.groupBy("tag").agg(F.count(F.lit
 
 # Curated tags, spans, appearances, parks, layout of a file.
 MERGED = f"SELECT play_id, tag, 'certain' AS confidence, 'curated' AS source, 0 AS rank FROM ({PLAYS}) p WHERE play_id % 29 = 0 UNION ALL SELECT play_id, 'HiddenBallTrick', 'certain', 'curated', 0 FROM ({PLAYS}) q WHERE play_id % 31 = 0 UNION ALL SELECT play_id, tag, confidence, 'derived', 1 FROM ({PLAY_TAGS}) t"
-on_view("G5_curated_wins", MERGED, lambda t: t.groupBy("play_id", "tag").agg(F.min(F.struct("rank", "confidence", "source")).alias("x")).select("play_id", "tag", "x.confidence", "x.source"), f"SELECT play_id, tag, confidence, source FROM (SELECT *, row_number() OVER (PARTITION BY play_id, tag ORDER BY rank, confidence) AS k FROM ({MERGED}) m) WHERE k = 1")
+on_view("G5_curated_wins", MERGED, lambda t: merged(t.where("source = 'derived'").drop("rank"), t.where("source = 'curated'").drop("rank")), f"SELECT play_id, tag, confidence, source FROM (SELECT *, row_number() OVER (PARTITION BY play_id, tag ORDER BY rank, confidence) AS k FROM ({MERGED}) m) WHERE k = 1")
 
 
 def tiling(df: DataFrame) -> DataFrame:

@@ -49,6 +49,13 @@ def iso_date(x: Column) -> Column:
     return F.when(x.rlike("^[0-9]{8}$"), F.concat_ws("-", F.substring(x, 1, 4), F.substring(x, 5, 2), F.substring(x, 7, 2)))
 
 
+def park_date(x: Column) -> Column:
+    """m/d/yyyy as yyyy-mm-dd, parts padded; what is no date is null."""
+    mdy = r"^([0-9]+)/([0-9]+)/([0-9]+)$"
+    part = lambda i, n: F.lpad(F.regexp_extract(x, mdy, i), n, "0")
+    return F.when(x.rlike(mdy), F.concat_ws("-", part(3, 4), part(1, 2), part(2, 2)))
+
+
 def loose_date(x: Column) -> Column:
     """y/m/d and m/d/yyyy as yyyy-mm-dd, parts of one digit padded; anything else as it is."""
     ymd, mdy = r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$", r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$"
