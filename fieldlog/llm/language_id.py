@@ -8,7 +8,7 @@ Learning uses a bounded sample of the labelled rows: about SAMPLE rows of each l
 prediction covers every byte of every text and uses the text alone.
 
 Defined cases: `und` with score 0 where the text is null or has no letter, or where no labelled row exists to learn from. Repeated
-rows get equal predictions. With one language learned, it is the answer for every text with a letter.
+rows get equal predictions. With one language learned, it is the answer for every text with a letter. Rows without an id are drawn by their texts. More than LABELS labels are an error.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ STRIDE, LAP = 48, 8
 WINDOW = STRIDE + 2 * LAP
 #: Rows of each language and code points of each row to learn from. Bounds what the driver holds: languages x SAMPLE x EXCERPT.
 SAMPLE, EXCERPT = 150, 1500
-#: Labels to learn, the most frequent ones. More would be a dirty column.
-LABELS = 200
+#: Labels that a column of languages may hold; one with more is no such column, which is an error, so that no label is left out in silence.
+LABELS = 2000
 STEPS, BATCH, RATE = 260, 192, 0.02
 #: Windows that advance together.
 TOGETHER = 4096
@@ -198,10 +198,13 @@ def training_rows(df: DataFrame, may_learn: Column, id_col: str, text_col: str,
     """About `sample` excerpts a language, by a hash of the id; first a count of the labels, then one read of the picked rows."""
     labelled = df.where(may_learn & F.col(lang_col).isNotNull() & text_of(text_col).rlike(r"\p{L}"))
     labels = df.where(may_learn & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    counts = {r.lang: r.n for r in labels.orderBy(F.desc("n"), "lang").limit(LABELS).collect()}
+    counts = {r.lang: r.n for r in labels.limit(LABELS + 1).collect()}
+    if len(counts) > LABELS:
+        raise ValueError(f"column {lang_col!r} holds more than {LABELS} labels")
     if not counts:
         return []
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("lang")), F.lit(1_000_000)) / 1_000_000
+    # By the id, or the text of a row without one.
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), text_of(text_col)), F.lit("lang")), F.lit(1_000_000)) / 1_000_000
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])[F.col(lang_col)]
     text = text_of(text_col)
     start = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.greatest(F.length(text) - EXCERPT, F.lit(1))).cast("int")

@@ -3,19 +3,19 @@
 Counts of all tokens of all training rows are gathered by Spark. Every token has a class: the TOP most frequent tokens one each, the end of
 a text one, and the others share clusters, whose number grows with the vocabulary. A token's cluster follows from its contexts: the learned representations
 of what stands before and after it, over all its occurrences, summed by Spark, and the nearest of the centroids. A token's probability is that of its class, times its smoothed
-share of the class. A class's score is bilinear: the representation of the token before, through a context matrix, against the representation of the
-class, plus a bias. There is one such model for the token before and one for the token before that; their probabilities are mixed
-by a weight that depends on the class of the token before, the best of WEIGHTS over all training rows. The models are trained in numpy by noise-contrastive
-estimation over the counts of all pairs of classes in the training rows; the noise is drawn by the classes' shares, anew for each round. Products of matrices give the scores of
-every class after every class, which are normalised exactly; texts then look them up. A mixture of normalised rows is normalised.
+share of the class. The model is one log-bilinear model: each class has a representation as context and one as prediction; those of the two tokens before, each through the
+matrix of its position, are added, and the sum against the representation of a class, plus its bias, is its score. It is trained in numpy: by noise-contrastive estimation
+over the counts of pairs of classes, one and two places apart, in all training rows (the noise is drawn by the classes' shares, anew for each round), which finds the representations by
+position; then the sum of both is fitted by the gradient of the likelihood, for which these counts are all that is needed. As the exponential of a sum is a product, one product of
+matrices gives the normaliser of every pair of contexts, so probabilities are normalised exactly; texts then look them up.
 
-An unseen token is one more in each cluster: its probability is the sum over the clusters. As context it stands for the average cluster.
+An unseen token is one more in each cluster: its probability is the sum over the clusters. As context it has the average representation of the clusters.
 
 Texts are read twice: to count, and to be written as numbers. Counts of `frequent` tokens at most, those above a level of counts, go to every task, so
 they are numbered at once; what a text holds of the others meets its counts and classes in a join. No token is left out.
 
 Defined cases: null texts count as empty; each text has one end token. Ids may be null or repeated: rows are told apart by a
-number of their own. If no row may be learned from, N and V are 0, every class is equally likely, and base_score follows the formula.
+number of their own. The search for centroids begins with the `frequent` tokens, and its last turns go over all. If no row may be learned from, N and V are 0, every class is equally likely, and base_score follows the formula.
 """
 
 from __future__ import annotations
@@ -32,17 +32,17 @@ from pyspark.sql import functions as F
 from .common import crc_of_id, discard, small_batches, text_of, written
 
 #: Tokens with a class of their own.
-TOP = 800
-#: There are so many clusters times the cube root of the number of distinct tokens.
+TOP = 1000
+#: There are so many clusters times the cube root of the number of distinct tokens. The driver holds about a dozen square tables of all classes.
 CLUSTERS = 4
 #: Numbers that describe what stands before a token, and after it, in steps of 1 / FINE; turns of the search for centroids.
-SIDE, FINE, TURNS = 6, 64, 8
-#: Weights of the model of the token before the last one.
-WEIGHTS = (0.0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.7)
+SIDE, FINE, TURNS, WHOLE_TURNS = 6, 64, 8, 2
 #: Counts sent to every task at most: about 100 bytes each in a worker. LEVELS levels of counts lie between a number and its double.
 FREQUENT, LEVELS = 150_000, 8
 #: NOISE noise classes weigh against one that occurs; DRAWN are drawn in a round.
 DIMENSIONS, ROUNDS, RATE, NOISE, DRAWN = 24, 120, 0.05, 10.0, 20_000
+#: Rounds in which the sum of both positions is fitted, and their rate.
+JOINT, JOINT_RATE = 60, 0.03
 #: Tokens a task counts before it passes them on, and occurrences.
 HELD, OCCURRENCES = 500_000, 1_500_000
 END = b"\n"  # no token holds white space
@@ -223,7 +223,7 @@ def profiles(streams: DataFrame, held: list[bytes], top: int, sides: tuple[np.nd
 def described(model: LogBilinear, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What describes each class that stands before, or after: the SIDE main directions of its representation, whole numbers."""
     out = []
-    for x in (model.before @ model.context, model.after):
+    for x in (model.before @ model.contexts[0], model.after):
         x = (x - shares @ x).astype(np.float64)
         _, directions = np.linalg.eigh((x * shares[:, None]).T @ x)
         y = x @ directions[:, ::-1][:, :SIDE]
@@ -254,110 +254,136 @@ def clustered(columns: np.ndarray, c: np.ndarray, clusters: int) -> np.ndarray:
     return centroids
 
 
-def with_unseen(chances: np.ndarray, clusters: slice, unseen: np.ndarray, average: np.ndarray) -> np.ndarray:
-    """A row and a column more, for an unseen token: after a class, the sum over clusters of the cluster's chance times its unseen share; as context, the average cluster."""
-    rows = np.vstack([chances, average @ chances[clusters]])
-    return np.hstack([rows, (rows[:, clusters] @ unseen)[:, None]]).astype(np.float32)
-
-
-def best_weights(streams: DataFrame, sent, size: int) -> np.ndarray:
-    """Per class of the token before, the weight of WEIGHTS under which all training rows are likeliest; the last is for unseen tokens."""
+def moved(found: DataFrame, names: list[str], centroids: np.ndarray) -> np.ndarray:
+    """The centroids after one turn over all tokens: a task gives a sum for each cluster and column."""
+    size = centroids.shape
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        one, two = sent.value
-        sums = np.zeros((len(WEIGHTS), size))
+        sums, seen = np.zeros(size), np.zeros(size[0])
         for b in batches:
-            t, a, second, _ = contexts(b.column(0), size - 1)
-            x, y = one[a, t], two[second, t]
-            for k, w in enumerate(WEIGHTS):
-                sums[k] += np.bincount(a, weights=np.log((1 - w) * x + w * y), minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["cell", "n"])
+            columns, c = np.stack([b.column(k).to_numpy() for k in range(1, b.num_columns)], axis=1), b.column(0).to_numpy()
+            of = nearest(columns, c, centroids)
+            x = columns / (FINE * (c[:, None] + 1.0))
+            sums += np.stack([np.bincount(of, weights=x[:, k], minlength=size[0]) for k in range(size[1])], axis=1)
+            seen += np.bincount(of, minlength=size[0])
+        some = np.flatnonzero(seen)
+        # In fixed steps, so that the order of tasks doesn't count.
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some].astype(np.int64)), *[pa.array(np.rint(sums[some, k] * 2**20).astype(np.int64)) for k in range(size[1])]], names=["cluster", "n", *names])
+
+    total = found.select("c", *names).mapInArrow(run, ", ".join(["cluster long", "n long", *[f"{x} long" for x in names]])).groupBy("cluster").agg(*[F.sum(x).alias(x) for x in ("n", *names)]).toArrow()
+    out = centroids.copy()
+    at, n = total.column("cluster").to_numpy(), total.column("n").to_numpy()
+    out[at] = np.stack([total.column(x).to_numpy() for x in names], axis=1) / 2**20 / n[:, None]
+    return out
 
-    table = np.zeros(len(WEIGHTS) * size)
-    # One row a weight and class.
-    found = streams.select("stream").mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    table[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    table = table.reshape(len(WEIGHTS), size)
-    return np.array(WEIGHTS)[np.append(table.argmax(axis=0), table.sum(axis=1).argmax())]
 
+@dataclass
+class LogBilinear:
+    before: np.ndarray  # representations as context
+    contexts: list[np.ndarray]  # a matrix for each position, the nearest first
+    after: np.ndarray  # representations as prediction
+    bias: np.ndarray
 
-def best_weights(streams: DataFrame, sent, size: int) -> np.ndarray:
-    """Per class of the token before, the weight of WEIGHTS under which all training rows are likeliest; the last is for unseen tokens."""
+    def parts(self) -> list[np.ndarray]:
+        return [self.before, *self.contexts, self.after, self.bias]
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def scores(self, position: int) -> np.ndarray:
+        """What a class at that position adds to the score of each class."""
+        return (self.before @ self.contexts[position]) @ self.after.T
 
-        one, two = sent.value
-        sums = np.zeros((len(WEIGHTS), size))
-        for b in batches:
-            t, starts = with_ends(b.column(0), size - 1)
-            a, second = befores(t, starts, size - 1)
-            x, y = one[a, t], two[second, t]
-            y -= x
-            for k, w in enumerate(WEIGHTS):
-                sums[k] += np.bincount(a, weights=np.log(x + np.float32(w) * y), minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["cell", "n"])
-
-    table = np.zeros(len(WEIGHTS) * size)
-    # One row a weight and class.
-    found = streams.select("stream").mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    table[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    table = table.reshape(len(WEIGHTS), size)
-    return np.array(WEIGHTS, dtype=np.float32)[np.append(table.argmax(axis=0), table.sum(axis=1).argmax())]
 
+class Adam:
+    def __init__(self, parts: list[np.ndarray]):
+        self.parts, self.moments, self.step = parts, [(np.zeros_like(p), np.zeros_like(p)) for p in parts], 0
 
-@dataclass
-class LogBilinear:
-    before: np.ndarray  # representations of the token before
-    context: np.ndarray
-    after: np.ndarray  # of the token predicted
-    bias: np.ndarray
+    def move(self, grads: list[np.ndarray], rate: float) -> None:
+        self.step += 1
+        for p, g, (m, v) in zip(self.parts, grads, self.moments):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p -= rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-10)
 
-    def scores(self) -> np.ndarray:
-        return (self.before @ self.context) @ self.after.T + self.bias
 
-    def log10_table(self) -> np.ndarray:
-        """Normalised log10 probability of class b after class a."""
-        s = self.scores().astype(np.float64)
-        s -= s.max(axis=1, keepdims=True)
-        return (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / math.log(10)
+def gradients(model: LogBilinear, slopes: list[np.ndarray]) -> list[np.ndarray]:
+    """Of the representations and matrices, from those of the scores of each position."""
+    inner = [d @ model.after for d in slopes]
+    before = sum(x @ k.T for x, k in zip(inner, model.contexts))
+    after = sum(d.T @ (model.before @ k) for d, k in zip(slopes, model.contexts))
+    return [before, *[model.before.T @ x for x in inner], after]
 
 
-def trained(pairs: np.ndarray, dimensions: int = DIMENSIONS, rounds: int = ROUNDS) -> LogBilinear:
-    """Noise-contrastive estimation: tell a pair that occurs from the same first class with noise classes, which weigh NOISE times as much.
+def trained(tables: list[np.ndarray], dimensions: int = DIMENSIONS, rounds: int = ROUNDS) -> LogBilinear:
+    """Noise-contrastive estimation over the counts of pairs, a table for each position: tell a pair that occurs from the same first class with noise classes, which weigh NOISE times as much.
 
     All pairs that occur take part in each round (Adam), against DRAWN classes drawn by their shares for that round."""
-    size = len(pairs)
+    size = len(tables[0])
     rng = np.random.default_rng(3)
-    total = float(pairs.sum(dtype=np.float64))
-    noise = ((pairs.sum(axis=0, dtype=np.float64) + 0.5) / (total + 0.5 * size)).astype(np.float32)
-    model = LogBilinear(*((rng.standard_normal(s) * 0.1).astype(np.float32) for s in ((size, dimensions), (dimensions, dimensions), (size, dimensions))), np.log(noise))
+    total = float(tables[0].sum(dtype=np.float64))
+    noise = ((tables[0].sum(axis=0, dtype=np.float64) + 0.5) / (total + 0.5 * size)).astype(np.float32)
+    drawn = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
+    model = LogBilinear(drawn(size, dimensions), [drawn(dimensions, dimensions) for _ in tables], drawn(size, dimensions), np.log(noise))
     if not total:
         model.bias = np.zeros(size, np.float32)
         model.before[:] = 0
         return model
-    seen = (pairs / np.float32(total)).astype(np.float32)
-    first = seen.sum(axis=1, keepdims=True)
+    seen = [(x / np.float32(total)).astype(np.float32) for x in tables]
+    first = [x.sum(axis=1, keepdims=True) for x in seen]
     drawn_by = np.asarray(noise, np.float64) / np.asarray(noise, np.float64).sum()
     shift = np.log(NOISE * noise)
-    parts = [model.before, model.context, model.after, model.bias]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parts]
+    adam = Adam(model.parts())
     for step in range(1, rounds + 1):
-        against = NOISE * first * (rng.multinomial(DRAWN, drawn_by) / DRAWN).astype(np.float32)
-        inner = model.before @ model.context
-        chance = 1 / (1 + np.exp(np.clip(shift - (inner @ model.after.T + model.bias), -30, 30)))
-        slope = (seen + against) * chance - seen
-        d_inner = slope @ model.after
-        grads = [d_inner @ model.context.T, model.before.T @ d_inner, slope.T @ inner, slope.sum(axis=0)]
-        for p, g, (m, v) in zip(parts, grads, moments):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p -= RATE * (1 - step / (rounds + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
+        against = NOISE * (rng.multinomial(DRAWN, drawn_by) / DRAWN).astype(np.float32)
+        slopes = []
+        for k, (x, n) in enumerate(zip(seen, first)):
+            chance = 1 / (1 + np.exp(np.clip(shift - (model.scores(k) + model.bias), -30, 30)))
+            slopes.append((x + n * against) * chance - x)
+        adam.move([*gradients(model, slopes), sum(d.sum(axis=0) for d in slopes)], RATE * (1 - step / (rounds + 1)))
     return model
 
 
+def exponentials(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """exp of both parts, each row by its greatest, and these."""
+    m, n = one.max(axis=1, keepdims=True), two.max(axis=1, keepdims=True)
+    return np.exp(one - m), np.exp(two - n), m, n
+
+
+def fitted(model: LogBilinear, tables: list[np.ndarray], rounds: int = JOINT) -> LogBilinear:
+    """The model of both positions together, moved by the likelihood's gradient. What stands one place before and two places before a token are neighbours themselves, so the table of neighbours tells how
+    often each pair of contexts occurs; only texts' first tokens have the end before them twice."""
+    total = float(tables[0].sum(dtype=np.float64))
+    if not total:
+        return model
+    seen = [(x / np.float32(total)).astype(np.float32) for x in tables]
+    pairs = seen[0].T.copy()
+    pairs[-1] = 0
+    pairs[-1, -1] = seen[0][:, -1].sum()
+    adam = Adam(model.parts())
+    # Each part was trained to predict alone.
+    for k in model.contexts:
+        k *= np.float32(0.7)
+    for step in range(1, rounds + 1):
+        one, two, _, _ = exponentials(model.scores(0) + model.bias, model.scores(1))
+        ratio = pairs / np.maximum(one @ two.T, np.float32(1e-30))
+        slopes = [one * (ratio @ two) - seen[0], two * (ratio.T @ one) - seen[1]]
+        adam.move([*gradients(model, slopes), slopes[0].sum(axis=0)], JOINT_RATE * (1 - step / (rounds + 1)))
+    return model
+
+
+def normalised(model: LogBilinear, clusters: slice, unseen: np.ndarray, average: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """log10 of what each context adds for each class (one place before, with the bias; two places before), of the normaliser of each pair of contexts, and of an unseen token's probability after
+    each. The last context is an unseen token."""
+    with_average = lambda x: np.vstack([x, average @ x[clusters]]).astype(np.float64)
+    one, two = with_average(model.scores(0) + model.bias), with_average(model.scores(1))
+    a, b, m, n = exponentials(one, two)
+    whole = a @ b.T
+    strange = (a[:, clusters] * unseen) @ b[:, clusters].T
+    log = math.log(10)
+    # Each row from its greatest on, so that numbers of 32 bits are small ones.
+    return tuple((x / log).astype(np.float32) for x in (one - m, two - n, np.log(whole), np.log(strange) - np.log(whole)))
+
+
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, frequent: int = FREQUENT) -> DataFrame:
     """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = df.sparkSession
@@ -371,16 +397,23 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: C
     numbers = written(numbered(rows, known), "numbered")
     learned = numbers.where(~F.col("held_out"))
 
-    # Clusters of the other tokens: centroids from the frequent ones and, as far as there is room, some of the others; then every token's nearest.
+    # Clusters of the other tokens: centroids are sought among the frequent ones, then moved by all; then every token's nearest.
     (pairs,) = pairs_of_classes(learned, top + 2, (1,), np.minimum(np.arange(other + 1), top))
     shares = (pairs.sum(axis=0, dtype=np.float64) + 0.5) / (pairs.sum(dtype=np.float64) + 0.5 * len(pairs))
-    found = written(profiles(learned, known, top, described(trained(pairs), shares)), "profiles")
+    found = written(profiles(learned, known, top, described(trained([pairs]), shares)), "profiles")
     names = [f"p{k}" for k in range(2 * SIDE)]
-    drawn = F.pmod(F.xxhash64("token"), F.lit(1_000_000)) < 1_000_000 * max(0, frequent - other) / max(1, v)
-    some = found.where(above | drawn).toArrow()
+    some = found.where(above).toArrow()
     sums, number = np.stack([some.column(x).to_numpy() for x in names], axis=1), some.column("c").to_numpy()
     order = np.lexsort(([*sums.T, number]))
-    centroids = clustered(sums[order], number[order], math.ceil(CLUSTERS * v ** (1 / 3)))
+    wanted = math.ceil(CLUSTERS * v ** (1 / 3))
+    if len(order) < wanted:
+        # Few tokens are frequent: the most frequent ones of all, as many as there are clusters.
+        first = found.orderBy(F.desc("c"), "token").limit(wanted).toArrow()
+        centroids = clustered(np.stack([first.column(x).to_numpy() for x in names], axis=1), first.column("c").to_numpy(), wanted)
+    else:
+        centroids = clustered(sums[order], number[order], wanted)
+    for _ in range(WHOLE_TURNS):
+        centroids = moved(found, names, centroids)
 
     def placed(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -440,18 +473,19 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: C
     discard(counts, numbers, found, classes)
 
     learned = streams.where(~F.col("held_out"))
-    tables = spark.sparkContext.broadcast(tuple(with_unseen(10 ** trained(x).log10_table(), clusters, unseen_share, average) for x in pairs_of_classes(learned, size, (1, 2))))
-    weights = best_weights(learned, tables, size)
+    pairs = pairs_of_classes(learned, size, (1, 2))
+    tables = spark.sparkContext.broadcast(normalised(fitted(trained(pairs), pairs), clusters, unseen_share, average))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        one, two = tables.value
+        one, two, less, strange = tables.value
         for b in batches:
             t, starts = with_ends(b.column(2), end)
             a, second = befores(t, starts, end)
-            w = weights[a]
-            sums = np.add.reduceat(np.log10((1 - w) * one[a, t] + w * two[second, t], dtype=np.float64), starts) if len(t) else np.zeros(0)
+            known_ = np.minimum(t, end)
+            each = np.where(t == unseen, strange[a, second], one[a, known_] + two[second, known_] - less[a, second]).astype(np.float64)
+            sums = np.add.reduceat(each, starts) if len(t) else np.zeros(0)
             lengths = pa.array(np.diff(np.append(starts, len(t))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lengths, b.column(3), b.column(4), pa.array(sums + b.column(5).to_numpy())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 

@@ -139,8 +139,6 @@ def test_language(spark, docs):
 def test_lm(docs):
     got = {r.doc_id: r for r in lm_scoring.score(docs).collect()}
     assert got[1].n_tokens == got[2].n_tokens == 1 and got[6].n_tokens == 6001
-    table = lm_scoring.trained(np.arange(25.0).reshape(5, 5)).log10_table()
-    assert np.allclose((10**table).sum(axis=1), 1)
 
 
 def test_nearest(spark):
@@ -242,10 +240,46 @@ def test_lm_without_rows_to_learn_from(spark, docs):
 
 
 def test_lm_shares_sum_to_one():
-    table = 10 ** lm_scoring.trained(np.arange(25.0).reshape(5, 5)).log10_table()
+    """For every pair of contexts, unseen tokens among them: the chances of all classes, without what an unseen token takes of the clusters, and that token's add up to one."""
+    tables = [np.arange(25, dtype=np.float32).reshape(5, 5), np.arange(25, dtype=np.float32)[::-1].reshape(5, 5)]
+    model = lm_scoring.fitted(lm_scoring.trained(tables), tables)
     unseen, average = np.array([0.25, 0.5]), np.array([0.4, 0.6])
-    chances = lm_scoring.with_unseen(table, slice(2, 4), unseen, average)
-    assert np.allclose(chances[:, :5] @ np.array([1, 1, 0.75, 0.5, 1]) + chances[:, 5], 1)
+    one, two, less, strange = lm_scoring.normalised(model, slice(2, 4), unseen, average)
+    assert one.shape == two.shape == (6, 5) and less.shape == strange.shape == (6, 6)
+    for a in range(6):
+        for b in range(6):
+            chances = 10.0 ** (one[a] + two[b] - less[a, b])
+            assert np.isclose(chances @ np.array([1, 1, 0.75, 0.5, 1]) + 10.0 ** strange[a, b], 1, atol=1e-4)
+    # One model: the representations of both contexts are added before the softmax.
+    r = model.before[1] @ model.contexts[0] + model.before[3] @ model.contexts[1]
+    s = np.exp((r @ model.after.T + model.bias).astype(np.float64))
+    assert np.allclose(10.0 ** (one[1] + two[3] - less[1, 3]), s / s.sum(), atol=1e-4)
+
+
+def test_lm_gradient_is_that_of_the_likelihood():
+    """Counts of pairs give the same gradient as all triples would."""
+    rng = np.random.default_rng(4)
+    texts, end = [rng.integers(0, 4, rng.integers(1, 9)).tolist() for _ in range(40)], 4
+    triples = [(x[i - 1] if i else end, x[i - 2] if i > 1 else end, t) for x in texts for i, t in enumerate(x + [end])]
+    tables = [np.zeros((5, 5), np.float32) for _ in range(2)]
+    for a, b, t in triples:
+        tables[0][a, t] += 1
+        tables[1][b, t] += 1
+    model = lm_scoring.trained(tables, dimensions=6, rounds=30)
+    likelihood = lambda m: np.mean([(s := (m.before[a] @ m.contexts[0] + m.before[b] @ m.contexts[1]) @ m.after.T + m.bias)[t] - np.log(np.exp(s.astype(np.float64)).sum()) for a, b, t in triples])
+    model.contexts = [k * np.float32(0.7) for k in model.contexts]
+    before = likelihood(model)
+    model.contexts = [k / np.float32(0.7) for k in model.contexts]
+    after = likelihood(lm_scoring.fitted(model, tables, 80))
+    # Of the six parameters a class has the model finds nearly the best that counts allow.
+    best = np.mean([math.log(sum(x == (a, b, t) for x in triples) / sum(x[:2] == (a, b) for x in triples)) for a, b, t in triples])
+    assert before < after < best and after > before + 0.02
+
+
+def test_lm_beats_its_base_on_held_out_rows(spark):
+    got = lm_scoring.score(spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    print("held out, log10 a token:", got[0] / got[2], "base", got[1] / got[2])
+    assert got[0] / got[2] > got[1] / got[2] + 0.4
 
 
 def test_pairs_of_one_band_are_compared(spark):
