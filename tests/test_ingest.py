@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fieldlog.operators import curated as K
 from fieldlog.operators import ingest as I
+from fieldlog.operators import reconcile as C
 from fieldlog.operators.search import Search
 from fieldlog.sources import archive as A
 from fieldlog.sources import event_files as E
@@ -148,3 +150,44 @@ def test_files_to_tables_and_refreshes(spark, place, monkeypatch):
     assert {r.state for r in I.vintages(spark, out).collect()} == {"current"}
     # Two vintages stay readable.
     assert A.lines(spark, archive, version=1).where(F.col("raw_line").contains("K23")).count() == 0 and A.lines(spark, archive, seasons=[2020]).where(F.col("raw_line").contains("K23")).count() == 1
+
+
+def test_curated_notes(spark, place):
+    """All faults at once; good notes reach the tables of the plays they name."""
+    notes = place / "notes"
+    notes.mkdir()
+    (notes / "a.json").write_text('{"entries": [{"game_id": "AAA202008010", "play_seq": 3, "tags": ["HiddenBallTrick", "Strikeout"], "note": "x"},\n {"game_id": "AAA202008010", "play_seq": 9, "tags": ["Balk"]}, {"game_id": "QQQ202008010", "play_seq": 1, "tags": ["Balk"]}]}')
+    good = K.load(spark, f"file://{notes}")
+    assert sorted((r.game_id, r.seq, r.tag, r.note) for r in good.collect()) == [("AAA202008010", 3, "HiddenBallTrick", "x"), ("AAA202008010", 3, "Strikeout", "x"), ("AAA202008010", 9, "Balk", None), ("QQQ202008010", 1, "Balk", None)]
+    I.build(spark, f"file://{place}/in", f"file://{place}/out", curated=f"file://{notes}")
+    tags = read(spark, place, "play_tags").where("source = 'curated'").collect()
+    assert sorted((r.seq, r.tag, r.confidence) for r in tags) == [(3, "HiddenBallTrick", "certain"), (3, "Strikeout", "certain")]
+    assert read(spark, place, "play_tags").where("seq = 3 AND tag = 'Strikeout' AND season = 2020").count() == 1
+    # One play isn't parsed, one game isn't held.
+    lost = K.unmatched(good, read(spark, place, "plays"), read(spark, place, "games")).collect()
+    assert sorted((r.game_id, r.seq) for r in lost) == [("AAA202008010", 9), ("QQQ202008010", 1)]
+
+    (notes / "b.json").write_text('{"entries": [{"game_id": "", "play_seq": 1, "tags": ["Balk"]}, {"game_id": "G", "tags": ["Balk"]}, {"game_id": "G", "play_seq": 2, "tags": []}, {"game_id": "AAA202008010", "play_seq": 3, "tags": ["Blak", "Balk"]}]}')
+    (notes / "c.json").write_text("no notes")
+    with pytest.raises(K.CuratedError) as refused:
+        K.load(spark, f"file://{notes}")
+    told = sorted(what for *_, what in refused.value.problems)
+    assert told == ["2 entries", "no JSON of this kind", "no game", "no number of a play", "no tags", "unknown tags Blak"]
+
+
+def test_repeated_ids_and_bad_figures_in_reconciliation(spark):
+    games = spark.createDataFrame([(2000, "A", 1, 1, 2), (2000, "A", 2, 5, 6), (2000, "B", 1, 0, 0)], "season int, game_id string, occurrence int, final_away long, final_home long")
+    schema = "game_id string, date string, home_league string, series string, away_score int, home_score int, forfeit string, completion string"
+    logs = spark.createDataFrame([("A", "2000-01-01", "X", "regular", 1, 2, "", ""), ("A", "2000-01-01", "X", "ws", 1, 2, "", ""), ("A", "2000-01-02", "X", "regular", 5, 7, "", ""), ("C", "1999-01-01", "X", "regular", 1, 1, "", ""), ("D", "2000-05-05", None, "regular", 1, 1, "V", "")], schema)
+    got = sorted((r.game_id, r.nth, r.verdict) for r in C.reconciled(games, logs).collect())
+    assert got == [("A", 1, "agree"), ("A", 2, "differ"), ("B", 1, "held_only"), ("C", 1, "before"), ("D", 1, "gap")]
+    missing = C.missing_games(games, logs)
+    assert sorted((str(r.league), r.published, r.missing) for r in missing.collect()) == [("None", 1, 1), ("X", 2, 0)]
+    coverage = spark.createDataFrame([(2000, "X"), (2000, "Y"), (2000, None)], "season int, league string")
+    assert sorted((str(r.league), r.games_missing) for r in C.covered(coverage, missing).collect()) == [("None", 1), ("X", 0), ("Y", None)]
+    rows = [(1, ["data", "er", "p", "2"]), (1, ["data", "er", "p", "1"]), (1, ["data", "er", "q", "0"]), (2, ["data", "er", "p", "3"]), (2, ["data", "er", "q", "(unknown)"]), (3, ["data", "xx", "p", "3"])]
+    recs = spark.createDataFrame([(g, "data", f) for g, f in rows], "game_key long, record_type string, fields array<string>")
+    assert sorted(tuple(r) for r in C.pitcher_totals(recs).collect()) == [(1, "p", 3, True), (1, "q", 0, True), (2, "p", 3, False), (2, "q", 0, False)]
+    verdicts = spark.createDataFrame([(1, "p", True, "derived"), (1, "p", None, "ambiguous"), (1, "p", None, "ambiguous"), (2, "p", True, "derived"), (9, "z", True, "derived")], "game_key long, pitcher_id string, earned_pitcher boolean, certainty string")
+    checked = sorted((r.game_key, r.pitcher, r.low, r.high, r.verdict, r.distance) for r in C.against_totals(verdicts, C.pitcher_totals(recs)).collect())
+    assert checked == [(1, "p", 1, 3, "within", 0), (1, "q", 0, 0, "exact", 0), (2, "p", 1, 1, "unusable", None), (2, "q", 0, 0, "unusable", None)]
