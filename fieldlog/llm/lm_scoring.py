@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import crc_of_id, discard, small_batches, text_of, written
 
 #: Tokens with a class of their own.
-TOP = 1000
-#: There are so many clusters times the cube root of the number of distinct tokens. The driver holds about a dozen square tables of all classes.
+TOP = 800
+#: There are so many clusters times the cube root of the number of distinct tokens. The driver holds about nine square tables of all classes, which bounds both.
 CLUSTERS = 4
 #: Numbers that describe what stands before a token, and after it, in steps of 1 / FINE; turns of the search for centroids.
 SIDE, FINE, TURNS, WHOLE_TURNS = 6, 64, 8, 2
@@ -306,12 +306,31 @@ class Adam:
             p -= rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-10)
 
 
-def gradients(model: LogBilinear, slopes: list[np.ndarray]) -> list[np.ndarray]:
-    """Of the representations and matrices, from those of the scores of each position."""
-    inner = [d @ model.after for d in slopes]
-    before = sum(x @ k.T for x, k in zip(inner, model.contexts))
-    after = sum(d.T @ (model.before @ k) for d, k in zip(slopes, model.contexts))
-    return [before, *[model.before.T @ x for x in inner], after]
+class Gradients:
+    """Of the representations, matrices and biases, added up position by position, so that the slopes of one need not wait for those of the other."""
+
+    def __init__(self, model: LogBilinear):
+        self.model, (self.before, self.after) = model, (np.zeros_like(model.before), np.zeros_like(model.after))
+        self.contexts, self.bias = [np.zeros_like(k) for k in model.contexts], np.zeros_like(model.bias)
+
+    def add(self, position: int, slope: np.ndarray, to_bias: bool = True) -> None:
+        """slope: that of each score of the position."""
+        m, k = self.model, self.model.contexts[position]
+        inner = slope @ m.after
+        self.before += inner @ k.T
+        self.contexts[position] += m.before.T @ inner
+        self.after += slope.T @ (m.before @ k)
+        if to_bias:
+            self.bias += slope.sum(axis=0)
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.before, *self.contexts, self.after, self.bias]
+
+
+def shares(tables: list[np.ndarray]) -> list[np.ndarray]:
+    """Counts as shares of all; those that are shares already stay."""
+    total = float(tables[0].sum(dtype=np.float64))
+    return tables if abs(total - 1) < 1e-3 else [(x / np.float32(total)).astype(np.float32) for x in tables]
 
 
 def trained(tables: list[np.ndarray], dimensions: int = DIMENSIONS, rounds: int = ROUNDS) -> LogBilinear:
@@ -328,25 +347,36 @@ def trained(tables: list[np.ndarray], dimensions: int = DIMENSIONS, rounds: int
         model.bias = np.zeros(size, np.float32)
         model.before[:] = 0
         return model
-    seen = [(x / np.float32(total)).astype(np.float32) for x in tables]
+    seen = shares(tables)
     first = [x.sum(axis=1, keepdims=True) for x in seen]
     drawn_by = np.asarray(noise, np.float64) / np.asarray(noise, np.float64).sum()
     shift = np.log(NOISE * noise)
     adam = Adam(model.parts())
     for step in range(1, rounds + 1):
         against = NOISE * (rng.multinomial(DRAWN, drawn_by) / DRAWN).astype(np.float32)
-        slopes = []
+        grads = Gradients(model)
         for k, (x, n) in enumerate(zip(seen, first)):
-            chance = 1 / (1 + np.exp(np.clip(shift - (model.scores(k) + model.bias), -30, 30)))
-            slopes.append((x + n * against) * chance - x)
-        adam.move([*gradients(model, slopes), sum(d.sum(axis=0) for d in slopes)], RATE * (1 - step / (rounds + 1)))
+            # In place: 1 / (1 + exp(shift - score)), then the slope.
+            chance = model.scores(k)
+            chance += model.bias - shift
+            np.clip(chance, -30, 30, out=chance)
+            np.exp(np.negative(chance, out=chance), out=chance)
+            chance += 1
+            slope = n * against
+            slope += x
+            slope /= chance
+            slope -= x
+            grads.add(k, slope)
+        adam.move(grads.parts(), RATE * (1 - step / (rounds + 1)))
     return model
 
 
-def exponentials(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """exp of both parts, each row by its greatest, and these."""
-    m, n = one.max(axis=1, keepdims=True), two.max(axis=1, keepdims=True)
-    return np.exp(one - m), np.exp(two - n), m, n
+def exponentials(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of both, each row from its greatest on. Changes them."""
+    for x in (one, two):
+        x -= x.max(axis=1, keepdims=True)
+        np.exp(x, out=x)
+    return one, two
 
 
 def fitted(model: LogBilinear, tables: list[np.ndarray], rounds: int = JOINT) -> LogBilinear:
@@ -355,33 +385,48 @@ def fitted(model: LogBilinear, tables: list[np.ndarray], rounds: int = JOINT) ->
     total = float(tables[0].sum(dtype=np.float64))
     if not total:
         return model
-    seen = [(x / np.float32(total)).astype(np.float32) for x in tables]
+    seen = shares(tables)
     pairs = seen[0].T.copy()
     pairs[-1] = 0
     pairs[-1, -1] = seen[0][:, -1].sum()
-    adam = Adam(model.parts())
     # Each part was trained to predict alone.
     for k in model.contexts:
         k *= np.float32(0.7)
+    adam = Adam(model.parts())
     for step in range(1, rounds + 1):
-        one, two, _, _ = exponentials(model.scores(0) + model.bias, model.scores(1))
-        ratio = pairs / np.maximum(one @ two.T, np.float32(1e-30))
-        slopes = [one * (ratio @ two) - seen[0], two * (ratio.T @ one) - seen[1]]
-        adam.move([*gradients(model, slopes), slopes[0].sum(axis=0)], JOINT_RATE * (1 - step / (rounds + 1)))
+        one, two = exponentials(model.scores(0) + model.bias, model.scores(1))
+        ratio = one @ two.T
+        np.divide(pairs, np.maximum(ratio, np.float32(1e-30), out=ratio), out=ratio)
+        grads = Gradients(model)
+        slope = ratio @ two
+        slope *= one
+        slope -= seen[0]
+        grads.add(0, slope)
+        slope = np.matmul(ratio.T, one, out=slope)
+        slope *= two
+        slope -= seen[1]
+        grads.add(1, slope, to_bias=False)
+        adam.move(grads.parts(), JOINT_RATE * (1 - step / (rounds + 1)))
     return model
 
 
 def normalised(model: LogBilinear, clusters: slice, unseen: np.ndarray, average: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """log10 of what each context adds for each class (one place before, with the bias; two places before), of the normaliser of each pair of contexts, and of an unseen token's probability after
     each. The last context is an unseen token."""
-    with_average = lambda x: np.vstack([x, average @ x[clusters]]).astype(np.float64)
+    log = np.float32(math.log(10))
+    with_average = lambda x: np.vstack([x, (average @ x[clusters]).astype(np.float32)])
     one, two = with_average(model.scores(0) + model.bias), with_average(model.scores(1))
-    a, b, m, n = exponentials(one, two)
-    whole = a @ b.T
-    strange = (a[:, clusters] * unseen) @ b[:, clusters].T
-    log = math.log(10)
     # Each row from its greatest on, so that numbers of 32 bits are small ones.
-    return tuple((x / log).astype(np.float32) for x in (one - m, two - n, np.log(whole), np.log(strange) - np.log(whole)))
+    for x in (one, two):
+        x -= x.max(axis=1, keepdims=True)
+    a, b = np.exp(one), np.exp(two)
+    whole = a @ b.T
+    strange = (a[:, clusters] * unseen.astype(np.float32)) @ b[:, clusters].T
+    del a, b
+    strange /= whole
+    for x in (one, two):
+        x /= log
+    return one, two, np.log10(whole, out=whole), np.log10(strange, out=strange)
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, frequent: int = FREQUENT) -> DataFrame:
@@ -473,7 +518,11 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: C
     discard(counts, numbers, found, classes)
 
     learned = streams.where(~F.col("held_out"))
+    del some, sums, number, cluster_of, known
     pairs = pairs_of_classes(learned, size, (1, 2))
+    counted_pairs = pairs[0].sum(dtype=np.float64)
+    for x in pairs:
+        x /= np.float32(max(1.0, counted_pairs))
     tables = spark.sparkContext.broadcast(normalised(fitted(trained(pairs), pairs), clusters, unseen_share, average))
 
     def run(batches: Iterator) -> Iterator:
