@@ -16,6 +16,7 @@ from fieldlog.operators import star
 from fieldlog.sources import archive as A
 from fieldlog.sources import game_log as L
 from fieldlog.sources import raw_checks as V
+from fieldlog.sources.reference_files import park_date
 from fieldlog.sources.sinks import work_folder, write_event_files
 
 from .plays import DEALT, FOLDED, PLACED_SQL
@@ -253,3 +254,27 @@ def prefixed(spark: SparkSession, d: str) -> DataFrame:
 
 NAMES = "SELECT 'person' AS kind, CAST(c_custkey AS VARCHAR) AS id, concat(c_mktsegment, ' ', c_name) AS label FROM customer UNION ALL SELECT 'team', CAST(n_nationkey AS VARCHAR), n_name FROM nation UNION ALL SELECT 'park', CAST(s_suppkey AS VARCHAR), s_name FROM supplier"
 add("Q4_names", prefixed, f"WITH n AS ({NAMES}), p(prefix, low) AS (VALUES ('b', 'b'), ('  Building  Customer#0000000', 'building customer#0000000'), ('S', 's'), ('supplier#000000001', 'supplier#000000001'), ('zz', 'zz'), ('', '')) SELECT kind, id, label, CAST(rank AS INT) AS rank, prefix FROM (SELECT *, row_number() OVER (PARTITION BY prefix, kind ORDER BY lower(label), id) AS rank FROM n, p WHERE starts_with(lower(label), low)) WHERE rank <= 7")
+
+
+def dimension_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of people and parks: whole, and without those whom only the tables name. Some parks have a date that is none."""
+    root = root_of(spark, d)
+    read = lambda n: spark.read.parquet(f"{root}/tables/{n}")
+    entries = read("lineup_entries").where("problem IS NULL")
+    everyone, listed = sources(spark, d), view(spark, d, LISTED_PEOPLE)
+    dates = view(spark, d, "SELECT concat('S', CAST(s_suppkey AS STRING)) AS park_id, CASE s_suppkey % 3 WHEN 0 THEN '4/9/1901' WHEN 1 THEN 'spring' END AS start, CAST(NULL AS STRING) AS end FROM supplier")
+    dated = dates.withColumns({"start_date": park_date(F.col("start")), "end_date": park_date(F.col("end"))})
+    parks = dated.unionByName(D.resolved([("observed", D.observed_parks(read("games")))], "park_id", ()), allowMissingColumns=True)
+    out = None
+    for copy, known, places in (("whole", everyone, parks), ("damaged", everyone[:2], dated)):
+        frames = {"entries": entries, "plays": read("plays"), "games": read("games"), "rosters": listed, "people": D.resolved(known, "person_id", ("last", "first")), "parks": places}
+        for name, sql in D.CHECKS.items():
+            used = {n: f for n, f in frames.items() if f"{{{n}}}" in sql}
+            one = spark.sql(sql, **used).agg(F.count(F.lit(1)).alias("n")).select(F.lit(copy).alias("tables"), F.lit(name).alias("check"), "n")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+BAD_DATES = "SELECT count(*) FROM supplier WHERE s_suppkey % 3 = 1"
+LACKING = {"V31_lineup_player": "SELECT count(*) FROM o WHERE person_id NOT LIKE 'P%'", "V32_batter": "SELECT count(*) FROM o WHERE person_id LIKE 'P%' AND person_id NOT IN (SELECT person_id FROM bio) AND person_id NOT IN (SELECT person_id FROM listed)", "V33_roster_person": "SELECT 0", "V34_site": "SELECT count(DISTINCT user_id) FROM events", "V36_park_date": BAD_DATES}
+add("V31_V36_dimensions", dimension_checks, f"WITH {EVERYONE} " + " UNION ALL ".join(f"SELECT '{copy}' AS tables, '{n}' AS \"check\", ({sql if copy == 'damaged' else BAD_DATES if n.startswith('V36') else 'SELECT 0'}) AS n" for copy in ("whole", "damaged") for n, sql in LACKING.items()))
