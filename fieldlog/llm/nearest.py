@@ -1,6 +1,6 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph for each shard, kept as flat arrays.
 
-Rows are dealt to shards of bounded size by a hash of their id, so that a vector which very many rows share is spread over all
+Rows are dealt to shards, whose size grows with the root of the table's, by a hash of their id, so that a vector which very many rows share is spread over all
 shards; within a shard equal vectors are one node with several ids. A shard's graph is one row: ids, vectors, and for each level the
 nodes and their neighbours as flat arrays. Queries go to every shard in blocks; each gives its nearest, with distances in double
 precision on the original vectors, and the shards' results are merged.
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Rows of a shard at least, if the table has as many.
 SHARD_ROWS = 4000
 BLOCK = 2000
 LINKS, BUILD_WIDTH, SEARCH_WIDTH = 14, 48, 100
@@ -169,10 +170,15 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(whole, F.lit(False)) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def shards_of(n: int, shard_rows: int = SHARD_ROWS) -> int:
+    """Shards of n rows. A graph is searched in about the logarithm of its rows, so shards grow with the root of n: n / 100 queries visit n ** 1.5 / 400 graphs, not n * n / 400,000."""
+    return -(-n // max(shard_rows, 4 * math.isqrt(n)))
+
+
 def build(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """From (vec_id, vector, dim): the index, one row a shard."""
-    sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shards = F.create_map(*[F.lit(x) for dim, n in sizes.items() for x in (dim, -(-n // shard_rows))])[F.col("dim")] if sizes else F.lit(1)
+    sizes = {r["dim"]: shards_of(r["n"], shard_rows) for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shards = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("dim")] if sizes else F.lit(1)
 
     def make(keys, t):
         import pyarrow as pa
@@ -194,7 +200,7 @@ def build(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), shards).cast("int"))
     # A graph takes long for its few bytes, so shards are dealt out by number, not by size: two partitions a shard keep most apart.
-    dealt = dealt.repartition(max(1, min(MOST_PARTITIONS, 2 * sum(-(-n // shard_rows) for n in sizes.values()))), "dim", "shard")
+    dealt = dealt.repartition(max(1, min(MOST_PARTITIONS, 2 * sum(sizes.values()))), "dim", "shard")
     return dealt.groupBy("dim", "shard").applyInArrow(make, INDEX)
 
 
@@ -238,10 +244,10 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, every: int = 100) -> DataFrame:
-    """The k nearest of each row whose id is divisible by `every`, among all other rows."""
+def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, every: int = 100, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The k nearest of each row whose id is divisible by `every`, among all other rows. shard_rows: see `shards_of`."""
     vector = F.col(vector_col).cast("array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("vector")).where(usable(F.col("vector")) & F.col("vec_id").isNotNull()).withColumn("dim", F.size("vector"))
-    index = written(build(rows), "hnsw")
+    index = written(build(rows, shard_rows), "hnsw")
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "vector", "dim").dropDuplicates(["query_id"])
     return search(index, queries, k)

@@ -155,6 +155,27 @@ def test_nearest(spark):
     assert hits >= 0.9 * 80 and not set(got.query_id) & {9000, 9100, 9200}
 
 
+def test_nearest_of_several_shards(spark):
+    """Ranks, ids and scores of five shards, merged, against brute force; equal vectors, spread over all shards, come by id."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.standard_normal((900, 8)), np.repeat(rng.standard_normal((2, 8)), 300, axis=0)]).astype(np.float32).astype(float)
+    x = x[rng.permutation(len(x))]
+    assert nearest.shards_of(1500, 300) == 5 and nearest.shards_of(4000) == 1 and nearest.shards_of(10**6) == 250 and nearest.shards_of(10**8) == 2500
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in nearest.nearest_neighbours(vectors, every=20, shard_rows=300).collect()}
+    assert set(got) == {(q, k) for q in range(0, 1500, 20) for k in range(1, 11)}
+    right = 0
+    for q in range(0, 1500, 20):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        order = [i for i in np.lexsort((np.arange(1500), d)) if i != q][:10]
+        mine = [got[q, k] for k in range(1, 11)]
+        assert all(s == d[i] for i, s in mine) and mine == sorted(mine, key=lambda m: (m[1], m[0])) and q not in [i for i, _ in mine]
+        if d[order[-1]] == 0:  # ten or more copies
+            assert [i for i, _ in mine] == order
+        right += sum(a == b for (a, _), b in zip(mine, order))
+    assert right >= 0.98 * 750
+
+
 def test_urls(spark):
     urls = ["https://WWW.Example.org/es/1?a=b", "http://example.org/en/15", "x.org/", None, "http://a.org", "http://a.org/", "http://b.com/fr/x", "http://b.com/de/x#y", "http://c.net/q?u=http://d.org/"]
     got = {r.page_id: (r.host, r.path, r.rule) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
