@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldlog.operators.curated import merged
 from fieldlog.operators.search import holders
 
-from . import checks, earned, files, lines, plays, roles, searches
+from . import checks, earned, files, lines, pages, plays, roles, searches
 from .registry import QUERIES, SQL, WITH, Query, add, on_table, on_view
 from .roles import GAMES, PLAY_TAGS, PLAYS, tables, view
 
