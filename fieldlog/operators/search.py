@@ -521,25 +521,69 @@ class Search:
         # Both sides are one row.
         return found.withColumn("one", F.lit(1)).join(whole.withColumn("one", F.lit(1)), "one").drop("one")
 
+    def _both_ways(self, t: Tables, statuses: tuple[str, ...] | None) -> DataFrame:
+        """The plays of some statuses (None: all) that match with the tags that count, or would with uncertain ones as well, in one pass: __sure and __loose say which. A tag's plays are joined once, with whether
+        the tag is among those that count."""
+        self.check_tables(t)
+        loose, marks = replace(self, uncertain=True), count()
+        df = t.plays if statuses is None else t.plays.where(F.col("parse_status").isin(*statuses))
+        if self.game_types and t.games is not None and "game_type" in t.games.columns:
+            df = df.join(t.games.where(self._of_type()).select("game_key"), "game_key", "left_semi")
+        sure, also = F.lit(True), F.lit(True)
+        for p in self.predicates:
+            if p.test is not None:
+                df = df.where(p.test)
+            elif p.tag is None or self.uncertain:
+                df = df.join(p.keys(t, self), list(p.on), "left_semi")
+            else:
+                mark = f"__sure_{next(marks)}"
+                keys = p.keys(t, loose).withColumn(mark, F.lit(False)).unionByName(p.keys(t, self).withColumn(mark, F.lit(True)))
+                df = df.join(keys.groupBy(*p.on).agg(F.bool_or(mark).alias(mark)), list(p.on))
+                sure = sure & F.col(mark)
+        for kind, searches in self.groups:
+            df, either = self._either(df, t, searches, marks)
+            sure = sure & (either if kind == "any" else ~either)
+            if not self.uncertain and any(p.tag for s in searches for p in s._all()):
+                df, either = loose._either(df, t, searches, marks)
+            also = also & (either if kind == "any" else ~either)
+        if self.curated:
+            df = df.join(t.play_tags.where("source = 'curated'").select("play_id"), "play_id", f"left_{self.curated}")
+        return df.select(*t.plays.columns, sure.alias("__sure"), also.alias("__loose"))
+
+    def _counts(self) -> Column:
+        """Whether a play's status is one that the search asks for."""
+        return F.lit(True) if self.statuses is None else F.coalesce(F.col("parse_status").isin(*self.statuses), F.lit(False))
+
     def excluded(self, t: Tables) -> DataFrame:
-        """Plays that match but for their status, by status; and those that match only with uncertain tags, or are curated."""
-        widened = replace(self, statuses=None).matches(t)
-        by_status = widened.where(~F.col("parse_status").isin(*(self.statuses or ("",)))).groupBy(F.col("parse_status").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-        if self.uncertain:
-            return by_status
-        only = replace(self, uncertain=True).matches(t).join(self.matches(t).select("play_id"), "play_id", "left_anti")
-        return by_status.unionByName(only.agg(F.count(F.lit(1)).alias("n")).select(F.lit("uncertain").alias("reason"), "n"))
+        """reason, n: plays that match but for their status, by status; and those (uncertain) that would match with uncertain tags only. A search that takes uncertain tags has no such row; one that takes any status
+        excludes none by it."""
+        why = F.array_compact(F.array(F.when(F.col("__sure") & ~self._counts(), F.coalesce("parse_status", F.lit("none"))), F.when(F.col("__loose") & ~F.col("__sure") & self._counts(), F.lit("uncertain"))))
+        return tallied(self._both_ways(t, None).select(F.explode(why).alias("reason")), "reason", () if self.uncertain else ("uncertain",))
 
     def force_report(self, t: Tables) -> DataFrame:
-        """How sure the forces are on which a force search rests: outs by certainty, at the base that all force predicates name, and plays of an unknown batter or an untrusted state."""
+        """what, n: how sure the forces are on which a force search rests: outs by certainty, at the base that all force predicates name, and plays of an unknown batter or an untrusted state. One pass over the plays, and one
+        over the outs of theirs."""
         bases = {p.force_at[0] for p in self.predicates if p.force_at}
         at = bases.pop() if len(bases) == 1 else None
-        found = self.matches(t)
-        outs = t.advances.where(F.col("is_out") & F.col("is_force") & (F.lit(True) if at is None else F.col("dest") == at)).join(found.select("play_id"), "play_id", "left_semi")
-        sure = outs.groupBy(F.col("certainty").alias("what")).agg(F.count(F.lit(1)).alias("n"))
-        unknown = found.agg(F.count_if(F.col("batter_ran") == "unknown").alias("n")).select(F.lit("batter unknown").alias("what"), "n")
-        untrusted = replace(self, statuses=("state_untrusted",)).matches(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit("state untrusted").alias("what"), "n")
-        return sure.unionByName(unknown).unionByName(untrusted)
+        wide = replace(self, statuses=None if self.statuses is None else tuple(dict.fromkeys((*self.statuses, "state_untrusted"))))
+        outs = t.advances.where(F.col("is_out") & F.col("is_force") & (F.lit(True) if at is None else F.col("dest") == at))
+        # A play has a few outs.
+        of_play = outs.groupBy("play_id").agg(F.collect_list(F.coalesce("certainty", F.lit("none"))).alias("__outs"))
+        own, none = self._counts(), F.array().cast("array<string>")
+        told = F.concat(
+            F.when(own, F.coalesce("__outs", none)).otherwise(none), F.when(own & (F.col("batter_ran") == "unknown"), F.array(F.lit("batter unknown"))).otherwise(none),
+            F.when(F.col("parse_status") == "state_untrusted", F.array(F.lit("state untrusted"))).otherwise(none),
+        )
+        return tallied(wide.matches(t).join(of_play, "play_id", "left").select(F.explode(told).alias("what")), "what", ("batter unknown", "state untrusted"))
+
+
+def tallied(df: DataFrame, column: str, always: tuple[str, ...]) -> DataFrame:
+    """column, n: how often each value occurs; those of always have a row even if they don't."""
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    if not always:
+        return counts
+    zeros = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, always))).alias(column), F.lit(0).cast("long").alias("n"))
+    return counts.unionByName(zeros).groupBy(column).agg(F.sum("n").alias("n"))
 
 
 def held_spans(entries: DataFrame) -> DataFrame:

@@ -86,18 +86,18 @@ def players(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("B5_player_pages", players, f"""{TOLD}, own AS (SELECT *, CAST(2000 + game_key % 5 AS INT) AS season FROM t), b AS (SELECT batter AS person_id, season, count(*) AS plays FROM own GROUP BY ALL),
-  l AS (SELECT person_id, season, count(DISTINCT game_key) AS games FROM (SELECT 'X' || play_id AS person_id, season, game_key FROM own WHERE play_id % 11 = 3 UNION ALL SELECT unnest(['SP0_' || game_key, 'SP1_' || game_key]), season, game_key FROM own) x GROUP BY ALL)
-  SELECT coalesce(b.person_id, l.person_id) AS person_id, coalesce(b.season, l.season) AS season, plays, games FROM b FULL JOIN l ON l.person_id = b.person_id AND l.season = b.season""")
+  led_up AS (SELECT person_id, season, count(DISTINCT game_key) AS games FROM (SELECT 'X' || play_id AS person_id, season, game_key FROM own WHERE play_id % 11 = 3 UNION ALL SELECT unnest(['SP0_' || game_key, 'SP1_' || game_key]), season, game_key FROM own) x GROUP BY ALL)
+  SELECT coalesce(b.person_id, x.person_id) AS person_id, coalesce(b.season, x.season) AS season, plays, games FROM b FULL JOIN led_up x ON x.person_id = b.person_id AND x.season = b.season""")
 
 
 def parks(spark: SparkSession, d: str) -> DataFrame:
-    """Parks, here ten games each, by season; and the last game of each park's season."""
+    """Parks, of many games each, by season; and the places of their games in the season."""
     held = table(spark, d, "games").withColumn("park", F.concat(F.lit("K"), F.col("user") % 10))
-    last = O.park_games(held).groupBy("park", "season").agg(F.max_by("game_id", "place").alias("last_game"))
+    last = O.park_games(held).groupBy("park", "season").agg(F.max("place").alias("places"), F.max_by("date", "place").alias("last_place"))
     return O.park_seasons(held).join(last, ["park", "season"])
 
 
-add("B9_park_pages", parks, f"""{HELD} SELECT concat('K', "user" % 10) AS park, season, count(*) AS games, min(date) AS first, max(date) AS last, arg_max(game_id, date || game_id) AS last_game FROM held GROUP BY ALL""")
+add("B9_park_pages", parks, f"""{HELD} SELECT concat('K', "user" % 10) AS park, season, count(*) AS games, min(date) AS first, max(date) AS last, CAST(count(*) AS INT) AS places, max(date) AS last_place FROM held GROUP BY ALL""")
 
 
 def covered(spark: SparkSession, d: str) -> DataFrame:

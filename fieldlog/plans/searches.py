@@ -130,5 +130,9 @@ SCOPE = f"FROM games WHERE league = 'L1' AND coalesce(game_type, 'regular') IN (
 add("A1_coverage", lambda s, d: S.league("L1").outs(1).coverage(tables(s, d)).withColumns({"plays": F.col("plays").cast("long"), "completeness": F.round("completeness", 9)}), f"{WITH}, c AS (SELECT * FROM coverage WHERE (season, league) IN (SELECT (season, league) {SCOPE})) SELECT count(*) AS games, CAST(sum(plays) AS BIGINT) AS plays, min(first_day) AS first_day, max(last_day) AS last_day, count(DISTINCT season) AS seasons, count(DISTINCT league) AS leagues, (SELECT CAST(sum(games_missing) AS BIGINT) FROM c) AS missing, (SELECT count(*) FROM c WHERE games_missing IS NULL) AS unmeasured, (SELECT round(sum(games_held) / (sum(games_held) + sum(games_missing)), 9) FROM c WHERE games_missing IS NOT NULL) AS completeness {SCOPE}")
 add("A2_completeness", lambda s, d: tables(s, d).coverage.select("season", "league", F.when(F.col("games_missing").isNotNull(), F.round(F.col("games_held") / (F.col("games_held") + F.col("games_missing")), 9)).alias("completeness")), f"{WITH} SELECT season, league, round(games_held / (games_held + games_missing), 9) AS completeness FROM coverage")
 add("A3_excluded", lambda s, d: S.outs(1).tag("click").excluded(tables(s, d)), f"{WITH} SELECT parse_status AS reason, count(*) AS n FROM plays WHERE outs_before = 1 AND {tagged('click')} AND parse_status <> 'ok' AND {REGULAR} GROUP BY parse_status UNION ALL SELECT 'uncertain', count(*) FROM plays WHERE outs_before = 1 AND {tagged('click', False)} AND NOT {tagged('click')} AND {ALL}")
+EITHER = f"({tagged('click')} OR outs_before = 0)", f"({tagged('click', False)} OR outs_before = 0)"
+NEITHER = f"NOT {tagged('view')}", f"NOT {tagged('view', False)}"
+add("A3_excluded_of_groups", lambda s, d: S.any_of(S.tag("click"), S.outs(0)).none_of(S.tag("view")).half("top").excluded(tables(s, d)), f"{WITH} SELECT parse_status AS reason, count(*) AS n FROM plays WHERE half = 'top' AND {EITHER[0]} AND {NEITHER[0]} AND parse_status <> 'ok' AND {REGULAR} GROUP BY parse_status UNION ALL SELECT 'uncertain', count(*) FROM plays WHERE half = 'top' AND {EITHER[1]} AND {NEITHER[1]} AND NOT ({EITHER[0]} AND {NEITHER[0]}) AND {ALL}")
+add("A3_excluded_untrusted", lambda s, d: S.tag("click").include_uncertain().include_untrusted().excluded(tables(s, d)), f"{WITH} SELECT parse_status AS reason, count(*) AS n FROM plays WHERE {tagged('click', False)} AND parse_status NOT IN ('ok', 'state_untrusted') AND {REGULAR} GROUP BY parse_status")
 FORCED = f"outs_before = 1 AND {child('advances', 'is_out AND is_force AND dest = ' + literal('2'))} AND {REGULAR}"
 add("A4_force_split", lambda s, d: S.outs(1).force_play("2").force_report(tables(s, d)), f"{WITH} SELECT certainty AS what, count(*) AS n FROM advances WHERE is_out AND is_force AND dest = '2' AND play_id IN (SELECT play_id FROM plays WHERE {FORCED} AND {OK}) GROUP BY certainty UNION ALL SELECT 'batter unknown', count(*) FROM plays WHERE {FORCED} AND {OK} AND batter_ran = 'unknown' UNION ALL SELECT 'state untrusted', count(*) FROM plays WHERE {FORCED} AND parse_status = 'state_untrusted'")
