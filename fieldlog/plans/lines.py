@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldlog.sources import auxiliary as X
 from fieldlog.sources import game_records as G
 from fieldlog.sources import reference_files as R
+from fieldlog.sources.archive import manifest
 from fieldlog.sources.event_files import OUTSIDE_QUOTES
+from fieldlog.sources.sinks import work_folder, write_named_files
 
 from .plays import counted, dealt_to, expected
 from .registry import WITH, add
@@ -196,3 +199,47 @@ add("V31_unknown_batters", lambda s, d: view(s, d, PLAYS).join(view(s, d, PEOPLE
 add("V34_unknown_sites", lambda s, d: view(s, d, GAMES).join(view(s, d, PARKS), F.col("park") == F.col("park_id"), "left_anti").select("game_key", "park"), f"{WITH} SELECT game_key, park FROM games WHERE park NOT IN (SELECT park_id FROM parks)")
 add("V35_unknown_team_seasons", lambda s, d: view(s, d, GAMES).select("season", F.explode(F.array("home", "away")).alias("team_id")).distinct().join(view(s, d, TEAMS), ["season", "team_id"], "left_anti"), f"{WITH} SELECT DISTINCT season, team_id FROM (SELECT season, home AS team_id FROM games UNION SELECT season, away FROM games) x WHERE NOT EXISTS (SELECT 1 FROM teams t WHERE t.season = x.season AND t.team_id = x.team_id)")
 add("A17_union", lambda s, d: view(s, d, GAMES).select("season", F.col("home").alias("team_id")).union(view(s, d, GAMES).select("season", "away")).distinct().subtract(view(s, d, TEAMS).select(F.col("season"), "team_id")), f"{WITH} SELECT season, home AS team_id FROM games UNION SELECT season, away FROM games EXCEPT SELECT season, team_id FROM teams")
+
+
+# Auxiliary files and published logs, written out from the given tables, archived and loaded.
+AUX_LINES = f"""SELECT concat('T', lpad(CAST(c_nationkey AS STRING), 2, '0'), CAST(2000 + c_nationkey % 5 AS STRING), '.ROS') AS name, c_custkey AS place, concat_ws(',', {ID}, 'Last', 'First', 'R', 'L', 'T00', 'SS') AS line FROM customer
+  UNION ALL SELECT concat('TEAM', CAST(2000 + n_nationkey % 5 AS STRING)), n_nationkey, concat_ws(',', concat('T', lpad(CAST(n_nationkey AS STRING), 2, '0')), 'A', n_name, 'Nine') FROM nation
+  UNION ALL SELECT 'ballparks.csv', s_suppkey, concat_ws(',', s_suppkey, s_name) FROM supplier UNION ALL SELECT 'other.csv', s_suppkey, s_name FROM supplier"""
+
+
+def auxiliary(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of the archived files; and what checks find, as they are and with the first line of each roster gone."""
+    root = work_folder(spark, "auxiliary")
+    write_named_files(view(spark, d, AUX_LINES), f"{root}/in")
+    X.publish(spark, f"{root}/in", f"{root}/aux")
+    held, all_ = manifest(spark, f"{root}/aux"), X.lines(spark, f"{root}/aux")
+    kinds = X.by_kind(held).select(F.concat(F.lit("kind "), "kind").alias("what"), "files", "records")
+    for copy, lines_ in (("whole", all_), ("damaged", all_.where("kind <> 'roster' OR line_no > 1"))):
+        for name, df in X.checks(lines_, held).items():
+            kinds = kinds.unionByName(df.agg(F.count(F.lit(1)).alias("files")).select(F.lit(f"{copy} {name}").alias("what"), "files", F.lit(0).cast("long").alias("records")))
+    return kinds
+
+
+ROSTERS_SQL = "(SELECT count(DISTINCT c_nationkey) FROM customer)"
+add("S13_S16_auxiliary", auxiliary, f"""SELECT 'kind roster' AS what, count(DISTINCT c_nationkey) AS files, count(*) AS records FROM customer UNION ALL SELECT 'kind team', count(DISTINCT n_nationkey % 5), count(*) FROM nation UNION ALL SELECT 'kind park', 1, count(*) FROM supplier
+  UNION ALL SELECT concat(copy, ' ', name), CASE WHEN copy = 'damaged' AND name <> 'V08_lines_without_file' THEN {ROSTERS_SQL} ELSE 0 END, 0 FROM (VALUES ('whole'), ('damaged')) a(copy), (VALUES ('V07_records_of_file'), ('V08_lines_without_file'), ('V09_bytes_differ')) b(name)""")
+
+
+def loaded(spark: SparkSession, d: str) -> DataFrame:
+    """The table of logs after two loads: the files as they are, then with one of them changed, and with a copy of some lines, which is refused."""
+    root = work_folder(spark, "logs")
+    # No two orders make the same line.
+    line = F.replace("raw_line", F.lit("Harry"), F.concat(F.lit("H"), F.col("line_no").cast("string")))
+    rows = view(spark, d, LOG_LINES).select(F.col("path").alias("name"), F.col("line_no").alias("place"), line.alias("line"))
+    write_named_files(rows, f"{root}/in")
+    X.load_logs(spark, f"{root}/in", root)
+    again = rows.where("name <> 'GLAS.TXT' OR place % 2 = 0")
+    write_named_files(again.unionByName(rows.where("name = 'GLWS.TXT' AND place % 3 = 0").withColumn("name", F.lit("COPY.TXT"))), f"{root}/in")
+    report = X.load_logs(spark, f"{root}/in", root).select(F.element_at(F.split("path", "/"), -1).alias("name"), "state", "records", "malformed")
+    stored = X.log_rows(spark, root).groupBy(F.element_at(F.split("path", "/"), -1).alias("name")).agg(F.count(F.lit(1)).alias("stored"))
+    return report.join(stored, "name", "left")
+
+
+add("S25_loaded_logs", loaded, f"""WITH l AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'GLWS.TXT' WHEN '2-HIGH' THEN 'GLAS.TXT' ELSE concat('GL', CAST(year(o_orderdate) AS STRING), '.TXT') END AS name, o_orderkey AS place, {READ} AS good FROM orders),
+  a AS (SELECT * FROM l WHERE name <> 'GLAS.TXT' OR place % 2 = 0 UNION ALL SELECT 'COPY.TXT', place, good FROM l WHERE name = 'GLWS.TXT' AND place % 3 = 0)
+  SELECT name, CASE name WHEN 'GLAS.TXT' THEN 'replaced' WHEN 'COPY.TXT' THEN 'refused' ELSE 'current' END AS state, count(*) FILTER (WHERE good) AS records, count(*) FILTER (WHERE NOT good) AS malformed, CASE WHEN name <> 'COPY.TXT' THEN nullif(count(*) FILTER (WHERE good), 0) END AS stored FROM a GROUP BY name""")

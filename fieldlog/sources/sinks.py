@@ -40,6 +40,19 @@ def write_event_files(lines: DataFrame, root: str, game: list[str], order: list[
             fs.rename(path(name), path(f"{root}/{season}T{k}.{suffix}"))
 
 
+def write_named_files(lines: DataFrame, root: str) -> None:
+    """Lines (name, place, line) as one file a name below root, in the order of their places."""
+    spark = lines.sparkSession
+    lines.repartition("name").sortWithinPartitions("name", "place").select("name", F.col("line").alias("value")).write.mode("overwrite").partitionBy("name").text(root)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.globStatus(path(f"{root}/name=*")):
+        for f in fs.listStatus(folder.getPath()):
+            if not f.getPath().getName().startswith(("_", ".")):
+                fs.rename(f.getPath(), path(f"{root}/{folder.getPath().getName().partition('=')[2]}"))
+        fs.delete(folder.getPath(), True)
+
+
 def replace_partitions(df: DataFrame, path: str, by: str = BY) -> None:
     """Rewrites the partitions that df has rows of, and leaves the others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
