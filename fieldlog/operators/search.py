@@ -587,9 +587,9 @@ def tallied(df: DataFrame, column: str, always: tuple[str, ...]) -> DataFrame:
 
 
 def held_spans(entries: DataFrame) -> DataFrame:
-    """game_key, team, position, player, from_seq, to_seq of entries (game_key, team, position, player, seq; a starter's seq is null)."""
+    """game_key, team, position, player, from_seq, to_seq of entries (game_key, team, position, player, seq; a starter's seq is null). Of entries at one place the largest player's stands."""
     at = F.coalesce("seq", F.lit(0))
-    w = W.partitionBy("game_key", "team", "position").orderBy(at)
+    w = W.partitionBy("game_key", "team", "position").orderBy(at, "player")
     return entries.select("game_key", "team", "position", "player", at.alias("from_seq"), F.lead(at).over(w).alias("to_seq"))
 
 
@@ -599,8 +599,8 @@ def holders(plays: DataFrame, entries: DataFrame) -> DataFrame:
     numbers = range(1, 10)
     p = plays.select("game_key", (1 - F.col("batting_team")).alias("team"), F.col("seq").alias("at"), F.lit(0).alias("is_entry"), "play_id", F.lit(None).cast("int").alias("position"), F.lit(None).cast("string").alias("player"))
     e = entries.select("game_key", "team", F.coalesce("seq", F.lit(0)).alias("at"), F.lit(1).alias("is_entry"), F.lit(None).cast("long").alias("play_id"), F.col("position").cast("int").alias("position"), "player")
-    # A play comes before the entries that follow it.
-    w = W.partitionBy("game_key", "team").orderBy("at", "is_entry").rowsBetween(W.unboundedPreceding, -1)
+    # A play comes before the entries that follow it; of entries at one place the largest player's stands, as in `held_spans`.
+    w = W.partitionBy("game_key", "team").orderBy("at", "is_entry", "player").rowsBetween(W.unboundedPreceding, -1)
     both = p.unionByName(e).withColumns({f"at_{k}": F.last(F.when(F.col("position") == k, F.col("player")), ignorenulls=True).over(w) for k in numbers})
     each = F.array(*[F.struct(F.lit(k).alias("position"), F.col(f"at_{k}").alias("player")) for k in numbers])
     return both.where("is_entry = 0").select("play_id", F.explode(F.filter(each, lambda x: x["player"].isNotNull())).alias("x")).select("play_id", "x.*")

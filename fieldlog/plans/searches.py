@@ -41,7 +41,7 @@ def child(table: str, where: str) -> str:
     return f"play_id IN (SELECT play_id FROM {table} WHERE {where})"
 
 
-HELD = "(SELECT *, coalesce(seq, 0) AS from_seq, lead(coalesce(seq, 0)) OVER (PARTITION BY game_key, team, position ORDER BY coalesce(seq, 0)) AS to_seq FROM entries)"
+HELD = "(SELECT *, coalesce(seq, 0) AS from_seq, lead(coalesce(seq, 0)) OVER (PARTITION BY game_key, team, position ORDER BY coalesce(seq, 0), player) AS to_seq FROM entries)"
 
 
 def held(position: int, player: str) -> str:
