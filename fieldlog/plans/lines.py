@@ -65,7 +65,7 @@ def copies(spark: SparkSession, d: str) -> DataFrame:
     return R.held_elsewhere(logs.where("path = 'COPY.TXT'"), logs.where("path <> 'COPY.TXT'"))
 
 
-add("S24_held_elsewhere", copies, f"SELECT 'COPY.TXT' AS path, path AS other, count(*) AS lines FROM ({LOG_LINES}) WHERE line_no % 3 = 0 AND (SELECT true FROM orders WHERE o_orderkey = line_no AND {READ}) GROUP BY path")
+add("S24_held_elsewhere", copies, f"WITH g AS (SELECT l.path, l.line_no, l.raw_line FROM ({LOG_LINES}) l JOIN orders ON o_orderkey = l.line_no WHERE {READ}) SELECT 'COPY.TXT' AS path, h.path AS other, count(*) AS lines FROM g n JOIN (SELECT DISTINCT path, raw_line FROM g) h ON h.raw_line = n.raw_line WHERE n.line_no % 3 = 0 GROUP BY h.path")
 
 # Comments: the raw line; then kind, whether marked, person, umpire, inning, reversed, date, reason.
 COMMENTS = [

@@ -3,6 +3,7 @@
 import pytest
 
 from fieldlog.operators.search import held_spans, holders
+from fieldlog.sources import reference_files as R
 
 
 @pytest.mark.parametrize("turn", [1, -1])
@@ -11,3 +12,10 @@ def test_entries_at_one_place(spark, turn):
     log = spark.createDataFrame([(1, 1, s, 10 + s) for s in range(1, 7)][::turn], "game_key long, batting_team int, seq long, play_id long")
     assert [r.player for r in holders(log, entries).orderBy("play_id").collect()] == ["b"] * 4 + ["d"] * 2
     assert sorted((r.player, r.from_seq, r.to_seq) for r in held_spans(entries).collect() if r.from_seq != r.to_seq) == [("b", 0, 4), ("d", 4, None)]
+
+
+def test_shared_lines_count_once(spark):
+    schema = "path string, game_id string, raw_line string"
+    new = spark.createDataFrame([("new", "g", "x"), ("new", "g", "x"), ("new", "h", "y")], schema)
+    held = spark.createDataFrame([("a", "g", "x"), ("a", "g", "x"), ("b", "g", "x"), ("new", "h", "y")], schema)
+    assert sorted(tuple(r) for r in R.held_elsewhere(new, held).collect()) == [("new", "a", 2), ("new", "b", 2)]
