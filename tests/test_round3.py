@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fieldlog.operators import curated as K
 from fieldlog.operators.search import held_spans, holders
 from fieldlog.plans import files
+from fieldlog.sources import event_files as E
 from fieldlog.sources import reference_files as R
 
 
@@ -31,3 +32,11 @@ def test_notes_of_games_with_one_id(spark, tmp_path):
     files.noted(spark, str(tmp_path)).write.partitionBy("k").text(f"{tmp_path}/notes")
     found = K.load(spark, f"{tmp_path}/notes")
     assert sorted((r.seq, r.tag) for r in found.collect()) == [(s, t) for s in (5, 7) for t in ("HiddenBallTrick", "Strikeout")] and found.select("game_id").distinct().count() == 1
+
+
+def test_fields_as_by_the_pattern(spark):
+    lines = ['a,"b,c",d', 'a,"b', '"a,b', ',"",', '"x, y"', 'a,b"c,d"e,f', '"a ""q"", z",1', '",",",', "plain,line,", "", f'a{E.SIGN},"b,c",d']
+    df = spark.createDataFrame([(x,) for x in lines], "raw string")
+    by_pattern = F.transform(F.split("raw", E.OUTSIDE_QUOTES), lambda x: F.regexp_replace(x, '^"(.*)"$', "$1"))
+    for r in df.select("raw", E.fields(F.col("raw")).alias("ours"), F.when(F.col("raw").contains('"'), by_pattern).otherwise(F.split("raw", ",")).alias("theirs")).collect():
+        assert r.ours == r.theirs, r.raw
