@@ -13,7 +13,7 @@ from fieldlog.sources.archive import manifest
 from fieldlog.sources.event_files import OUTSIDE_QUOTES
 from fieldlog.sources.sinks import work_folder, write_named_files
 
-from .plays import counted, dealt_to, expected
+from .plays import counted, dealt_once, expected
 from .registry import WITH, add
 from .roles import COVERAGE, GAMES, PARKS, PEOPLE, PLAY_TAGS, PLAYS, ROSTERS, TEAMS, view
 
@@ -84,7 +84,7 @@ COMMENTS = [
     ("com", "text", False, None, None, None, None, None, None),
 ]
 TOLD = ("kind", "marker", "person", "umpire", "inning_of", "reversed", "date", "reason")
-add("C1_classify", lambda s, d: counted(G.classified(dealt_to(s, d, [r[:1] for r in COMMENTS], "raw_line string")), "raw_line", *TOLD), expected(COMMENTS, f"raw_line, {', '.join(TOLD)}"))
+add("C1_classify", lambda s, d: counted(G.classified(dealt_once(s, d, [r[:1] for r in COMMENTS], "raw_line string")), "raw_line", *TOLD), expected(COMMENTS, f"raw_line, {', '.join(TOLD)}"))
 LINEUPS = [
     ('start,griff001,"Griffey, Ken Jr.",0,3,8', "griff001", "Griffey, Ken Jr.", 0, 3, 8, None),
     ('sub,hemsr101,"Rollie Hemsley",0,9,11 ', "hemsr101", "Rollie Hemsley", 0, 9, 11, None),
@@ -93,7 +93,7 @@ LINEUPS = [
     ("start,short", None, None, None, None, None, "unreadable"),
 ]
 PLACES = ("person", "name", "team", "batting_order", "position", "problem")
-add("C4_lineup", lambda s, d: counted(G.lineup(dealt_to(s, d, [r[:1] for r in LINEUPS], "raw_line string")), "raw_line", *PLACES), expected(LINEUPS, f"raw_line, {', '.join(PLACES)}"))
+add("C4_lineup", lambda s, d: counted(G.lineup(dealt_once(s, d, [r[:1] for r in LINEUPS], "raw_line string")), "raw_line", *PLACES), expected(LINEUPS, f"raw_line, {', '.join(PLACES)}"))
 
 # Records of games: the plays of the log view, some without a play (NP), and comments after every fourth: replays that name a batter, and prose.
 RECORDS = f"""SELECT game_key, 2 * seq AS place, true AS is_play, play_id, concat('P', CAST(play_id % 5 AS STRING)) AS batter, CASE WHEN play_id % 6 = 0 THEN 'NP' ELSE 'S7' END AS event, CAST(NULL AS STRING) AS person, CAST(NULL AS BOOLEAN) AS reversed FROM ({PLAYS}) p
@@ -106,11 +106,11 @@ add("R14_verdicts", lambda s, d: G.verdicts(G.attached(view(s, d, RECORDS))), f"
 
 # Scalars: dates in two spellings, whole numbers, signs in a string, one-line descriptions, JSON.
 DATES = [("1990/5/3", "1990-05-03"), ("12/31/1999", "1999-12-31"), ("1990-05-03", "1990-05-03"), ("", ""), ("5/1990", "5/1990"), (None, None)]
-add("F6_dates", lambda s, d: counted(dealt_to(s, d, [r[:1] for r in DATES], "raw string").withColumn("date", R.loose_date(F.col("raw"))), "raw", "date"), expected(DATES, "raw, date"))
+add("F6_dates", lambda s, d: counted(dealt_once(s, d, [r[:1] for r in DATES], "raw string").withColumn("date", R.loose_date(F.col("raw"))), "raw", "date"), expected(DATES, "raw, date"))
 add("F4_json", lambda s, d: counted(s.read.parquet(f"{d}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("long")), "k"), "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
 add("F8_signs", lambda s, d: counted(view(s, d, PLAYS).withColumn("runners", (F.length("bases_before") - F.length(F.replace("bases_before", F.lit("1"), F.lit("")))).cast("long")), "runners"), f"{WITH} SELECT CAST(length(bases_before) - length(replace(bases_before, '1', '')) AS BIGINT) AS runners, count(*) AS n FROM plays GROUP BY 1")
 add("F11_described", lambda s, d: view(s, d, COVERAGE).select(F.concat_ws(" ", "season", "league", F.format_string("%d games", "games_held"), F.when(F.col("games_missing").isNull(), "unmeasured").otherwise(F.format_string("%d missing", "games_missing"))).alias("line")), f"{WITH} SELECT concat(season, ' ', league, ' ', games_held, ' games ', CASE WHEN games_missing IS NULL THEN 'unmeasured' ELSE concat(games_missing, ' missing') END) AS line FROM coverage")
-add("F3_quotes", lambda s, d: counted(dealt_to(s, d, [('a,"b,c",d',), ("a,b",), ('"x, y"',)], "raw string").withColumn("parts", F.size(F.split("raw", OUTSIDE_QUOTES)).cast("long")), "raw", "parts"), expected([('a,"b,c",d', 3), ("a,b", 2), ('"x, y"', 1)], "raw, parts"))
+add("F3_quotes", lambda s, d: counted(dealt_once(s, d, [('a,"b,c",d',), ("a,b",), ('"x, y"',)], "raw string").withColumn("parts", F.size(F.split("raw", OUTSIDE_QUOTES)).cast("long")), "raw", "parts"), expected([('a,"b,c",d', 3), ("a,b", 2), ('"x, y"', 1)], "raw, parts"))
 
 
 # Reports.

@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fieldlog.functions.events import parsed
+from fieldlog.functions.moves import moved, read
 from fieldlog.operators import curated as K
 from fieldlog.operators.search import held_spans, holders
-from fieldlog.plans import files
+from fieldlog.plans import files, plays
 from fieldlog.sources import event_files as E
 from fieldlog.sources import reference_files as R
 
@@ -40,3 +42,11 @@ def test_fields_as_by_the_pattern(spark):
     by_pattern = F.transform(F.split("raw", E.OUTSIDE_QUOTES), lambda x: F.regexp_replace(x, '^"(.*)"$', "$1"))
     for r in df.select("raw", E.fields(F.col("raw")).alias("ours"), F.when(F.col("raw").contains('"'), by_pattern).otherwise(F.split("raw", ",")).alias("theirs")).collect():
         assert r.ours == r.theirs, r.raw
+
+
+def test_texts_are_read_once(spark):
+    df = spark.createDataFrame([(i, e) for i, e in enumerate(["S7", "K", None, "S7", "XX", None, "64(1)3/GDP/G6", "K"])], "k long, event string")
+    assert sorted(map(str, read(df).select("k", "event", "parse_ok", "entries", "outs", "move_b").collect())) == sorted(map(str, moved(parsed(df)).select("k", "event", "parse_ok", "entries", "outs", "move_b").collect()))
+    assert read(df).count() == 8
+    dealt = plays.dealt_once(spark, "/root/testdata/sf0.001", [("S7",), ("K",), ("S7",)], "event string")
+    assert dealt.count() == 2 and plays.counted(dealt, "event").agg(F.sum("n")).first()[0] == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
