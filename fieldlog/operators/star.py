@@ -134,7 +134,9 @@ CHECKS = {
 
 def violations(tables: dict[str, DataFrame], only: str | None = None) -> DataFrame:
     """check, n, first (the smallest key): all checks, or one, over plays, advances, credits, sequences, play_tags, games and tags."""
-    frames = tables | {"trusted": tables["plays"].where("parse_status = 'ok'")}
+    # Few bytes a row in the files make plays look small enough to be sent to every task through the driver, and every check would do so at once: what grows with the log is merged instead.
+    frames = {n: df if n == "tags" else df.hint("merge") for n, df in tables.items()}
+    frames |= {"trusted": frames["plays"].where("parse_status = 'ok'")}
     spark, out = tables["plays"].sparkSession, None
     for name, sql in CHECKS.items() if only is None else [(only, CHECKS[only])]:
         used = {n: df for n, df in frames.items() if f"{{{n}}}" in sql}

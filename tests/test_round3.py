@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fieldlog.functions.events import parsed
 from fieldlog.functions.moves import moved, read
 from fieldlog.operators import curated as K
+from fieldlog.operators import star
 from fieldlog.operators.search import held_spans, holders
 from fieldlog.plans import files, plays
 from fieldlog.sources import event_files as E
@@ -50,3 +51,14 @@ def test_texts_are_read_once(spark):
     assert read(df).count() == 8
     dealt = plays.dealt_once(spark, "/root/testdata/sf0.001", [("S7",), ("K",), ("S7",)], "event string")
     assert dealt.count() == 2 and plays.counted(dealt, "event").agg(F.sum("n")).first()[0] == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
+def test_checks_send_no_log_through_the_driver(spark):
+    """Every join of the checks but that with the list of tags is made without a broadcast."""
+    types = {n: "play_id long, game_key long, inning int, half string, seq long, tag string, origin string, is_out boolean, scored boolean, is_force boolean, certainty string, runner_id string, outs_before int, outs int, outs_after int, bases_before string, bases_after string, runs int, batter_ran string, parse_status string, hit_location string" for n in ("plays", "advances", "credits", "sequences", "play_tags")}
+    types |= {"games": "game_key long, plays long", "tags": "name string"}
+    frames = {n: spark.createDataFrame([], t) for n, t in types.items()}
+    for name in star.CHECKS:
+        if name != "V15_tag_without_name":
+            plan = star.violations(frames, only=name)._jdf.queryExecution().sparkPlan().toString()
+            assert "Broadcast" not in plan, name
