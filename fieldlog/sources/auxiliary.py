@@ -6,12 +6,14 @@
 
 Defined cases: names that fit no kind are left alone, whatever they hold. A file whose line ends differ within it comes out as it went in, for each line keeps its own; it is told of in `mixed`. Files of no bytes aren't seen, as Spark's
 reader leaves them out. No auxiliary file at all makes no version. Log lines that can't be read are counted and left out. A log file that holds lines which another path holds already, or which a new file of a smaller path
-brings too, is refused whole: one game would count twice. A log file that is held and has changed replaces its own rows alone; one that isn't below the folder any more keeps its rows.
+brings too, is refused whole: one game would count twice. A log file that is held and has changed replaces its own rows alone; one that isn't below the folder any more keeps its rows. Log files
+are read by lines, so their size is no matter; a byte order mark before the first line is left out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import archive as A
@@ -25,6 +27,8 @@ ROSTER, TEAM = "(?i)^[A-Z0-9]{3}([0-9]{4})\\.ROS$", "(?i)^TEAM([0-9]{4})$"
 #: Names that can fit at all, so that the others aren't read.
 NAMES = f"{{*.[Rr][Oo][Ss],[Tt][Ee][Aa][Mm][0-9][0-9][0-9][0-9],{','.join(LISTS)}}}"
 LOG_NAMES = "{*.txt,*.TXT}"
+#: Lines of a log file whose hashes are put together at a time.
+RUN = 1000
 
 
 def name_of(path: Column) -> Column:
@@ -91,22 +95,47 @@ def overlaps(rows: DataFrame, held: DataFrame | None) -> DataFrame:
     return among if held is None else R.held_elsewhere(rows, held).unionByName(among).groupBy("path", "other").agg(F.max("lines").alias("lines"))
 
 
+def log_text(spark: SparkSession, folder: str, names: str) -> DataFrame:
+    """path, block (where the part of the file begins that a task reads), id (in order within a block, without gaps), raw_line, hash of the lines of the files below folder. Large files are read in parts, by several tasks."""
+    text = spark.read.option("pathGlobFilter", names).option("recursiveFileLookup", True).option("lineSep", "\n").text(folder)
+    # As the reader of whole files spells paths: decoded, and without an empty authority.
+    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^([A-Za-z0-9]+):///", "$1:/")
+    raw = text.select(path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("value"))
+    return raw.select("path", "block", "id", F.regexp_replace(E.text_of(F.col("value")), "\r$", "").alias("raw_line"), F.unhex(F.sha2("value", 256)).alias("hash"))
+
+
+def numbered(read: DataFrame) -> DataFrame:
+    """Stored lines (path, block, id, ...) with line_no (from 1) in place of block and id. Only the blocks' sizes, a row a block, are added up by file."""
+    blocks = read.groupBy("path", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    at = blocks.select("path", "block", "first", before.alias("before"))
+    return read.join(F.broadcast(at), ["path", "block"]).withColumn("line_no", (F.col("id") - F.col("first") + F.col("before") + 1).cast("int")).drop("block", "id", "first", "before")
+
+
+def digests(lines_: DataFrame) -> DataFrame:
+    """path, digest of numbered lines (path, line_no, hash): of the digests of runs of lines, so that no task holds a file."""
+    run = ((F.col("line_no") - 1) / RUN).cast("long")
+    in_order = lambda place, x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, x))), lambda r: r[x] if x != "hash" else F.hex(r[x])), "")
+    runs = lines_.groupBy("path", run.alias("run")).agg(F.sha2(in_order("line_no", "hash"), 256).alias("of_run"))
+    return runs.groupBy("path").agg(F.sha2(in_order("run", "of_run"), 256).alias("digest"))
+
+
 def load_logs(spark: SparkSession, folder: str, root: str, names: str = LOG_NAMES) -> DataFrame:
     """Loads new and changed log files into the table game_logs below root, by file. Gives path, state (loaded, replaced, current, refused), records, malformed, and for refused files other (the smallest path that holds
     lines of theirs) and shared (how many)."""
-    files = E.event_files(spark, folder, names)
     held = log_rows(spark, root)
-    about = E.provenance(files).select("path", "digest")
+    # What is known and read of the files is set down before the table changes; the steps below read it from there.
+    text = R.game_logs(log_text(spark, folder, names), ("path", "block", "id", "hash")).withColumn("series", R.series(F.col("path")))
+    text = numbered(sinks.set_down(text, f"{root}/.logs_lines"))
+    about = digests(text)
     if held is None:
         about = about.withColumn("state", F.lit("loaded"))
     else:
         was = held.select("path", F.col("digest").alias("was")).distinct()
         about = about.join(was, "path", "left").withColumn("state", F.when(F.col("was").isNull(), "loaded").when(F.col("was") == F.col("digest"), "current").otherwise("replaced")).drop("was")
-    # What is known and read of the files is set down before the table changes; the steps below read it from there.
     about = sinks.set_down(about, f"{root}/.logs_about")
-    text = E.lines(files).where("trim(raw_line) <> ''").join(about, "path")
-    read = R.game_logs(text.select("path", "line_no", "raw_line")).withColumn("series", R.series(F.col("path"))).join(about, "path")
-    read = sinks.set_down(read, f"{root}/.logs_read")
+    # A row a file.
+    read = text.where("trim(raw_line) <> ''").drop("hash").join(F.broadcast(about), "path")
     good = read.where("problem IS NULL")
     refused = sinks.set_down(overlaps(good.where("state <> 'current'").select("path", "game_id", "raw_line"), held), f"{root}/.logs_refused")
     own = good.where("state <> 'current'").join(refused.select("path").distinct(), "path", "left_anti").drop("state", "problem").withColumn("file", F.hex(F.xxhash64("path")))

@@ -94,15 +94,15 @@ def appearances(lines: DataFrame) -> DataFrame:
     return df.select("path", "line_no", at(0).alias("person_id"), at(1).alias("last"), at(2).alias("first"), or_null(at(3)).alias("bats"), or_null(at(4)).alias("throws"), at(place("team")).alias("team"), *[x.alias(c) for c, x in n.items()], iso_date(at(place("first_g"))).alias("first_g"), iso_date(at(place("last_g"))).alias("last_g"), whole_number(at(place("season"))).alias("season"), problem.alias("problem"))
 
 
-def game_logs(lines: DataFrame) -> DataFrame:
-    """The fields of LOG, typed, with game_id and the raw line; quoted fields may hold commas."""
+def game_logs(lines: DataFrame, keys: Sequence[str] = ("path", "line_no")) -> DataFrame:
+    """The fields of LOG, typed, with the keys of a line, game_id and the raw line; quoted fields may hold commas."""
     df = lines.withColumn("fields", fields(F.col("raw_line")))
     x = {name: at(i) for name, i in LOG.items()}
     numbers = ("away_score", "home_score", "outs", "away_er", "away_er_team", "home_er", "home_er_team")
     typed = {n: whole_number(c) if n in numbers else or_null(c) if n in ("park",) else c for n, c in x.items()} | {"date": iso_date(x["date"]), "number": F.coalesce(or_null(x["number"]), F.lit("0"))}
     digit = F.when(x["number"] == "A", "1").when(x["number"] == "B", "2").when(x["number"].rlike("^[0-9]+$"), x["number"]).otherwise("0")
     problem = first_problem(number_of_fields=F.size("fields") != LOG_FIELDS, date=~x["date"].rlike("^[0-9]{8}$"), score=whole_number(x["away_score"]).isNull() | whole_number(x["home_score"]).isNull())
-    return df.select("path", "line_no", *[c.alias(n) for n, c in typed.items()], F.concat(x["home"], x["date"], digit).alias("game_id"), "raw_line", problem.alias("problem"))
+    return df.select(*keys, *[c.alias(n) for n, c in typed.items()], F.concat(x["home"], x["date"], digit).alias("game_id"), "raw_line", problem.alias("problem"))
 
 
 def series(path: Column) -> Column:

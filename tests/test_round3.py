@@ -9,6 +9,7 @@ from fieldlog.operators import curated as K
 from fieldlog.operators import star
 from fieldlog.operators.search import held_spans, holders
 from fieldlog.plans import files, plays
+from fieldlog.sources import auxiliary as X
 from fieldlog.sources import event_files as E
 from fieldlog.sources import reference_files as R
 
@@ -62,3 +63,26 @@ def test_checks_send_no_log_through_the_driver(spark):
         if name != "V15_tag_without_name":
             plan = star.violations(frames, only=name)._jdf.queryExecution().sparkPlan().toString()
             assert "Broadcast" not in plan, name
+
+
+def test_log_files_are_read_in_parts(spark, tmp_path):
+    """Lines keep their numbers and files their digests, however they are cut."""
+    (tmp_path / "in/a b+c%").mkdir(parents=True)
+    data = "".join(f"line {i},\xe9{'x' * (i % 7)}{chr(13) if i % 3 == 0 else ''}\n" if i % 5 else "\n" for i in range(3000)).encode("latin-1") + b"last"
+    (tmp_path / "in/a b+c%/GL2000.TXT").write_bytes(data)
+    (tmp_path / "in/two.txt").write_bytes(b"\n\nx")
+    want = {r.path: r for r in E.event_files(spark, f"file://{tmp_path}/in", X.LOG_NAMES).collect()}
+    seen = []
+    for size in ("128m", "2000b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            text = X.log_text(spark, f"file://{tmp_path}/in", X.LOG_NAMES)
+            assert (text.select("path", "block").distinct().count() > 2) == (size != "128m")
+            text.write.parquet(f"{tmp_path}/{size}")
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        lines = X.numbered(spark.read.parquet(f"{tmp_path}/{size}"))
+        for path, f in want.items():
+            assert [(r.line_no, r.raw_line) for r in lines.where(F.col("path") == path).orderBy("line_no").collect()] == [(i + 1, x.removesuffix("\r")) for i, x in enumerate(bytes(f.content).decode("latin-1").split("\n"))]
+        seen.append({r.path: r.digest for r in X.digests(lines).collect()})
+    assert seen[0] == seen[1] and set(seen[0]) == set(want) and len(set(seen[0].values())) == 2
