@@ -50,28 +50,41 @@ def mixed(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(13))
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream; they depend on the ids alone."""
-    g = mixed(ids)
-    rolled = g.copy()
-    for j in range(1, min(WINDOW, len(ids))):
-        rolled[j:] += g[:-j] << np.uint32(j)
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Where a stream may be cut: numbers of ids before each place. Streams may stand one after another: what is before a stream reaches its first WINDOW - 1 places only, and none of them is LEAST ids from its start."""
+    rolled = mixed(ids)
+    width = 1
+    # The sum over the last WINDOW numbers, each shifted by its distance; by doubling.
+    while width < WINDOW:
+        before = rolled[:-width] << np.uint32(width)
+        rolled[width:] += before
+        width *= 2
+    return np.flatnonzero((rolled >> np.uint32(20)) % np.uint32(AVERAGE) == 0) + 1
+
+
+def ends(places: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a stream of n ids that may be cut at places."""
     out, at = [], 0
-    for k in (np.flatnonzero((rolled >> np.uint32(20)) % np.uint32(AVERAGE) == 0) + 1).tolist():
+    for k in places:
         while k - at > MOST:
             at += MOST
             out.append(at)
         if k - at >= LEAST:
             out.append(k)
             at = k
-    while len(ids) - at > MOST:
+    while n - at > MOST:
         at += MOST
         out.append(at)
-    if at < len(ids):
-        out.append(len(ids))
+    if at < n:
+        out.append(n)
     return out
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one id stream; they depend on the ids alone."""
+    return ends(marks(ids).tolist(), len(ids))
+
+
 def merkle(names: list[bytes]) -> bytes:
     """Root of the binary hash tree over the names; an odd one is carried up."""
     level = [hashlib.sha256(b"\0" + x).digest() for x in names] or [hashlib.sha256(b"").digest()]
@@ -132,24 +145,35 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
         import pyarrow as pa
 
         coder, end, sent = library_coder(path), END_ID.to_bytes(4, "little"), set()
-        new_kind = pa.list_(pa.struct([("chunk", pa.binary()), ("n", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary())]))
         for b in batches:
-            counts, roots, lists, news = [], [], [], []
-            for text in b.column(1).to_pylist():
-                ids = np.frombuffer(coder.ids(text) + end, "<u4")
-                names, new, at = [], [], 0
-                for k in cuts(ids):
-                    part = ids[at:k].tobytes()
+            streams = [coder.ids(text) + end for text in b.column(1).to_pylist()]
+            stops = np.cumsum([len(x) // 4 for x in streams], dtype=np.int64)
+            ids = np.frombuffer(b"".join(streams), "<u4")
+            # One rolling hash over the whole batch.
+            places = marks(ids)
+            firsts = np.searchsorted(places, stops, side="right").tolist()
+            narrow = None if len(ids) and ids.max() > 65535 else ids.astype("<u2").tobytes()
+            counts, roots, lists, offsets = [], [], [], [0]
+            new_names, new_n, new_wide, new_ids = [], [], [], []
+            start = low = 0
+            for stream, stop, high in zip(streams, stops.tolist(), firsts):
+                names, at = [], 0
+                for k in ends((places[low:high] - start).tolist(), stop - start):
+                    part = stream[4 * at : 4 * k]
                     names.append(name := name_of(part))
                     if name not in sent:
                         if len(sent) >= SENT:
                             sent.clear()
                         sent.add(name)
-                        wide = bool((ids[at:k] > 65535).any())
-                        new.append({"chunk": name, "n": k - at, "wide": wide, "ids": part if wide else ids[at:k].astype("<u2").tobytes()})
+                        wide = narrow is None and bool((ids[start + at : start + k] > 65535).any())
+                        new_names.append(name), new_n.append(k - at), new_wide.append(wide)
+                        new_ids.append(part if wide else narrow[2 * (start + at) : 2 * (start + k)] if narrow is not None else ids[start + at : start + k].astype("<u2").tobytes())
                     at = k
-                counts.append(len(ids)), roots.append(merkle(names)), lists.append(names), news.append(new)
-            columns = [b.column(0), pa.array(counts, pa.int64()), pa.array(roots, pa.binary()), pa.array(lists, pa.list_(pa.binary())), pa.array(news, new_kind)]
+                counts.append(stop - start), roots.append(merkle(names)), lists.append(names), offsets.append(len(new_names))
+                start, low = stop, high
+            fields = {"chunk": pa.array(new_names, pa.binary()), "n": pa.array(new_n, pa.int64()), "wide": pa.array(new_wide, pa.bool_()), "ids": pa.array(new_ids, pa.binary())}
+            news = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
+            columns = [b.column(0), pa.array(counts, pa.int64()), pa.array(roots, pa.binary()), pa.array(lists, pa.list_(pa.binary())), news]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "root", "chunks", "new"])
 
     small_batches(spark)
