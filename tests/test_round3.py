@@ -8,9 +8,11 @@ from fieldlog.functions.events import parsed
 from fieldlog.functions.moves import moved, read
 from fieldlog.llm import id_store as I
 from fieldlog.operators import curated as K
+from fieldlog.operators import ingest
 from fieldlog.operators import star
 from fieldlog.operators.search import held_spans, holders
 from fieldlog.plans import files, plays
+from fieldlog.sources import archive as A
 from fieldlog.sources import auxiliary as X
 from fieldlog.sources import event_files as E
 from fieldlog.sources import reference_files as R
@@ -56,6 +58,20 @@ def test_texts_are_read_once(spark):
     assert dealt.count() == 2 and plays.counted(dealt, "event").agg(F.sum("n")).first()[0] == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
 
 
+def test_archived_texts_are_read_once(spark):
+    """The archive's check and the tables' log parse different texts, not plays; the counts are those of the plays."""
+    events = {"a": ["S7", "S7", "XX", "K", "XX", "XX", ""], "b": ["K"], "c": []}
+    rows = [(p, i + 2, f"play,1,0,x,00,,{e}", "\n", 2000, "d") for p, texts in events.items() for i, e in enumerate(texts)] + [(p, 1, "id,AAA200001010", "\n", 2000, "d") for p in events]
+    lines = spark.createDataFrame(rows, "path string, line_no int, raw_line string, line_end string, season int, digest string")
+    checks = A.event_checks(lines)
+    assert sorted(map(tuple, checks.select("path", "plays", "unparsed", "altered").collect())) == [("a", 6, 3, 0), ("b", 1, 0, 0)]
+    recs = E.records(lines).withColumns({"game_key": F.xxhash64("path", "game_id"), "nth": F.lit(1)})
+    for df in (checks, ingest.folded(recs)):
+        # The parts of an event are made above an aggregate of its text.
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert any("Aggregate [event" in x or "Aggregate [text" in x or "Aggregate [array_join" in x or "Aggregate [_groupingexpression" in x for x in plan.splitlines())
+
+
 def test_checks_send_no_log_through_the_driver(spark):
     """Every join of the checks but that with the list of tags is made without a broadcast."""
     types = {n: "play_id long, game_key long, inning int, half string, seq long, tag string, origin string, is_out boolean, scored boolean, is_force boolean, certainty string, runner_id string, outs_before int, outs int, outs_after int, bases_before string, bases_after string, runs int, batter_ran string, parse_status string, hit_location string" for n in ("plays", "advances", "credits", "sequences", "play_tags")}
