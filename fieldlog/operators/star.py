@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from fieldlog.functions import events as E
 from fieldlog.functions import tags as T
-from fieldlog.functions.moves import read
 from fieldlog.operators.curated import merged
-from fieldlog.operators.fold import contaminated, replayed, scored
+from fieldlog.operators.fold import contaminated, replayed_log, scored
 from fieldlog.operators.search import Tables
 
 KEYS = ("season", "game_key", "seq", "play_id")
@@ -27,7 +26,7 @@ PLAYS = (
 
 def derived(log: DataFrame) -> DataFrame:
     """From a log (season, game_key, seq, play_id, inning, half, batter, event): the folded, scored and tagged frame that all tables come from."""
-    return finished(replayed(read(log)))
+    return finished(replayed_log(log))
 
 
 def finished(folded: DataFrame) -> DataFrame:

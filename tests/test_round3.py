@@ -10,6 +10,7 @@ from fieldlog.llm import id_store as I
 from fieldlog.operators import curated as K
 from fieldlog.operators import ingest
 from fieldlog.operators import star
+from fieldlog.operators.fold import replayed, replayed_log
 from fieldlog.operators.search import held_spans, holders
 from fieldlog.plans import earned, files, plays
 from fieldlog.sources import archive as A
@@ -83,6 +84,20 @@ def test_halves_are_folded_once(spark, tmp_path):
     assert earned.each(spark, str(tmp_path), verdicts).count() == 3 * verdicts.count() + sum(v.count("|") + 1 for i, v in whole.items() if i in (0, n - 1))
 
 
+def test_parts_of_events_stay_out_of_the_fold(spark):
+    """What the fold collects are moves, not parts of events; flags and statuses resolve no movement; the rows are those of a fold of whole plays."""
+    events = ["S7", "W.1-2", "CS3(25)", "K/DP.1X2(26)", "XX", "K", "D8.3-H", "64(1)3/GDP", "K"]
+    rows = [(g, i, i // 6, "top", f"p{i}", events[(i * 5 + g) % len(events)]) for g in range(3) for i in range(18)]
+    df = spark.createDataFrame(rows, "game_key long, seq long, inning int, half string, batter string, event string")
+    ours, whole = replayed_log(df), replayed(read(df))
+    columns = ["game_key", "seq", "event", "b1", "b2", "b3", "outs_before", "outs", "runs", "flags", "parse_status", "resolved", "bases_after", "forced"]
+    assert sorted(map(str, ours.select(columns).collect())) == sorted(map(str, whole.select(columns).collect()))
+    assert any("advance_from_empty_base" in r.flags for r in ours.collect())
+    plan = ours.select("flags", "resolved")._jdf.queryExecution().optimizedPlan().toString()
+    assert all("basics" not in x for x in plan.splitlines() if "collect_list" in x)
+    assert "was_placed" not in ours.select("flags", "parse_status")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_checks_send_no_log_through_the_driver(spark):
     """Every join of the checks but that with the list of tags is made without a broadcast."""
     types = {n: "play_id long, game_key long, inning int, half string, seq long, tag string, origin string, is_out boolean, scored boolean, is_force boolean, certainty string, runner_id string, outs_before int, outs int, outs_after int, bases_before string, bases_after string, runs int, batter_ran string, parse_status string, hit_location string" for n in ("plays", "advances", "credits", "sequences", "play_tags")}
