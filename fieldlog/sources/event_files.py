@@ -59,9 +59,10 @@ def rebuilt(all_lines: DataFrame) -> DataFrame:
 
 def fields(raw: Column) -> Column:
     """Split at commas outside quotes (an even number of quotes follows them); quotes around a field go. The work is linear in the line: a pattern that looks ahead from each comma reads the rest of it every time."""
-    parts = F.split(raw, '"')
-    outside = F.transform(parts, lambda x, i: F.when((F.size(parts) - i) % 2 == 1, F.replace(x, F.lit(","), F.lit(SIGN))).otherwise(x))
-    split = F.when(raw.contains(SIGN), F.split(raw, OUTSIDE_QUOTES)).otherwise(F.split(F.array_join(outside, '"'), SIGN))
+    marked = lambda parts: F.array_join(F.transform(parts, lambda x, i: F.when((F.size(parts) - i) % 2 == 1, F.replace(x, F.lit(","), F.lit(SIGN))).otherwise(x)), '"')
+    # The parts are an element that a function is given: named in the function of each part as they are made, they would be made once a part.
+    outside = F.get(F.transform(F.array(F.split(raw, '"')), marked), F.lit(0))
+    split = F.when(raw.contains(SIGN), F.split(raw, OUTSIDE_QUOTES)).otherwise(F.split(outside, SIGN))
     quoted = F.transform(split, lambda x: F.when(x.startswith('"'), F.regexp_replace(x, '^"(.*)"$', "$1")).otherwise(x))
     return F.when(raw.contains('"'), quoted).otherwise(F.split(raw, ","))
 

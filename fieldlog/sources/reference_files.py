@@ -96,7 +96,8 @@ def appearances(lines: DataFrame) -> DataFrame:
 
 def game_logs(lines: DataFrame, keys: Sequence[str] = ("path", "line_no")) -> DataFrame:
     """The fields of LOG, typed, with the keys of a line, game_id and the raw line; quoted fields may hold commas."""
-    df = lines.withColumn("fields", fields(F.col("raw_line")))
+    # Generated, as Spark puts a filter on what comes from a plain column in its place below: each test of a problem would split the line again.
+    df = lines.select("*", F.explode(F.array(fields(F.col("raw_line")))).alias("fields"))
     x = {name: at(i) for name, i in LOG.items()}
     numbers = ("away_score", "home_score", "outs", "away_er", "away_er_team", "home_er", "home_er_team")
     typed = {n: whole_number(c) if n in numbers else or_null(c) if n in ("park",) else c for n, c in x.items()} | {"date": iso_date(x["date"]), "number": F.coalesce(or_null(x["number"]), F.lit("0"))}

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from fieldlog.operators import reconcile as C
+from fieldlog.plans.queries import queries
+from fieldlog.sources import reference_files as R
 
 
 def test_totals_of_all_games(spark):
@@ -14,3 +16,13 @@ def test_totals_of_all_games(spark):
     recs = ids.select("game_key", F.lit("data").alias("record_type"), F.array(F.lit("data"), F.lit("er"), F.lit("p"), F.when(F.col("game_key") % 2 == 0, "1").otherwise("2")).alias("fields"))
     found = C.which_total(games, recs, logs).first()
     assert (found.candidates, found.checked, found.individual, found.team, found.answer) == (n, n, n // 2, n // 2, None)
+
+
+def test_lines_of_logs_are_split_once(spark):
+    """Whatever is asked of the fields of a line, also which rows have no problem, it is split once; rows without text stay."""
+    plan = queries()["S26_log_layout"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert all("split(" not in x for x in plan.splitlines() if "Filter" in x)
+    # Strings in quotes are split at quotes, then at the sign, or by the pattern; others at commas.
+    assert plan.count("split(") <= 6
+    lines = spark.createDataFrame([("GL2000.TXT", 1, None), ("GL2000.TXT", 2, "a,b")], "path string, line_no int, raw_line string")
+    assert [(r.line_no, r.problem) for r in R.game_logs(lines).orderBy("line_no").collect()] == [(1, "score"), (2, "number of fields")]
