@@ -45,6 +45,11 @@ def test_totals_of_games_with_one_id(spark, shared_ids):
     assert ours == theirs
 
 
+def test_missing_games_of_one_id(spark, shared_ids):
+    ours, theirs = as_sql(spark, shared_ids, "A6_missing_by_league")
+    assert ours == theirs
+
+
 def test_lines_of_logs_are_split_once(spark):
     """Whatever is asked of the fields of a line, also which rows have no problem, it is split once; rows without text stay."""
     plan = queries()["S26_log_layout"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
