@@ -50,6 +50,21 @@ def test_missing_games_of_one_id(spark, shared_ids):
     assert ours == theirs
 
 
+def test_scores_of_games_with_one_id(spark, shared_ids):
+    ours, theirs = as_sql(spark, shared_ids, "A7_scores")
+    assert ours == theirs
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_games_listed_alike(spark, turn):
+    """Of rows with one score that differ in marks alone the same one counts, in whatever order they come."""
+    schema = "game_id string, date string, home_league string, series string, away_score int, home_score int, forfeit string, completion string"
+    rows = [("A", "2000-01-01", "X", "regular", 1, 2, f, c) for f, c in (("V", ""), (" ", ""), ("", "later"))]
+    games = spark.createDataFrame([(2000, "A", 1, 1, 2), (2000, "A", 2, 1, 3)], "season int, game_id string, occurrence int, final_away long, final_home long")
+    found = C.reconciled(games, spark.createDataFrame(rows[::turn], schema).coalesce(1), in_order=False)
+    assert sorted((r.nth, r.verdict) for r in found.collect()) == [(1, "agree"), (2, "differ")]
+
+
 def test_lines_of_logs_are_split_once(spark):
     """Whatever is asked of the fields of a line, also which rows have no problem, it is split once; rows without text stay."""
     plan = queries()["S26_log_layout"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
